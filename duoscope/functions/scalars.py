@@ -47,8 +47,9 @@ def binary_entropy(p: Column) -> Column:
 def weighted_entropy(n: Column, positives: Column, sizes: Column) -> Column:
     """Cluster-size-weighted entropy of 0/1 counts: arrays ``positives`` and ``sizes`` align."""
     total = F.aggregate(sizes, F.lit(0.0), lambda a, s: a + s)
-    terms = F.zip_with(positives, sizes, lambda pos, s: binary_entropy(pos / n) * s / total)
-    return F.when(n > 0, F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).otherwise(F.lit(0.0))
+    terms = F.zip_with(positives, sizes, lambda pos, s: binary_entropy(pos / n) * s)
+    mean = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / total
+    return F.when(n > 0, mean).otherwise(F.lit(0.0))
 
 
 def interval_holds(value: Column, low: Column, high: Column) -> Column:
@@ -95,3 +96,14 @@ def bound_text(value: Column) -> Column:
         .when(value == F.lit(float("-inf")), F.lit("-Infinity"))
         .otherwise(F.format_string("%.4f", F.round(value, 4)))
     )
+
+
+def year_names(threshold: Column, low: int = fixed.MIN_YEAR, high: int = fixed.MAX_YEAR) -> tuple[Column, Column]:
+    """Names of both sides of a split on the scaled year, in years."""
+    year = F.format_string("%.1f", F.round(threshold * (high - low) + low, 1))
+    return F.concat(F.lit("< "), year), F.concat(F.lit("> "), year)
+
+
+def opinion_names() -> tuple[Column, Column]:
+    """Names of both sides of a split on a genre or on an item: dislike, like."""
+    return F.lit("👎"), F.lit("👍")

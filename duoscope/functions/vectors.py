@@ -59,8 +59,9 @@ def fill_positions(entries: Column, width: Column, default: float = 0.0) -> Colu
     """Array of ``width`` doubles from ``(pos, value)`` structs with distinct positions.
 
     Gaps between consecutive sorted positions are filled, so the cost is linear in the width.
+    No lambda sits inside another: Spark cannot hand such an expression to a Python function.
     """
-    ordered = F.array_sort(entries)
+    ordered = F.sort_array(entries)
     n = F.size(ordered)
 
     def piece(e: Column, i: Column) -> Column:
@@ -75,14 +76,12 @@ def fill_positions(entries: Column, width: Column, default: float = 0.0) -> Colu
 
 def one_hot(codes: Column, slots: Column) -> Column:
     """Booleans with ``slots[i]`` places for code ``i``."""
-    return F.flatten(
-        F.transform(
-            codes,
-            lambda c, i: F.transform(
-                F.sequence(F.lit(0), F.get(slots, i) - 1), lambda j: j == c
-            ),
-        )
-    )
+    def bits(c: Column, i: Column) -> Column:
+        off = F.lit(False)
+        after = (F.get(slots, i) - c - 1).cast("int")
+        return F.concat(F.array_repeat(off, c), F.array(F.lit(True)), F.array_repeat(off, after))
+
+    return F.flatten(F.transform(codes, bits))
 
 
 def combinations(maxima: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import scalars as S
-from duoscope.operators.project import UtilityModel
+from duoscope.operators.project import UtilityModel, once
 from duoscope.session import collect_bounded
 
 MAX_CLUSTERS = 100_000
@@ -63,7 +63,7 @@ def assign(vec: Column, ids: np.ndarray, centers: np.ndarray) -> Column:
         d = (rows**2).sum(axis=1)[:, None] - 2.0 * rows @ centers.T + (centers**2).sum(axis=1)
         return pd.Series(ids[d.argmin(axis=1)].astype("int32"))
 
-    return nearest(vec)
+    return once(nearest)(vec)
 
 
 def label_entities(entities: DataFrame, side: str, model: UtilityModel, opposite: np.ndarray) -> DataFrame:

@@ -140,10 +140,10 @@ def dyads(outcomes: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
 
 # -- categorical points -------------------------------------------------------------------------
 
-def column_maxima(points: DataFrame, n_codes: int) -> Column:
-    """Scalar subquery with the largest code of each categorical column."""
+def column_maxima(points: DataFrame, n_codes: int) -> list[int]:
+    """The largest code of each categorical column: one small row."""
     maxima = [F.max(F.get("features", F.lit(i))).cast("int") for i in range(n_codes)]
-    return points.agg(F.array(*maxima).alias("maxima")).scalar()
+    return list(points.agg(*maxima).first())
 
 
 def categorical_points(points: DataFrame, n_codes: int, n_numeric: int, normalise: bool) -> DataFrame:
@@ -154,20 +154,18 @@ def categorical_points(points: DataFrame, n_codes: int, n_numeric: int, normalis
     """
     cat = F.transform(F.slice("features", 1, n_codes), lambda v: v.cast("int"))
     num = F.slice("features", n_codes + 1, n_numeric)
-    if normalise:
-        means = points.agg(
-            F.array(*[F.avg(F.get("features", F.lit(n_codes + i))) for i in range(n_numeric)])
-        ).scalar()
-        centred = points.select(F.zip_with(num, means, lambda v, m: v - m).alias("d"))
-        norms = centred.agg(
-            F.array(*[F.sqrt(F.sum(F.get("d", F.lit(i)) ** 2)) for i in range(n_numeric)])
-        ).scalar()
-        deviation = F.zip_with(num, means, lambda v, m: v - m)
-        num = F.zip_with(deviation, norms, lambda d, s: F.when(s > 0, d / s).otherwise(F.lit(0.0)))
-    return points.select(
+    coded = points.select(
         "id", (F.col("label") == 1).alias("label"), cat.alias("cat"), num.alias("num"),
-        column_maxima(points, n_codes).alias("maxima"),
-    )
+        F.lit(column_maxima(points, n_codes)).alias("maxima"))
+    if not normalise:
+        return coded
+    means = coded.agg(F.array(*[F.avg(F.get("num", F.lit(i))) for i in range(n_numeric)])).scalar()
+    centred = coded.withColumn("_m", means).withColumn(
+        "num", F.zip_with("num", "_m", lambda v, m: v - m)).drop("_m")
+    norms = centred.agg(
+        F.array(*[F.sqrt(F.sum(F.get("num", F.lit(i)) ** 2)) for i in range(n_numeric)])).scalar()
+    return centred.withColumn("_s", norms).withColumn(
+        "num", F.zip_with("num", "_s", lambda d, s: F.when(s > 0, d / s).otherwise(F.lit(0.0)))).drop("_s")
 
 
 def column_stats(points: DataFrame, width: int) -> DataFrame:

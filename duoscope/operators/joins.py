@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.005) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: at most ``1/share`` of them, whatever the data."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("_n") > total * F.lit(share)).select(key)
+def hot_keys(df: DataFrame, key: str, share: float = 0.005) -> list:
+    """Keys that may hold more than ``share`` of the rows: at most ``1/share`` of them, none missed.
+
+    One pass of frequent-item counting with bounded state per task and no shuffle of the rows; it
+    may name keys that are not hot, which costs a few repeated rows and nothing else.
+    """
+    found = df.select(key).freqItems([key], share).first()[0]
+    return [v for v in found or [] if v is not None]
 
 
 def salted_join(
@@ -28,13 +31,14 @@ def salted_join(
     task sends each row to the same place. What is left of the skew, such as many equal rows, is
     split by AQE at map-output granularity.
     """
-    hot = F.broadcast(hot_keys(left, key, share).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int"))
-    spread = left.join(hot, key, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    keys = hot_keys(left, key, share)
+    if not keys:
+        return left.join(right, key)
+    hot = F.col(key).isin(keys)
+    salt = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
+    spread = left.withColumn("_salt", F.when(hot, salt).otherwise(0))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.withColumn("_salt", F.explode(copies))
     return spread.join(repeated, [key, "_salt"]).drop("_salt")
 
 

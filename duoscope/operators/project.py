@@ -31,13 +31,18 @@ def stack(series: pd.Series, bias: bool, width: int) -> np.ndarray:
     return np.hstack([x, np.ones((n, 1))]) if bias else x
 
 
+def once(udf):
+    """Keep the optimizer from copying a Python function into filters and generators above it."""
+    return udf.asNondeterministic()
+
+
 def project(dense: Column, matrix: np.ndarray, bias: bool = False) -> Column:
     """M·x for every row's dense vector."""
     @F.pandas_udf("array<double>")
     def times(x: pd.Series) -> pd.Series:
         return pd.Series(list(stack(x, bias, matrix.shape[1]) @ matrix.T))
 
-    return times(dense)
+    return once(times)(dense)
 
 
 def project_long(entities: DataFrame, factors: DataFrame, key: str) -> DataFrame:
@@ -121,7 +126,7 @@ class UtilityModel:
             dots = np.vstack(p.to_numpy()) @ opposite.T
             return pd.Series(list((1.0 / (1.0 + np.exp(-dots / lam)) > 0.5).astype("int32")))
 
-        return over_half(proj)
+        return once(over_half)(proj)
 
     def save(self, spark: SparkSession, path: str) -> None:
         from duoscope.sources.tables import write_factors

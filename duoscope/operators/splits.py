@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import scalars as S
+from duoscope.session import collect_bounded
 
+MAX_CLUSTERS = 100_000
 
-def cluster_sizes_array(sizes: DataFrame) -> Column:
-    """Sizes by cluster id 0..k-1 as a scalar subquery; a cluster without members has size 0."""
-    from duoscope.functions.vectors import fill_positions
 
-    entries = sizes.select(F.col("cluster_id").alias("pos"), F.col("size").alias("value"))
-    one = entries.agg(F.collect_list(F.struct("pos", "value")).alias("e"), F.max("pos").alias("top"))
-    return one.select(fill_positions(F.col("e"), F.col("top") + 1)).scalar()
+def cluster_sizes_array(sizes: DataFrame) -> Column:
+    """Sizes by cluster id 0..k-1; a cluster without members has size 0. Model-sized."""
+    found = {r["cluster_id"]: r["size"] for r in collect_bounded(sizes, MAX_CLUSTERS, "clusters")}
+    return F.lit([float(found.get(i, 0)) for i in range(max(found) + 1)])
 
 
 def with_bins(rows: DataFrame, thresholds: list[list[float]]) -> DataFrame:

@@ -114,38 +114,43 @@ def thresholds(
 
 # -- wide variables ---------------------------------------------------------------------------
 
-def running_counts(freq: DataFrame, variables: list[int], blocks: int = 512) -> DataFrame:
-    """``(var, v, c, block, cum, prev)``: exact prefix sums over the sorted values of each variable.
+def ranked_values(freq: DataFrame, blocks: int = 512) -> DataFrame:
+    """``(var, v, c, pos, cum, prev)``: exact ranks, running counts and previous values per variable.
 
-    Values are distinct, so quantile blocks of a variable hold nearly equal numbers of rows.
+    A window over a whole variable would sort it in one task. Values are distinct, so quantile
+    blocks of a variable hold nearly equal numbers of rows; ranks are block offsets plus the rank
+    inside the block.
     """
-    wide = freq.where(F.col("var").isin(variables))
     shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     # Collected once, so that block borders are literals and every scan agrees on them.
     cuts = collect_bounded(
-        wide.groupBy("var").agg(F.percentile_approx("v", shares, 10 * blocks).alias("cuts")),
+        freq.groupBy("var").agg(F.percentile_approx("v", shares, 10 * blocks).alias("cuts")),
         MAX_VARIABLES, "variables",
     )
-    table = freq.sparkSession.createDataFrame([(r["var"], r["cuts"]) for r in cuts],
-                                              "var int, cuts array<double>")
-    placed = wide.join(F.broadcast(table), "var").withColumn(
+    table = freq.sparkSession.createDataFrame(
+        [(r["var"], sorted(set(r["cuts"]))) for r in cuts], "var int, cuts array<double>")
+    placed = freq.join(F.broadcast(table), "var").withColumn(
         "block", S.bin_of(F.col("v"), F.col("cuts"))).drop("cuts")
     inside = W.partitionBy("var", "block").orderBy("v")
     local = placed.select(
         "var", "block", "v", "c",
-        F.sum("c").over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("local"),
+        (F.row_number().over(inside) - 1).alias("local_pos"),
+        F.sum("c").over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("local_cum"),
         F.lag("v").over(inside).alias("local_prev"),
     )
     ordered = W.partitionBy("var").orderBy("block")  # at most ``blocks`` rows per variable
+    earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy("var", "block").agg(
-        F.sum("c").alias("m"), F.max("v").alias("top")
+        F.count(F.lit(1)).alias("rows"), F.sum("c").alias("m"), F.max("v").alias("top")
     ).select(
         "var", "block",
-        F.coalesce(F.sum("m").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base_pos"),
+        F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base_cum"),
         F.lag("top").over(ordered).alias("prev_top"),
     )
     return local.join(offsets, ["var", "block"]).select(
-        "var", "block", "v", "c", (F.col("local") + F.col("base")).alias("cum"),
+        "var", "v", "c", (F.col("base_pos") + F.col("local_pos")).cast("int").alias("pos"),
+        (F.col("base_cum") + F.col("local_cum")).alias("cum"),
         F.coalesce("local_prev", "prev_top").alias("prev"),
     )
 
@@ -187,9 +192,9 @@ def seek_cuts(freq: DataFrame, totals: dict[int, int], max_bins: int) -> dict[in
     """
     spark = freq.sparkSession
     path = scratch_path(spark, "running-counts")
-    running_counts(freq, list(totals)).repartitionByRange("var", "v").sortWithinPartitions(
+    ranked_values(freq).repartitionByRange("var", "v").sortWithinPartitions(
         "var", "v").write.parquet(path)
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(path).select("var", "v", "c", "cum", "prev")
     state = {v: _Seek(n, n / max_bins) for v, n in totals.items()}
     active = dict(state)
     while active:
