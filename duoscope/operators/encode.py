@@ -67,10 +67,10 @@ def dense_index(counts: DataFrame, min_ratings: int = fixed.MIN_RATINGS, blocks:
     rank inside the block. Block cuts are id quantiles, so equal counts cannot pile up in one task.
     """
     kept = counts.where(F.col("n") >= min_ratings)
-    probabilities = [i / blocks for i in range(1, blocks)]
-    cuts = sorted(set(kept.approxQuantile("item_id", probabilities, 0.5 / blocks) or [0.0]))
-    cut_list = F.array(*[F.lit(float(c)) for c in cuts])
-    placed = kept.withColumn("block", S.bin_of(F.col("item_id").cast("double"), cut_list))
+    shares = [i / blocks for i in range(1, blocks)] or [0.5]
+    # Collected once, so that block borders are literals and every scan agrees on them.
+    cuts = kept.agg(F.percentile_approx("item_id", F.lit(shares), 10 * blocks)).first()[0]
+    placed = kept.withColumn("block", S.bin_of(F.col("item_id"), F.lit(sorted(set(cuts or [0])))))
     per_block = placed.groupBy("n", "block").agg(F.count(F.lit(1)).alias("m"))
     # One row per distinct count: a small table even for very many ratings.
     above = (

@@ -87,6 +87,7 @@ def batch_gradients(examples: DataFrame, models: dict[int, tuple[np.ndarray, np.
                 for side, g in (("W", (f * py).T @ x), ("V", (f * px).T @ y)):
                     sums[m, side] = sums.get((m, side), 0.0) + g
         for (m, side), g in sums.items():
+            g = np.nan_to_num(g, nan=np.inf)  # Arrow would turn NaN into null; both mean "no model"
             yield pd.DataFrame({"model": m, "side": side, "row": np.arange(len(g)), "n": float(n),
                                 "total": list(g)})
 

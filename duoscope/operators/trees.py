@@ -32,9 +32,14 @@ def side() -> Column:
     return F.right("path", F.lit(1))
 
 
+def with_leaf_flag(nodes: DataFrame) -> DataFrame:
+    """``leaf``: in pre-order the next node of the tree does not start with this path."""
+    following = F.lead("path").over(W.partitionBy("tree_id").orderBy("path"))
+    return nodes.withColumn("leaf", F.coalesce(~following.startswith(F.col("path")), F.lit(True)))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
-    inner = nodes.where(depth() > 0).select("tree_id", parent_path().alias("path")).distinct()
-    return nodes.join(inner, ["tree_id", "path"], "left_anti")
+    return with_leaf_flag(nodes).where("leaf").drop("leaf")
 
 
 def _up(nodes: DataFrame) -> DataFrame:
@@ -62,12 +67,10 @@ def path_sums(nodes: DataFrame) -> DataFrame:
 
 
 def tree_summary(nodes: DataFrame) -> DataFrame:
-    """One row per tree: leaves, path sum and resulting entropy of the root, in one aggregation."""
-    root_size = F.max(F.when(F.length("path") == 0, F.col("rel_size")))
-    flagged = nodes.join(
-        leaves(nodes).select("tree_id", "path", F.lit(True).alias("leaf")), ["tree_id", "path"], "left")
+    """One row per tree: leaves, path sum and resulting entropy of the root, in one shuffle."""
     leaf = F.col("leaf")
-    return flagged.groupBy("tree_id").agg(
+    root_size = F.max(F.when(depth() == 0, F.col("rel_size")))
+    return with_leaf_flag(nodes).groupBy("tree_id").agg(
         F.sum(F.when(leaf, 1)).alias("leaves"),
         F.sum(F.when(leaf, depth())).cast("bigint").alias("path_sum"),
         (F.sum(F.when(leaf, F.col("data_entropy") * F.col("rel_size"))) / root_size).alias("resulting_entropy"),
@@ -78,64 +81,53 @@ def quality(entropy: Column, path_sum: Column, lam: Column) -> Column:
     return -entropy - lam * path_sum
 
 
-def _decide(nodes: DataFrame, lambdas: Sequence[float], max_depth: int | None) -> DataFrame:
-    """Bottom-up pruning state of every ``(tree, λ, node)``.
+def _decide(nodes: DataFrame, lambdas: Sequence[float], max_depth: int | None) -> tuple[DataFrame, int]:
+    """Bottom-up pruning state of every ``(tree, λ, node)``: re, paths, leaves, inner, collapsed.
 
-    One aggregation and one join per depth, both keyed by (tree, λ, node), so the aggregate's
-    partitioning serves the join. λ values are a literal array: no cross join.
+    The data is shuffled once by (tree, λ). Every depth is then a window over (tree, λ, ancestor at
+    that depth), which the same partitioning serves, so depths cost local sorts only. λ values are a
+    literal array: no cross join.
     """
     if max_depth is None:
         max_depth = nodes.agg(F.max(depth())).first()[0] or 0
-    grid = nodes.withColumn("lam", F.explode(F.lit([float(v) for v in lambdas])))
-    keys = ["tree_id", "lam", "path"]
-    below, levels = None, []
-    for d in range(max_depth, -1, -1):
-        level = grid.where(depth() == d)
-        if below is None:
-            level = level.withColumn("re", F.col("data_entropy")).withColumn(
-                "paths", depth()).withColumn("leaves", F.lit(1)).withColumn("collapsed", F.lit(False))
-        else:
-            kids = below.groupBy("tree_id", "lam", parent_path().alias("path")).agg(
-                F.sum(F.col("re") * F.col("rel_size")).alias("ws"),
-                F.sum("paths").alias("ps"), F.sum("leaves").alias("lv"),
-            )
-            level = level.join(kids, keys, "left")
-            re = F.col("ws") / F.col("rel_size")
-            gain = -F.col("rel_size") * (re - F.col("data_entropy"))
-            worth = gain - F.col("lam") * (F.col("ps") - depth()) > 0
-            inner = F.col("ws").isNotNull()
-            keep = inner & worth
-            level = (
-                level.withColumn("collapsed", inner & ~worth)
-                .withColumn("re", F.when(keep, re).otherwise(F.col("data_entropy")))
-                .withColumn("paths", F.when(keep, F.col("ps")).otherwise(depth()))
-                .withColumn("leaves", F.when(keep, F.col("lv")).otherwise(1))
-                .drop("ws", "ps", "lv")
-            )
-        below = level
-        levels.append(level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    rows = nodes.withColumn("lam", F.explode(F.lit([float(v) for v in lambdas])))
+    rows = rows.repartition("tree_id", "lam").select(
+        "*", F.col("data_entropy").alias("re"), depth().cast("bigint").alias("paths"),
+        F.lit(1).cast("bigint").alias("leaves"), F.lit(False).alias("inner"), F.lit(False).alias("collapsed"))
+    for d in range(max_depth - 1, -1, -1):
+        family = W.partitionBy("tree_id", "lam", F.col("path").substr(1, d))
+        child, here = depth() == d + 1, depth() == d
+
+        def below(value: Column) -> Column:
+            return F.sum(F.when(child, value)).over(family)
+
+        re = below(F.col("re") * F.col("rel_size")) / F.col("rel_size")
+        rows = rows.select("*", re.alias("_re"), below(F.col("paths")).alias("_ps"), below(F.col("leaves")).alias("_lv"))
+        inner = here & F.col("_re").isNotNull()
+        gain = -F.col("rel_size") * (F.col("_re") - F.col("data_entropy"))
+        keep = inner & (gain - F.col("lam") * (F.col("_ps") - d) > 0)
+        rows = rows.withColumns({
+            "re": F.when(keep, F.col("_re")).otherwise(F.col("re")),
+            "paths": F.when(keep, F.col("_ps")).otherwise(F.col("paths")),
+            "leaves": F.when(keep, F.col("_lv")).otherwise(F.col("leaves")),
+            "inner": F.col("inner") | inner,
+            "collapsed": F.col("collapsed") | (inner & ~keep),
+        }).drop("_re", "_ps", "_lv")
+    return rows, max_depth
 
 
 def prune(nodes: DataFrame, lambdas: Sequence[float], max_depth: int | None = None) -> DataFrame:
-    """Pruned copies ``(tree_id, lam, node columns, re)`` for all trees and λ values.
+    """Pruned copies ``(tree_id, lam, node columns, resulting_entropy)`` for all trees and λ values.
 
     A subtree stays when its entropy gain, weighted by size, exceeds λ times the variables it adds.
     """
-    state = _decide(nodes, lambdas, max_depth)
-    cut = state.where("collapsed").select("tree_id", "lam", F.col("path").alias("over"))
-    # A node goes when a proper ancestor has collapsed.
-    steps = F.when(depth() > 0, F.sequence(F.lit(0), depth() - 1)).otherwise(F.array().cast("array<int>"))
-    ancestors = F.explode(F.transform(steps, lambda k: F.col("path").substr(F.lit(1), k)))
-    gone = (
-        state.select("tree_id", "lam", "path", ancestors.alias("over"))
-        .join(cut, ["tree_id", "lam", "over"], "left_semi").select("tree_id", "lam", "path").distinct()
-    )
-    kept = state.join(gone, ["tree_id", "lam", "path"], "left_anti")
-    return kept.select(
+    state, top = _decide(nodes, lambdas, max_depth)
+    for d in range(top):  # a node goes when a proper ancestor has collapsed
+        family = W.partitionBy("tree_id", "lam", F.col("path").substr(1, d))
+        cut_here = F.max(F.when(depth() == d, F.col("collapsed"))).over(family)
+        state = state.withColumn("_cut", cut_here).where(
+            (depth() <= d) | ~F.coalesce("_cut", F.lit(False))).drop("_cut")
+    return state.select(
         "tree_id", "lam", "path", "var", "lo", "hi", "rel_size", "data_entropy",
         F.col("re").alias("resulting_entropy"))
 
@@ -144,14 +136,18 @@ def sweep(nodes: DataFrame, lambdas: Sequence[float] | None = None, max_depth: i
     """Per tree and λ: quality of the full and of the pruned tree, and the pruned leaves."""
     if lambdas is None:
         lambdas = [SWEEP_MAX * i / SWEEP_POINTS for i in range(SWEEP_POINTS)]
-    pruned = _decide(nodes, lambdas, max_depth).where(F.length("path") == 0)
-    full = tree_summary(nodes).select(
-        "tree_id", F.col("resulting_entropy").alias("full_re"), F.col("path_sum").alias("full_paths"))
-    return pruned.join(full, "tree_id").select(
-        "tree_id", "lam",
-        quality(F.col("full_re"), F.col("full_paths"), F.col("lam")).alias("quality"),
-        quality(F.col("re"), F.col("paths"), F.col("lam")).alias("pruned_quality"),
-        F.col("leaves").cast("bigint").alias("leaves"),
+    state, _ = _decide(nodes, lambdas, max_depth)
+
+    def root(name: str) -> Column:
+        return F.max(F.when(depth() == 0, F.col(name)))
+
+    leaf = ~F.col("inner")
+    full_re = F.sum(F.when(leaf, F.col("data_entropy") * F.col("rel_size"))) / root("rel_size")
+    full_paths = F.sum(F.when(leaf, depth()))
+    return state.groupBy("tree_id", "lam").agg(
+        quality(full_re, full_paths, F.col("lam")).alias("quality"),
+        quality(root("re"), root("paths"), F.col("lam")).alias("pruned_quality"),
+        root("leaves").alias("leaves"),
     )
 
 
@@ -233,7 +229,7 @@ def parse_reports(texts: DataFrame) -> DataFrame:
     The fold keeps the last path seen at each depth. A line at a depth that is still on the stack is
     a right child, otherwise a left one.
     """
-    lines = F.filter(F.split(F.rtrim("value"), "\n"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
     empty = F.struct(
         F.array().cast("array<string>").alias("stack"), F.array().cast("array<string>").alias("paths"))
 
@@ -271,7 +267,8 @@ def write_reports(texts: DataFrame, path: str) -> None:
 
 
 def read_reports(spark, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select("tree_id", "value")
+    texts = spark.read.text(path, wholetext=True)
+    return texts.select("tree_id", F.regexp_replace("value", r"\n+$", "").alias("value"))
 
 
 def member_rows(rows: DataFrame, nodes: DataFrame, strict: bool = False) -> DataFrame:

@@ -95,7 +95,7 @@ def mixed_dyads(spark: SparkSession, sf: str) -> DataFrame:
     return salted_join(both, left, "user_id", spread_by=["item_id"])
 
 
-_DYAD_SQL = """SELECT count(*) AS n, sum(CASE WHEN outcome THEN 1 ELSE 0 END)::BIGINT AS positive,
+DYAD_SQL = """SELECT count(*) AS n, sum(CASE WHEN outcome THEN 1 ELSE 0 END)::BIGINT AS positive,
   sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END)::BIGINT AS building,
   sum(c_nationkey % 3 - 1)::BIGINT AS tri, round(sum(c_acctbal / 10000.0), 4) AS left_num,
   sum(CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END)::BIGINT AS promo, round(sum(p_retailprice / 2000.0), 4) AS right_num
@@ -123,14 +123,14 @@ def snk_dyads(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/widths").select(*tables.WIDTHS, n.alias("n"))
 
 
-@query("src_dyads", sql_of(_DYAD_SQL, "outcomes"))
+@query("src_dyads", sql_of(DYAD_SQL, "outcomes"))
 def src_dyads(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "dyads")
     tables.write_dyads(mixed_dyads(spark, sf), path)
     return dyad_totals(tables.read_dyads(spark, path))
 
 
-@query("snk_dyads_object", sql_of(_DYAD_SQL, "outcomes"))
+@query("snk_dyads_object", sql_of(DYAD_SQL, "outcomes"))
 def snk_dyads_object(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "dyads")
     tables.write_dyads(mixed_dyads(spark, sf), path)

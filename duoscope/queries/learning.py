@@ -1 +1,392 @@
+"""Scoring, learning, clustering, labelling, and the jobs that chain them."""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duoscope.operators import cluster, encode, learn, project, sample
+from duoscope.plans import jobs
+from duoscope.queries import inputs as I
+from duoscope.queries.encoding import long, model
+from duoscope.queries.files import DYAD_SQL, dyad_totals, mixed_dyads, vectors
+from duoscope.queries.node_tables import supplier_trees
+from duoscope.queries.registry import query, sql_of, view
+from duoscope.session import scratch_path, table
+from duoscope.sources import tables, text
+
+EMBEDDING_WIDTH = 64
+
+
+def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return I.labelled(spark, sf), I.users_vec(spark, sf), I.items_vec(spark, sf)
+
+
+# -- scoring ------------------------------------------------------------------------------------------
+
+view("pairs", "SELECT DISTINCT user_id, item_id FROM outcomes", "outcomes")
+view("scored", "SELECT user_id, item_id, sum(pu.p * pi.p) AS d FROM pairs JOIN pu USING (user_id) JOIN pi USING (item_id) WHERE pu.row = pi.row GROUP BY 1, 2",
+     "pairs", "pu", "pi")
+
+
+@query("ml_score", sql_of("SELECT user_id, item_id, round(1.0 / (1.0 + exp(-d)), 6) AS utility FROM scored", "scored"))
+def ml_score(spark: SparkSession, sf: str) -> DataFrame:
+    dyads, users, items = sides(spark, sf)
+    scored = model().score(dyads.select("user_id", "item_id").distinct(), users, items)
+    return scored.select("user_id", "item_id", F.round("utility", 6).alias("utility"))
+
+
+@query("ml_map_left", sql_of("SELECT user_id, CAST(row AS INTEGER) AS row, round(p, 8) AS value FROM pu", "pu"))
+def ml_map_left(spark: SparkSession, sf: str) -> DataFrame:
+    return long(model().map_left(I.users_vec(spark, sf)), "user_id", "proj", "row", digits=8)
+
+
+@query("ml_map_right", sql_of("SELECT item_id, CAST(row AS INTEGER) AS row, round(p, 8) AS value FROM pi", "pi"))
+def ml_map_right(spark: SparkSession, sf: str) -> DataFrame:
+    """The right side through the long factor table: joins and sums only."""
+    dense = I.items_vec(spark, sf).select("item_id", F.concat("vec", F.array(F.lit(1.0))).alias("vec"))
+    v = project.factors_of(spark, I.matrix(I.K, 1), I.matrix(I.K, I.ITEM_WIDTH + 1, 2)).where("side = 'V'").drop("side")
+    return project.project_long(dense, v, "item_id").select("item_id", "row", F.round("value", 8).alias("value"))
+
+
+# -- gradients -------------------------------------------------------------------------------------------
+
+view("grad_f", """SELECT o.user_id, o.item_id, CASE WHEN outcome THEN 1.0 ELSE -1.0 END AS z, d FROM outcomes o JOIN scored s USING (user_id, item_id)""", "outcomes", "scored")
+view("grad_w", """SELECT user_id, item_id, -z * (1.0 - 1.0 / (1.0 + exp(-z * d))) AS f FROM grad_f""", "grad_f")
+view("gradient", """SELECT 'W' AS side, s.row, b.col, sum(s.g * b.x) / (SELECT count(*) FROM outcomes) AS value FROM
+    (SELECT user_id, row, sum(f * p) AS g FROM grad_w JOIN pi USING (item_id) GROUP BY 1, 2) s JOIN users_bias b USING (user_id) GROUP BY 1, 2, 3
+  UNION ALL SELECT 'V', s.row, b.col, sum(s.g * b.x) / (SELECT count(*) FROM outcomes) FROM
+    (SELECT item_id, row, sum(f * p) AS g FROM grad_w JOIN pu USING (user_id) GROUP BY 1, 2) s JOIN items_bias b USING (item_id) GROUP BY 1, 2, 3""",
+     "grad_w", "pi", "pu", "users_bias", "items_bias", "outcomes")
+_GRADIENT = sql_of("SELECT side, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(value, 6) + 0.0 AS value FROM gradient", "gradient")
+
+
+def shown_cells(cells: DataFrame) -> DataFrame:
+    return cells.select("side", "row", "col", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("agg_gradient", _GRADIENT)
+def agg_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """Summed per entity first, so dyads never carry vectors."""
+    return shown_cells(learn.entity_gradient(*sides(spark, sf), model()))
+
+
+@query("agg_gradient_batches", _GRADIENT)
+def agg_gradient_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same gradient as partial matrix sums per task, as used for minibatches."""
+    m = model()
+    grads = learn.batch_gradients(learn.with_vectors(*sides(spark, sf)), {0: (m.w, m.v)})
+    cells = grads.select("side", "row", "n", F.posexplode("total").alias("col", "g"))
+    return shown_cells(cells.select("side", "row", "col", (F.col("g") / F.col("n")).alias("value")))
+
+
+@query("ml_sgd_step", sql_of(f"""SELECT g.side, CAST(g.row AS INTEGER) AS row, CAST(g.col AS INTEGER) AS col,
+  round(m.value - 0.5 * (g.value + 2.0 * 0.1 / sqrt({I.K}.0 * {I.USER_WIDTH + 1}) * m.value), 6) + 0.0 AS value
+  FROM gradient g JOIN (SELECT 'W' AS side, * FROM w UNION ALL SELECT 'V', * FROM v) m ON m.side = g.side AND m.row = g.row AND m.col = g.col""", "gradient", "w", "v"))
+def ml_sgd_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One full-batch step at learning rate 0.5 and regularisation 0.1."""
+    m = model()
+    cells = learn.entity_gradient(*sides(spark, sf), m)
+    factors = project.factors_of(spark, m.w, m.v).withColumnRenamed("value", "old")
+    scale = F.when(F.col("side") == "W", m.w.size).otherwise(m.v.size)
+    new = F.col("old") - 0.5 * (F.col("value") + 2.0 * 0.1 / F.sqrt(scale) * F.col("old"))
+    return shown_cells(cells.join(F.broadcast(factors), ["side", "row", "col"]).withColumn("value", new))
+
+
+@query("agg_hit_rate", sql_of("SELECT round(avg(CASE WHEN (1.0 / (1.0 + exp(-d)) > 0.5) = outcome THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM outcomes JOIN scored USING (user_id, item_id)",
+                              "outcomes", "scored"))
+def agg_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
+    dyads, users, items = sides(spark, sf)
+    return learn.hit_rate(model().score(dyads, users, items)).select(F.round("hit_rate", 6).alias("hit_rate"))
+
+
+# -- learning ---------------------------------------------------------------------------------------------
+
+@query("ml_sgd")
+def ml_sgd(spark: SparkSession, sf: str) -> DataFrame:
+    fitted = learn.learn(*sides(spark, sf), learn.Settings(k=4, reg=0.01, l0=0.5), max_iterations=6, seed=3)
+    return project.factors_of(spark, fitted.w, fitted.v)
+
+
+def small_grid() -> list[learn.Settings]:
+    return learn.grid((2, 4), (0.1, 1.0), (0.1, 1.0), (0.01,))
+
+
+@query("ml_grid")
+def ml_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return learn.learn_tuned(*sides(spark, sf), small_grid(), minibatch=200, max_iterations=5, seed=3).table
+
+
+@query("top1_grid")
+def top1_grid(spark: SparkSession, sf: str) -> DataFrame:
+    result = learn.learn_tuned(*sides(spark, sf), small_grid(), minibatch=200, max_iterations=5, seed=3)
+    return learn.top_grid(result.table)
+
+
+@query("smp_bernoulli")
+def smp_bernoulli(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.bernoulli(I.labelled(spark, sf), 0.1, 5)
+
+
+@query("smp_split")
+def smp_split(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = sample.split(I.labelled(spark, sf), ["user_id", "item_id"], 0.7, 5)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+# -- clusters -----------------------------------------------------------------------------------------------
+
+view("centers", f"""SELECT label AS cluster_id, pos, avg(v) AS c FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v,
+  unnest(range(0, {EMBEDDING_WIDTH})) AS pos FROM embeddings) GROUP BY 1, 2""")
+view("vec_long", f"SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(0, {EMBEDDING_WIDTH})) AS pos FROM embeddings")
+view("near", """SELECT vec_id, cluster_id FROM (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 12), cluster_id) AS rn FROM
+  (SELECT vec_id, cluster_id, sum((v - c) * (v - c)) AS d FROM vec_long JOIN centers USING (pos) GROUP BY 1, 2)) WHERE rn = 1""", "vec_long", "centers")
+
+
+def assigned(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors(spark, sf)
+    ids, centers = cluster.center_matrix(cluster.centroids(rows, EMBEDDING_WIDTH))
+    return rows.withColumn("cluster_id", cluster.assign(F.col("vec"), ids, centers))
+
+
+@query("ml_assign", sql_of("SELECT vec_id, cluster_id FROM near", "near"))
+def ml_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return assigned(spark, sf).select("vec_id", "cluster_id")
+
+
+@query("agg_cluster_counts", sql_of("SELECT cluster_id, count(*) AS size FROM near GROUP BY 1", "near"))
+def agg_cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.cluster_counts(assigned(spark, sf))
+
+
+@query("ml_kmeans")
+def ml_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    fitted = cluster.kmeans(vectors(spark, sf), k=10, iterations=10, seed=1)
+    return cluster.cluster_counts(fitted.transform(vectors(spark, sf).withColumn("features", array_to_vector("vec"))), "prediction")
+
+
+@query("ml_cluster_left")
+def ml_cluster_left(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.cluster_side(I.users_vec(spark, sf), "left", model(), 8, 10, 1)[1]
+
+
+@query("ml_cluster_right")
+def ml_cluster_right(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.cluster_side(I.items_vec(spark, sf), "right", None, 8, 10, 1)[1]
+
+
+# Fixed opposite centers: the mean projection per customer segment and per part type.
+view("user_centers", "SELECT pos AS cluster_id, row, avg(p) AS c FROM pu JOIN customer ON c_custkey = user_id JOIN "
+     f"(SELECT unnest({I.sql_list(I.SEGMENTS)}) AS name, unnest(range(0, 5)) AS pos) ON name = c_mktsegment GROUP BY 1, 2", "pu")
+view("item_centers", "SELECT pos AS cluster_id, row, avg(p) AS c FROM pi JOIN part ON p_partkey = item_id JOIN "
+     f"(SELECT unnest({I.sql_list(I.TYPES)}) AS name, unnest(range(0, 6)) AS pos) ON name = p_type GROUP BY 1, 2", "pi")
+view("item_likes", "SELECT item_id, cluster_id, CASE WHEN round(sum(p * c), 9) > 0 THEN 1 ELSE 0 END AS u FROM pi JOIN user_centers USING (row) GROUP BY 1, 2", "pi", "user_centers")
+view("user_likes", "SELECT user_id, cluster_id, CASE WHEN round(sum(p * c), 9) > 0 THEN 1 ELSE 0 END AS u FROM pu JOIN item_centers USING (row) GROUP BY 1, 2", "pu", "item_centers")
+
+
+def opposite_centers(spark: SparkSession, sf: str, side: str):
+    """Centers of the users (``left``) or items in projected space."""
+    m = model()
+    if side == "left":
+        t, key, col, names = table(spark, sf, "customer"), "c_custkey", "c_mktsegment", I.SEGMENTS
+        mapped = m.map_left(I.users_vec(spark, sf)).withColumnRenamed("user_id", key)
+    else:
+        t, key, col, names = table(spark, sf, "part"), "p_partkey", "p_type", I.TYPES
+        mapped = m.map_right(I.items_vec(spark, sf)).withColumnRenamed("item_id", key)
+    group = (F.array_position(F.lit(names), F.col(col)) - 1).cast("int")
+    rows = mapped.join(t.select(key, group.alias("g")), key)
+    return cluster.center_matrix(cluster.centroids(rows, I.K, "proj", "g"))[1]
+
+
+def likes(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    entities = I.users_vec(spark, sf) if side == "left" else I.items_vec(spark, sf)
+    return cluster.label_entities(entities, side, model(), opposite_centers(spark, sf, "right" if side == "left" else "left"))
+
+
+@query("ml_label_items", sql_of("SELECT item_id, string_agg(u::VARCHAR, ',' ORDER BY cluster_id) AS u FROM item_likes GROUP BY 1", "item_likes"))
+def ml_label_items(spark: SparkSession, sf: str) -> DataFrame:
+    return likes(spark, sf, "right").select("item_id", F.array_join("u", ",").alias("u"))
+
+
+@query("ml_label_users", sql_of("SELECT user_id, string_agg(u::VARCHAR, ',' ORDER BY cluster_id) AS u FROM user_likes GROUP BY 1", "user_likes"))
+def ml_label_users(spark: SparkSession, sf: str) -> DataFrame:
+    return likes(spark, sf, "left").select("user_id", F.array_join("u", ",").alias("u"))
+
+
+@query("jn_cross_centroids", sql_of("SELECT item_id, count(*) AS centroids, sum(u)::BIGINT AS liked FROM item_likes GROUP BY 1", "item_likes"))
+def jn_cross_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item against every user centroid: a product with a broadcast matrix, no pair rows."""
+    liked = F.size(F.filter("u", lambda v: v == 1)).cast("bigint")
+    return likes(spark, sf, "right").select("item_id", F.size("u").cast("bigint").alias("centroids"), liked.alias("liked"))
+
+
+# Parts grouped by brand as the clustering whose labels are summed.
+view("brand_votes", """SELECT p_brand AS cluster_id, seg, count(*) AS n, sum(u) AS pos FROM u_long JOIN part ON p_partkey = id GROUP BY 1, 2""", "u_long")
+view("brand_we", f"""SELECT cluster_id, max(n) AS n, round(sum(({I.entropy_sql('pos', 'n')}) * size) / max(total), 12) AS we FROM brand_votes JOIN sizes s ON s.cluster_id = seg CROSS JOIN total_size GROUP BY 1"""
+     .replace("SELECT cluster_id", "SELECT brand_votes.cluster_id"), "brand_votes", "sizes", "total_size")
+
+
+def brand_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster_id"))
+    rows = I.explanation(spark, sf).join(brands, "id")
+    return cluster.clustering_entropy(rows, I.size_array(spark, sf), len(I.SEGMENTS))
+
+
+@query("agg_cluster_labels", sql_of("SELECT cluster_id, max(n) AS n, string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY seg) AS pos FROM brand_votes GROUP BY 1", "brand_votes"))
+def agg_cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return brand_entropy(spark, sf).select("cluster_id", "n", F.array_join("pos", ",").alias("pos"))
+
+
+@query("agg_clustering_entropy", sql_of("SELECT round(sum(n * we) / sum(n), 6) AS entropy FROM brand_we", "brand_we"))
+def agg_clustering_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.mean_entropy(brand_entropy(spark, sf)).select(F.round("entropy", 6).alias("entropy"))
+
+
+# -- jobs -----------------------------------------------------------------------------------------------------
+
+def coded(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Encoded inputs as the jobs make them from files, here from the tables."""
+    rated = I.outcomes(spark, sf)
+    mapping = I.id_map(spark, sf)
+    items = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
+    return {"outcomes": rated, "items": items, "users": encode.user_vectors(rated, mapping), "id_map": mapping}
+
+
+@query("job_export_dyads", sql_of("""SELECT count(*) AS n, sum(CASE WHEN outcome THEN 1 ELSE 0 END)::BIGINT AS positive FROM outcomes
+  SEMI JOIN user_pos USING (user_id) SEMI JOIN (SELECT item_id FROM scaled SEMI JOIN tags USING (item_id)) s USING (item_id)""", "outcomes", "user_pos", "scaled", "tags"))
+def job_export_dyads(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "dyads")
+    jobs.export_dyads(coded(spark, sf), path)
+    return tables.read_dyads(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label"), 1).otherwise(0)).alias("positive"))
+
+
+@query("job_to_object", sql_of(DYAD_SQL, "outcomes"))
+def job_to_object(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "dyads")
+    tables.write_dyads(mixed_dyads(spark, sf), path)
+    return dyad_totals(spark.read.orc(jobs.to_object(spark, path)))
+
+
+@query("job_to_parquet", sql_of("SELECT count(DISTINCT id) AS n, round(sum(v), 4) AS attributes FROM x_long", "x_long"))
+def job_to_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(jobs.to_parquet(spark, label_file(spark, sf), 9))
+    x, _ = tables.split_at(F.col("features"), 4)
+    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(total), 4).alias("attributes"))
+
+
+@query("job_export_codifications", sql_of("""SELECT 'user' AS side, user_id AS id, round(sum(abs(value)), 4) AS weight FROM user_tri GROUP BY 2
+  UNION ALL SELECT 'item', item_id, round(sum(abs(value)), 4) FROM item_long GROUP BY 2""", "user_tri", "item_long"))
+def job_export_codifications(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "codes")
+    jobs.export_codes(coded(spark, sf), path)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + F.abs(v))
+
+    def side(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}s").select(F.lit(name).alias("side"), "id", F.round(total, 4).alias("weight"))
+
+    return side("user").unionByName(side("item"))
+
+
+@query("job_learn_utility")
+def job_learn_utility(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "utility")
+    jobs.learn_utility(coded(spark, sf), path, [learn.Settings(k=4, reg=1e-13, l0=0.1, speed=0.1)], 50, 6, 1)
+    return tables.read_factors(spark, path)
+
+
+def stand_in(spark: SparkSession, parts: dict[str, DataFrame]) -> project.UtilityModel:
+    users, items = (s.select(F.size("vec")).first()[0] for s in jobs.dense_sides(parts))
+    return project.UtilityModel(I.matrix(I.K, users + 1), I.matrix(I.K, items + 1, 2), 1.0, True, True)
+
+
+@query("job_cluster")
+def job_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    path, parts = scratch_path(spark, "clusters"), coded(spark, sf)
+    jobs.cluster_sides(parts, stand_in(spark, parts), path, k=6, iterations=5, seed=1)
+    users = text.read_cluster_sizes(spark, f"{path}/users_sizes").withColumn("side", F.lit("user"))
+    return users.unionByName(text.read_cluster_sizes(spark, f"{path}/items_sizes").withColumn("side", F.lit("item")))
+
+
+def label_file(spark: SparkSession, sf: str) -> str:
+    """Explanation rows as libsvm, four attributes then five utilities."""
+    path = scratch_path(spark, "labels")
+    rows = I.explanation(spark, sf)
+    tables.write_libsvm(rows.select(F.concat("x", F.col("u").cast("array<double>")).alias("f")), "f", path)
+    return path
+
+
+def size_file(spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, "sizes")
+    text.write_pairs(I.segment_sizes(spark, sf), "cluster_id", "size", path)
+    return path
+
+
+@query("job_kmeans")
+def job_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "attributes")
+    jobs.cluster_attributes(spark, label_file(spark, sf), 9, 4, path, k=8, iterations=10, seed=1)
+    x, _ = tables.split_at(F.col("features"), 4)
+    rows = tables.read_libsvm(spark, label_file(spark, sf), 9).select(array_to_vector(x).alias("features"))
+    return cluster.cluster_counts(KMeansModel.load(path).transform(rows), "prediction")
+
+
+@query("job_entropy")
+def job_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    path, labels = scratch_path(spark, "attributes"), label_file(spark, sf)
+    jobs.cluster_attributes(spark, labels, 9, 4, path, k=8, iterations=10, seed=1)
+    return jobs.clustering_entropy(spark, labels, 9, 4, path, size_file(spark, sf))
+
+
+def exported_labels(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    """Cluster the opposite side, label this one, write libsvm, read back as sums."""
+    parts = coded(spark, sf)
+    users, items = jobs.dense_sides(parts)
+    m = stand_in(spark, parts)
+    own, other, other_side = (users, items, "right") if side == "left" else (items, users, "left")
+    fitted, _ = cluster.cluster_side(other, other_side, m, 6, 5, 1)
+    path = scratch_path(spark, "labels")
+    at = jobs.export_labels(own, side, m, fitted, path)
+    x, u = tables.split_at(F.col("features"), at)
+    rows = tables.read_libsvm(spark, path, at + 6).select(F.size(x).alias("attributes"), F.posexplode(u).alias("cluster_id", "u"))
+    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("liked"), F.max("attributes").alias("split_at"))
+
+
+@query("job_export_users")
+def job_export_users(spark: SparkSession, sf: str) -> DataFrame:
+    return exported_labels(spark, sf, "left")
+
+
+@query("job_export_items")
+def job_export_items(spark: SparkSession, sf: str) -> DataFrame:
+    return exported_labels(spark, sf, "right")
+
+
+@query("job_explain", sql_of("SELECT path, CAST(var AS INTEGER) AS var, round(rel_size, 6) AS rel_size, round(data_entropy, 6) AS data_entropy FROM tree2_3", "tree2_3"))
+def job_explain(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = jobs.explain(spark, label_file(spark, sf), 9, 4, size_file(spark, sf), scratch_path(spark, "tree"),
+                         max_level=2, num_candidates=3)
+    return nodes.select("path", "var", F.round("rel_size", 6).alias("rel_size"), F.round("data_entropy", 6).alias("data_entropy"))
+
+
+@query("job_prune_sweep", sql_of("""SELECT b.tree_id, round(b.lam, 9) AS lam, f.leaves AS fixed_leaves
+  FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY pruned_quality DESC, lam DESC) AS rn FROM sw_sweep) b JOIN fx_sweep f USING (tree_id) WHERE rn = 1""",
+                                 "sw_sweep", "fx_sweep"))
+def job_prune_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    picked = jobs.prune_sweep(supplier_trees(spark, sf), scratch_path(spark, "sweep"))
+    return picked.select("tree_id", F.round("lam", 9).alias("lam"), "fixed_leaves")
+
+
+@query("job_gradient_bench")
+def job_gradient_bench(spark: SparkSession, sf: str) -> DataFrame:
+    """One full-batch gradient over a random 100+100 tri-state dyad per order, k = 20."""
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    left = sample.random_tri_vectors(ids, 100, 1).select(F.col("id"), F.col("vec").alias("x"))
+    both = left.join(sample.random_tri_vectors(ids, 100, 2).select("id", F.col("vec").alias("y")), "id")
+    grads = learn.batch_gradients(both.withColumn("label", F.lit(True)), {0: (I.matrix(20, 101), I.matrix(20, 101, 2))})
+    norm = F.aggregate("total", F.lit(0.0), lambda a, v: a + F.abs(v))
+    return grads.select("side", "row", "n", F.round(norm, 3).alias("size"))
 
