@@ -55,23 +55,30 @@ def block_widths(df: DataFrame, *cols: str) -> DataFrame:
     return df.agg(*aggs)
 
 
-def fill_positions(entries: Column, width: Column, default: float = 0.0) -> Column:
-    """Array of ``width`` doubles from ``(pos, value)`` structs with distinct positions.
+def nonzero(dense: Column) -> Column:
+    """Dense array to sorted ``(pos, value)`` structs of its non-zero values."""
+    indexed = F.transform(dense, lambda v, i: F.struct(i.alias("pos"), v.alias("value")))
+    return F.filter(indexed, lambda e: e["value"] != 0)
 
-    Gaps between consecutive sorted positions are filled, so the cost is linear in the width.
-    No lambda sits inside another: Spark cannot hand such an expression to a Python function.
+
+def fill_positions(entries: Column, width: Column, kind: str = "double") -> Column:
+    """Array of ``width`` values from sorted ``(pos, value)`` structs with distinct positions, else 0.
+
+    Gaps between consecutive positions are filled, so the cost is linear in the width. ``entries``
+    should be a plain column, as it is read for every element. No lambda sits inside another: Spark
+    cannot hand such an expression to a Python function.
     """
-    ordered = F.sort_array(entries)
-    n = F.size(ordered)
+    n = F.size(entries)
+    zero = F.lit(0).cast(kind)
 
     def piece(e: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(ordered, i - 1)["pos"])
-        gap = F.array_repeat(F.lit(default), (e["pos"] - before - 1).cast("int"))
-        return F.concat(gap, F.array(e["value"].cast("double")))
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(entries, i - 1)["pos"])
+        gap = F.array_repeat(zero, (e["pos"] - before - 1).cast("int"))
+        return F.concat(gap, F.array(e["value"].cast(kind)))
 
-    last = F.when(n == 0, F.lit(-1)).otherwise(F.get(ordered, n - 1)["pos"])
-    tail = F.array_repeat(F.lit(default), (width - last - 1).cast("int"))
-    return F.concat(F.flatten(F.transform(ordered, piece)), tail)
+    last = F.when(n == 0, F.lit(-1)).otherwise(F.get(entries, n - 1)["pos"])
+    tail = F.array_repeat(zero, (width - last - 1).cast("int"))
+    return F.concat(F.flatten(F.transform(entries, piece)), tail)
 
 
 def one_hot(codes: Column, slots: Column) -> Column:

@@ -15,6 +15,7 @@ from duoscope.operators.project import UtilityModel, once
 from duoscope.session import collect_bounded
 
 MAX_CLUSTERS = 100_000
+MAX_POPULAR = 1_000_000
 
 
 def kmeans(entities: DataFrame, vec: str = "vec", k: int = fixed.NUM_CLUSTERS,
@@ -83,17 +84,19 @@ def predicted_users(users: DataFrame, popular: DataFrame, model: UtilityModel) -
     one place per popular item anyway, so the projected items are model-sized; they are broadcast
     as one matrix and no (user, item) pair is ever a row.
     """
-    mapped = model.map_right(popular.where(F.col("vec").isNotNull())).select("idx", "proj")
+    known = model.map_right(popular.where(F.col("vec").isNotNull())).select("idx", "proj")
     width = popular.count()
-    rows = collect_bounded(mapped, 1_000_000, "popular items")
-    order = np.array([r["idx"] for r in rows], dtype=int)
+    rows = collect_bounded(known, MAX_POPULAR, "popular items")
+    at = np.array([r["idx"] for r in rows], dtype=int)
     matrix = np.array([r["proj"] for r in rows], dtype=float)
-    likes = model.map_left(users).select("user_id", model.likes(F.col("proj"), matrix).alias("u"))
-    place = np.full(width, -1)
-    place[order] = np.arange(len(order))
-    at = F.lit([int(p) for p in place])
-    value = F.transform(at, lambda p: F.when(p < 0, 0).when(F.get("u", p) == 1, 1).otherwise(-1).cast("tinyint"))
-    return likes.select("user_id", value.alias("tri"))
+
+    @F.pandas_udf("array<tinyint>")
+    def code(p: pd.Series) -> pd.Series:
+        out = np.zeros((len(p), width), dtype="int8")
+        out[:, at] = np.where(model.over_half(np.vstack(p.to_numpy()), matrix), 1, -1)
+        return pd.Series(list(out))
+
+    return model.map_left(users).select("user_id", once(code)(F.col("proj")).alias("tri"))
 
 
 def clustering_entropy(assigned: DataFrame, sizes: Column, width: int) -> DataFrame:

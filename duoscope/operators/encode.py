@@ -35,15 +35,14 @@ def distinct_genres(items: DataFrame) -> DataFrame:
     return items.select(F.explode(F.split("genres", r"\|")).alias("genre")).distinct()
 
 
-def position_vectors(entries: DataFrame, key: str, width: Column, default: float = 0.0) -> DataFrame:
-    """``(key, pos, value)`` to ``(key, vec)``.
+def position_entries(entries: DataFrame, key: str) -> DataFrame:
+    """``(key, pos, value)`` to ``(key, entries)``: the sparse vector of each key.
 
     Repeated positions keep the largest value; that first aggregation runs map-side, so a key with
-    very many raw rows reaches the second one with at most ``width`` of them.
+    very many raw rows reaches the second one with at most one row per vector position.
     """
     unique = entries.groupBy(key, "pos").agg(F.max("value").alias("value"))
-    lists = unique.groupBy(key).agg(F.collect_list(F.struct("pos", "value")).alias("entries"))
-    return lists.select(key, V.fill_positions(F.col("entries"), width, default).alias("vec"))
+    return unique.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("entries"))
 
 
 def tag_vectors(tags: DataFrame) -> DataFrame:
@@ -52,7 +51,8 @@ def tag_vectors(tags: DataFrame) -> DataFrame:
     entries = tags.select(
         "item_id", (F.col("tag_id") - 1).alias("pos"), F.col("relevance").alias("value")
     )
-    return position_vectors(entries, "item_id", width)
+    return position_entries(entries, "item_id").select(
+        "item_id", V.fill_positions(F.col("entries"), width).alias("vec"))
 
 
 def item_counts(ratings: DataFrame) -> DataFrame:
@@ -92,15 +92,18 @@ def dense_index(counts: DataFrame, min_ratings: int = fixed.MIN_RATINGS, blocks:
     )
 
 
+def user_entries(outcomes: DataFrame, id_map: DataFrame) -> DataFrame:
+    """Sparse tri-state vectors of users over the popular items: +1 / -1 where rated."""
+    entries = joins.popular_ratings(outcomes, id_map).select(
+        "user_id", F.col("idx").alias("pos"), F.when(F.col("outcome"), 1.0).otherwise(-1.0).alias("value"))
+    return position_entries(entries, "user_id")
+
+
 def user_vectors(outcomes: DataFrame, id_map: DataFrame) -> DataFrame:
-    """Tri-state vectors of users over the popular items: +1 / -1, unrated 0."""
+    """The same as dense ``tri`` arrays, unrated 0."""
     width = id_map.agg(F.count(F.lit(1))).scalar()
-    entries = joins.popular_ratings(outcomes, id_map).select(
-        "user_id", F.col("idx").alias("pos"),
-        F.when(F.col("outcome"), 1.0).otherwise(-1.0).alias("value"),
-    )
-    vec = position_vectors(entries, "user_id", width)
-    return vec.select("user_id", F.col("vec").cast("array<tinyint>").alias("tri"))
+    return user_entries(outcomes, id_map).select(
+        "user_id", V.fill_positions(F.col("entries"), width, "tinyint").alias("tri"))
 
 
 def without_item(tri: Column, idx: Column) -> Column:
@@ -123,19 +126,19 @@ def dyad_ids(outcomes: DataFrame, items: DataFrame, users: DataFrame) -> DataFra
     return kept.join(users.select("user_id"), "user_id", "left_semi")
 
 
-def dyads(outcomes: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
-    """Full dyads: both vectors next to the label."""
-    none_bool, none_tri = F.lit(None).cast("array<boolean>"), F.lit(None).cast("array<tinyint>")
-    left = users.select(
-        "user_id", none_bool.alias("left_bin"), F.col("tri").alias("left_tri"),
-        F.lit(None).cast("array<double>").alias("left_num"),
-    )
-    right = items.select(
-        "item_id", F.col("bin").alias("right_bin"), none_tri.alias("right_tri"),
-        F.col("num").alias("right_num"),
-    )
-    with_items = joins.salted_join(outcomes, right, "item_id", spread_by=["user_id"])
-    return joins.salted_join(with_items, left, "user_id", spread_by=["item_id"]).withColumnRenamed("outcome", "label")
+def sparse_dyads(outcomes: DataFrame, items: DataFrame, users: DataFrame, left_width: int) -> DataFrame:
+    """``(user_id, item_id, label, indices, values)``: both vectors side by side, zeros left out.
+
+    ``items`` is ``(item_id, bin, num)``, ``users`` is ``(user_id, entries)``. Users rate few of the
+    popular items, so a row costs what was rated and not the width of the vectors.
+    """
+    dense = V.to_dense(F.col("bin"), F.lit(None).cast("array<tinyint>"), F.col("num"))
+    right = items.select("item_id", V.nonzero(dense).alias("r")).select(
+        "item_id", F.transform("r.pos", lambda p: p + left_width).alias("rp"), F.col("r.value").alias("rv"))
+    left = users.select("user_id", F.col("entries.pos").alias("lp"), F.col("entries.value").alias("lv"))
+    return joins.join_sides(outcomes, left, right).select(
+        "user_id", "item_id", F.col("outcome").alias("label"),
+        F.concat("lp", "rp").alias("indices"), F.concat("lv", "rv").alias("values"))
 
 
 # -- categorical points -------------------------------------------------------------------------

@@ -22,8 +22,8 @@ from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.functions import vectors as V
 from duoscope.operators import sample
-from duoscope.operators.joins import salted_join
-from duoscope.operators.project import UtilityModel, stack
+from duoscope.operators.joins import join_sides
+from duoscope.operators.project import UtilityModel, project, stack
 from duoscope.session import collect_bounded, cut_lineage
 
 NO_PROGRESS = 1e-5
@@ -52,9 +52,7 @@ def with_vectors(dyads: DataFrame, users: DataFrame, items: DataFrame) -> DataFr
     """``(…, x, y, label)`` from id dyads and the two ``(id, vec)`` tables."""
     left = users.select("user_id", F.col("vec").alias("x"))
     right = items.select("item_id", F.col("vec").alias("y"))
-    return salted_join(
-        salted_join(dyads, right, "item_id", spread_by=["user_id"]), left, "user_id",
-        spread_by=["item_id"])
+    return join_sides(dyads, left, right)
 
 
 # -- gradients --------------------------------------------------------------------------------
@@ -228,21 +226,36 @@ def hit_rate(scored: DataFrame) -> DataFrame:
 
 def hit_rates(dyads: DataFrame, users: DataFrame, items: DataFrame,
               models: dict[int, UtilityModel]) -> DataFrame:
-    """``(model, hit_rate, n)`` of many models in one pass over the dyads."""
-    shared = dyads.sparkSession.sparkContext.broadcast(models)
+    """``(model, hit_rate, n)`` of many models in one pass over the dyads.
+
+    Entities are projected once for all models together and dyads carry the projections, unless
+    those are wider than the entity vectors themselves.
+    """
+    ids = list(models)
+    ks = [models[i].w.shape[0] for i in ids]
+    starts = np.cumsum([0, *ks[:-1]])
+    lam = np.array([models[i].lam for i in ids])
+    w, v = np.vstack([models[i].w for i in ids]), np.vstack([models[i].v for i in ids])
+    bias_left, bias_right = models[ids[0]].biased_left, models[ids[0]].biased_right
+    early = 2 * sum(ks) < w.shape[1] + v.shape[1]
+    if early:
+        users = users.select("user_id", project(F.col("vec"), w, bias_left).alias("vec"))
+        items = items.select("item_id", project(F.col("vec"), v, bias_right).alias("vec"))
+    shared = dyads.sparkSession.sparkContext.broadcast((w, v))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            label = b["label"].to_numpy(dtype=bool)
-            out = []
-            for m, f in shared.value.items():
-                px = stack(b["x"], f.biased_left, f.w.shape[1]) @ f.w.T
-                py = stack(b["y"], f.biased_right, f.v.shape[1]) @ f.v.T
-                score = 1.0 / (1.0 + np.exp(-(px * py).sum(axis=1) / f.lam))
-                out.append((m, float(((score > 0.5) == label).sum()), float(len(b))))
-            yield pd.DataFrame(out, columns=["model", "hits", "n"])
+            if early:
+                px, py = np.vstack(b["x"].to_numpy()), np.vstack(b["y"].to_numpy())
+            else:
+                wm, vm = shared.value
+                px, py = stack(b["x"], bias_left, wm.shape[1]) @ wm.T, stack(b["y"], bias_right, vm.shape[1]) @ vm.T
+            dots = np.add.reduceat(px * py, starts, axis=1)
+            over = 1.0 / (1.0 + np.exp(-dots / lam)) > 0.5
+            hits = (over == b["label"].to_numpy(dtype=bool)[:, None]).sum(axis=0)
+            yield pd.DataFrame({"model": ids, "hits": hits.astype(float), "n": float(len(b))})
 
     rows = with_vectors(dyads, users, items).select("x", "y", "label").mapInPandas(
         count, "model int, hits double, n double")

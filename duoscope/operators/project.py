@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.functions import vectors as V
-from duoscope.operators.joins import salted_join
+from duoscope.operators.joins import join_sides
 
 MODEL_LIMIT = 50_000_000
 
@@ -112,21 +112,19 @@ class UtilityModel:
         """Each entity is projected once; dyads carry ids and meet two k-vectors."""
         left = self.map_left(users).select("user_id", F.col("proj").alias("left_proj"))
         right = self.map_right(items).select("item_id", F.col("proj").alias("right_proj"))
-        both = salted_join(
-            salted_join(dyads, right, "item_id", spread_by=["user_id"]), left, "user_id",
-            spread_by=["item_id"])
-        return both.withColumn("utility", self.value(F.col("left_proj"), F.col("right_proj")))
+        return join_sides(dyads, left, right).withColumn("utility", self.value(F.col("left_proj"), F.col("right_proj")))
 
     def likes(self, proj: Column, opposite: np.ndarray) -> Column:
         """0/1 per projected opposite vector (centroids or popular items), one product per batch."""
-        lam = self.lam
-
         @F.pandas_udf("array<int>")
-        def over_half(p: pd.Series) -> pd.Series:
-            dots = np.vstack(p.to_numpy()) @ opposite.T
-            return pd.Series(list((1.0 / (1.0 + np.exp(-dots / lam)) > 0.5).astype("int32")))
+        def liked(p: pd.Series) -> pd.Series:
+            return pd.Series(list(self.over_half(np.vstack(p.to_numpy()), opposite).astype("int32")))
+
+        return once(liked)(proj)
 
-        return once(over_half)(proj)
+    def over_half(self, proj: np.ndarray, opposite: np.ndarray) -> np.ndarray:
+        """Is the utility of each row with each opposite vector above one half?"""
+        return 1.0 / (1.0 + np.exp(-(proj @ opposite.T) / self.lam)) > 0.5
 
     def save(self, spark: SparkSession, path: str) -> None:
         from duoscope.sources.tables import write_factors

@@ -229,7 +229,7 @@ def parse_reports(texts: DataFrame) -> DataFrame:
     The fold keeps the last path seen at each depth. A line at a depth that is still on the stack is
     a right child, otherwise a left one.
     """
-    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     empty = F.struct(
         F.array().cast("array<string>").alias("stack"), F.array().cast("array<string>").alias("paths"))
 
@@ -261,14 +261,29 @@ def parse_reports(texts: DataFrame) -> DataFrame:
     )
 
 
+REPORT_END = "\f"
+
+
 def write_reports(texts: DataFrame, path: str) -> None:
-    """One folder per tree."""
-    texts.select("tree_id", "value").repartition("tree_id").write.partitionBy("tree_id").text(path)
+    """Reports of many trees as text: a line with the tree's id, the report, a form feed.
+
+    One file per partition instead of one per tree.
+    """
+    body = F.concat_ws("\n", F.col("tree_id").cast("string"), "value")
+    texts.select(body.alias("value")).write.option("lineSep", REPORT_END).text(path)
 
 
 def read_reports(spark, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True)
-    return texts.select("tree_id", F.regexp_replace("value", r"\n+$", "").alias("value"))
+    texts = spark.read.text(path, lineSep=REPORT_END)
+    head = r"^([0-9]+)\n"
+    return texts.select(
+        F.regexp_extract("value", head, 1).cast("bigint").alias("tree_id"),
+        F.regexp_replace("value", head, "").alias("value"))
+
+
+def read_report(spark, path: str, tree_id: int = 0) -> DataFrame:
+    """Files that hold one plain report each, with the given id for all of them."""
+    return spark.read.text(path, wholetext=True).select(F.lit(tree_id).alias("tree_id"), "value")
 
 
 def member_rows(rows: DataFrame, nodes: DataFrame, strict: bool = False) -> DataFrame:

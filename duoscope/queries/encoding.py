@@ -94,19 +94,15 @@ view("user_tri", """SELECT u.user_id, i.idx, coalesce(p.value, 0) AS value FROM
   CROSS JOIN id_map i LEFT JOIN user_pos p ON p.user_id = u.user_id AND p.pos = i.idx""", "user_pos", "id_map")
 
 
-@query("enc_user_tri", sql_of("SELECT user_id, string_agg(value::VARCHAR, ',' ORDER BY idx) AS tri FROM user_tri GROUP BY 1", "user_tri"))
+@query("enc_user_tri", sql_of("SELECT user_id, CAST(pos AS INTEGER) AS pos, CAST(value AS INTEGER) AS value, (SELECT count(*) FROM id_map)::INTEGER AS width FROM user_pos",
+                              "user_pos", "id_map"))
 def enc_user_tri(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense tri-state vectors, shown as their width and non-zero places."""
     users = encode.user_vectors(I.outcomes(spark, sf), I.id_map(spark, sf))
-    return users.select("user_id", F.array_join("tri", ",").alias("tri"))
+    places = users.select("user_id", F.size("tri").alias("width"), F.posexplode("tri").alias("pos", "value"))
+    return places.where("value <> 0").withColumn("value", F.col("value").cast("int"))
 
 
-@query("enc_item", sql_of("SELECT item_id, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM item_long", "item_long"))
-def enc_item(spark: SparkSession, sf: str) -> DataFrame:
-    coded = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
-    return long(I.dense(coded.withColumn("tri", F.lit(None).cast("array<tinyint>")), "item_id"), "item_id")
-
-
-# One bit per user (their first rated place) and factors as in the other scoring queries.
 view("popular_proj", "SELECT idx, row, p FROM id_map JOIN pi USING (item_id)", "id_map", "pi")
 view("pair_scores", "SELECT pu.user_id, q.idx, sum(pu.p * q.p) AS d FROM pu JOIN popular_proj q USING (row) GROUP BY 1, 2",
      "pu", "popular_proj")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import vectors as V
-from duoscope.operators import cluster, encode, project
+from duoscope.operators import cluster, encode, joins, project
 from duoscope.queries import inputs as I
 from duoscope.queries.registry import query, sql_of
 from duoscope.session import scratch_path, table
@@ -89,10 +89,7 @@ def snk_id_map(spark: SparkSession, sf: str) -> DataFrame:
 def mixed_dyads(spark: SparkSession, sf: str) -> DataFrame:
     left = I.mixed_users(spark, sf).toDF("user_id", *[f"left_{b}" for b in tables.BLOCKS])
     right = I.mixed_items(spark, sf).toDF("item_id", *[f"right_{b}" for b in tables.BLOCKS])
-    from duoscope.operators.joins import salted_join
-
-    both = salted_join(I.labelled(spark, sf), right, "item_id", spread_by=["user_id"])
-    return salted_join(both, left, "user_id", spread_by=["item_id"])
+    return joins.join_sides(I.labelled(spark, sf), left, right)
 
 
 DYAD_SQL = """SELECT count(*) AS n, sum(CASE WHEN outcome THEN 1 ELSE 0 END)::BIGINT AS positive,

@@ -252,7 +252,7 @@ def coded(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     rated = I.outcomes(spark, sf)
     mapping = I.id_map(spark, sf)
     items = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
-    return {"outcomes": rated, "items": items, "users": encode.user_vectors(rated, mapping), "id_map": mapping}
+    return {"outcomes": rated, "items": items, "users": encode.user_entries(rated, mapping), "id_map": mapping}
 
 
 @query("job_export_dyads", sql_of("""SELECT count(*) AS n, sum(CASE WHEN outcome THEN 1 ELSE 0 END)::BIGINT AS positive FROM outcomes

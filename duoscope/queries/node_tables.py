@@ -185,11 +185,11 @@ view("report", f"""SELECT tree_id, path, row_number() OVER (PARTITION BY tree_id
 
 @query("snk_tree_text", sql_of("SELECT tree_id, string_agg(line, chr(10) ORDER BY line_no) AS value FROM report GROUP BY 1", "report"))
 def snk_tree_text(spark: SparkSession, sf: str) -> DataFrame:
-    """One report file per tree, with variable names, read back as whole texts."""
+    """Reports with variable names, written as text and read back."""
     path = scratch_path(spark, "reports")
     names = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(QUESTIONS)], "var int, name string")
     trees.write_reports(trees.reports(trees.report_lines(supplier_trees(spark, sf), names)), path)
-    return trees.read_reports(spark, path).select(F.col("tree_id").cast("bigint").alias("tree_id"), "value")
+    return trees.read_reports(spark, path)
 
 
 @query("src_tree_text", sql_of("""SELECT tree_id, path, var, CASE WHEN abs(lo) < CAST('inf' AS DOUBLE) THEN round(lo, 4) END AS lo, CASE WHEN abs(hi) < CAST('inf' AS DOUBLE) THEN round(hi, 4) END AS hi,
@@ -198,7 +198,7 @@ def src_tree_text(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "reports")
     trees.write_reports(trees.reports(trees.report_lines(supplier_trees(spark, sf))), path)
     back = trees.parse_reports(trees.read_reports(spark, path))
-    return back.select(F.col("tree_id").cast("bigint").alias("tree_id"), "path", "var", finite("lo"), finite("hi"),
+    return back.select("tree_id", "path", "var", finite("lo"), finite("hi"),
                        F.round("rel_size", 6).alias("rel_size"), "data_entropy")
 
 

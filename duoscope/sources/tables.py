@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duoscope.functions import vectors as V
 
 SIDES = ("left", "right")
 BLOCKS = ("bin", "tri", "num")
 WIDTHS = [f"{side}_{block}" for side in SIDES for block in BLOCKS]
+VECTOR_ROWS = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
 
 
 # -- libsvm ---------------------------------------------------------------------------------
@@ -47,17 +50,28 @@ def split_at(features, n: int):
 # -- dyads ----------------------------------------------------------------------------------
 
 def write_dyads(dyads: DataFrame, path: str) -> None:
-    """Dyads as ``(label, features)`` Parquet and a one-row table of named block widths.
+    """Dyads as ``(label double, features vector)`` Parquet and a one-row table of named block widths.
 
     Input columns: ``left_bin … right_num`` and ``label boolean``; every row has the same widths.
     """
     dense = F.concat(*[V.to_dense(*[F.col(f"{s}_{b}") for b in BLOCKS]) for s in SIDES])
-    dyads.select(F.col("label").cast("double").alias("label"), dense.alias("features")).write.parquet(
-        f"{path}/rows"
-    )
+    dyads.select(*labeled_point(F.col("label"), dense)).write.parquet(f"{path}/rows")
     V.block_widths(dyads, *WIDTHS).write.parquet(f"{path}/widths")
 
 
+def write_sparse_dyads(rows: DataFrame, widths: dict[str, int], path: str) -> None:
+    """Sparse dyads ``(label, indices, values)`` with known widths, in the layout of ``write_dyads``.
+
+    The struct has the storage form of a sparse ML vector, so both kinds read back the same way.
+    """
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(sum(widths.values())).alias("size"), "indices", "values")
+    rows.select(F.col("label").cast("double").alias("label"), vector.alias("features")).write.parquet(f"{path}/rows")
+    values = [(widths.get(w, 0), widths.get(w, 0)) for w in WIDTHS]
+    names = ", ".join(f"{w} int, {w}_min int" for w in WIDTHS)
+    rows.sparkSession.createDataFrame([tuple(v for pair in values for v in pair)], names).write.parquet(f"{path}/widths")
+
+
 def read_widths(spark: SparkSession, path: str) -> dict[str, int]:
     row = spark.read.parquet(f"{path}/widths").first().asDict()
     for name in WIDTHS:
@@ -66,16 +80,17 @@ def read_widths(spark: SparkSession, path: str) -> dict[str, int]:
     return {name: row[name] for name in WIDTHS}
 
 
-def read_dyads(spark: SparkSession, path: str) -> DataFrame:
-    """Back to blocks; a row of another total width fails the read."""
-    w = read_widths(spark, path)
-    total = sum(w.values())
-    n_left = w["left_bin"] + w["left_tri"] + w["left_num"]
-    raw = spark.read.parquet(f"{path}/rows")
-    checked = F.when(F.size("features") == total, F.col("features")).otherwise(
-        F.raise_error(F.lit(f"dyad width differs from {total}")).cast("array<double>")
-    )
-    raw = raw.select("label", checked.alias("f"))
+def read_dyads(spark: SparkSession, path: str, widths: dict[str, int] | None = None) -> DataFrame:
+    """Back to blocks; a row of another total width fails the read.
+
+    With ``widths`` given, ``path`` is a plain ``(label, features vector)`` Parquet folder.
+    """
+    w = read_widths(spark, path) if widths is None else {name: widths.get(name, 0) for name in WIDTHS}
+    rows = spark.read.schema(VECTOR_ROWS).parquet(f"{path}/rows" if widths is None else path)
+    rows = rows.select("label", vector_to_array("features").alias("f"))
+    total, n_left = sum(w.values()), w["left_bin"] + w["left_tri"] + w["left_num"]
+    wrong = F.raise_error(F.lit(f"dyad width differs from {total}")).cast("array<double>")
+    rows = rows.select("label", F.when(F.size("f") == total, F.col("f")).otherwise(wrong).alias("f"))
     cols = []
     for side, dense in (
         ("left", F.slice("f", 1, n_left)),
@@ -83,7 +98,7 @@ def read_dyads(spark: SparkSession, path: str) -> DataFrame:
     ):
         parts = V.from_dense(dense, w[f"{side}_bin"], w[f"{side}_tri"])
         cols += [p.alias(f"{side}_{b}") for p, b in zip(parts, BLOCKS)]
-    return raw.select(*cols, (F.col("label") > 0).alias("label"))
+    return rows.select(*cols, (F.col("label") > 0).alias("label"))
 
 
 def copy_dyads_orc(spark: SparkSession, path: str, out: str) -> None:

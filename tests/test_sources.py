@@ -60,7 +60,9 @@ def test_dyads_round_trip_and_width_check(spark, tmp_path):
     row = (None, [1, 0, -1], None, [True, False], None, [0.5], True)
     tables.write_dyads(spark.createDataFrame([row], schema), str(tmp_path / "d"))
     assert tuple(tables.read_dyads(spark, str(tmp_path / "d")).first()) == row
-    bad = spark.createDataFrame([(1.0, [1.0, 2.0])], "label double, features array<double>")
+    from pyspark.ml.linalg import Vectors
+
+    bad = spark.createDataFrame([(1.0, Vectors.dense([1.0, 2.0]))], ["label", "features"])
     bad.write.mode("append").parquet(str(tmp_path / "d/rows"))
     with pytest.raises(Exception, match="dyad width"):
         tables.read_dyads(spark, str(tmp_path / "d")).collect()
@@ -96,3 +98,10 @@ def test_user_vectors_and_leak_option(spark):
     assert {r.user_id: r.tri for r in users.collect()} == {1: [-1, 1, 0], 3: [1, 0, 0]}
     hidden = users.where("user_id = 1").select(encode.without_item(F.col("tri"), F.lit(1)).alias("t")).first()
     assert hidden.t == [-1, 0, 0]
+
+
+def test_sparse_dyads_read_like_dense_ones(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, True, [1, 3, 5], [-1.0, 1.0, 0.5])],
+                                 "user_id long, item_id long, label boolean, indices array<int>, values array<double>")
+    tables.write_sparse_dyads(rows, {"left_tri": 3, "right_bin": 2, "right_num": 1}, str(tmp_path / "d"))
+    assert tuple(tables.read_dyads(spark, str(tmp_path / "d")).first()) == (None, [0, -1, 0], None, [True, False], None, [0.5], True)
