@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.operators.project import UtilityModel, once
-from duoscope.session import collect_bounded
+from duoscope.session import collect_bounded, spread
 
 MAX_CLUSTERS = 100_000
 MAX_POPULAR = 1_000_000
@@ -93,10 +93,12 @@ def predicted_users(users: DataFrame, popular: DataFrame, model: UtilityModel) -
     @F.pandas_udf("array<tinyint>")
     def code(p: pd.Series) -> pd.Series:
         out = np.zeros((len(p), width), dtype="int8")
-        out[:, at] = np.where(model.over_half(np.vstack(p.to_numpy()), matrix), 1, -1)
+        out[:, at] = model.over_half(np.vstack(p.to_numpy()), matrix).astype("int8") * 2 - 1
         return pd.Series(list(out))
 
-    return model.map_left(users).select("user_id", once(code)(F.col("proj")).alias("tri"))
+    # k values per user are shuffled to spread work that grows with the number of popular items
+    mapped = spread(model.map_left(users).select("user_id", "proj"), "user_id")
+    return mapped.select("user_id", once(code)(F.col("proj")).alias("tri"))
 
 
 def clustering_entropy(assigned: DataFrame, sizes: Column, width: int) -> DataFrame:

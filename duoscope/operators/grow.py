@@ -7,6 +7,7 @@ variable) and give the best splits. The driver only holds regions and candidates
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -102,23 +103,20 @@ def grow_tree(
     stops with an error, never with a smaller search.
     """
     spark = rows.sparkSession
-    found = thresholds(rows, max_bins)
-    thr = [r["thr"] for r in sorted(collect_bounded(found, MAX_VARIABLES, "variables"))]
-    thr += [[] for _ in range(num_vars - len(thr))]
     size_array = F.lit([float(v) for v in _sizes(sizes, num_clusters)])
-    base = splits.utility_columns(splits.with_bins(rows.select("x", "u"), thr), num_clusters)
-    combos = 1.0
-    for t in thr:
-        combos *= len(t) + 1
-    if strict_bounds:
-        base = base.withColumn("n", F.lit(1))
-    elif combos <= COLLAPSE_LIMIT:
-        # Bounded by the number of bin combinations, so all later levels read a small table.
-        base = cut_lineage(splits.collapse(base, num_clusters))
-    else:
-        base = base.drop("x").withColumn("n", F.lit(1))
-    base = base.persist()
+    rows = rows.select("x", "u").persist()
     try:
+        found = thresholds(rows, max_bins)
+        thr = [r["thr"] for r in sorted(collect_bounded(found, MAX_VARIABLES, "variables"))]
+        thr += [[] for _ in range(num_vars - len(thr))]
+        base = splits.utility_columns(splits.with_bins(rows, thr), num_clusters)
+        combos = math.prod(len(t) + 1 for t in thr)
+        if not strict_bounds and combos <= COLLAPSE_LIMIT:
+            # Bounded by the number of bin combinations, so all levels read a small table.
+            base = cut_lineage(splits.collapse(base, num_clusters))
+            rows.unpersist()
+        else:
+            base = base.drop(*([] if strict_bounds else ["x"])).withColumn("n", F.lit(1))
         root = Region(0, _root_entropy(base, size_array, num_clusters, root_entropy))
         open_regions, steps = {0: root}, []
         for level in range(max_level):
@@ -140,7 +138,7 @@ def grow_tree(
                 step, "region int, s_var int, s_cut int, s_value double, s_left int, s_right int"
             ) if step else None)
     finally:
-        base.unpersist()
+        rows.unpersist()
     return spark.createDataFrame(flatten(root, root.entropy), NODE_SCHEMA)
 
 

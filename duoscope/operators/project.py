@@ -20,6 +20,7 @@ from duoscope.functions import vectors as V
 from duoscope.operators.joins import join_sides
 
 MODEL_LIMIT = 50_000_000
+BLOCK_CELLS = 500_000
 
 
 def stack(series: pd.Series, bias: bool, width: int) -> np.ndarray:
@@ -123,8 +124,18 @@ class UtilityModel:
         return once(liked)(proj)
 
     def over_half(self, proj: np.ndarray, opposite: np.ndarray) -> np.ndarray:
-        """Is the utility of each row with each opposite vector above one half?"""
-        return 1.0 / (1.0 + np.exp(-(proj @ opposite.T) / self.lam)) > 0.5
+        """Is the utility of each row with each opposite vector above one half? In blocks of rows,
+        so that the doubles in between stay small however many opposite vectors there are."""
+        out = np.empty((len(proj), len(opposite)), dtype=bool)
+        step = max(1, BLOCK_CELLS // max(1, len(opposite)))
+        for i in range(0, len(proj), step):
+            d = proj[i:i + step] @ opposite.T
+            d /= -self.lam
+            np.exp(d, out=d)
+            d += 1.0
+            np.divide(1.0, d, out=d)
+            out[i:i + step] = d > 0.5
+        return out
 
     def save(self, spark: SparkSession, path: str) -> None:
         from duoscope.sources.tables import write_factors

@@ -46,7 +46,8 @@ def histogram(rows: DataFrame, width: int, *keys: str) -> DataFrame:
     row per (key, variable, bin) and task.
     """
     sums = [f"u{i}" for i in range(width)]
-    long = rows.select(*keys, F.posexplode("bins").alias("var", "bin"), "n", *sums)
+    # bins are never empty; the outer form spares a size filter that would bin every row twice
+    long = rows.select(*keys, F.posexplode_outer("bins").alias("var", "bin"), "n", *sums)
     hist = long.groupBy(*keys, "var", "bin").agg(
         F.sum("n").alias("n"), *[F.sum(u).alias(u) for u in sums]
     )

@@ -12,7 +12,7 @@ from duoscope.functions import vectors as V
 from duoscope.operators import encode, project, sample
 from duoscope.queries import inputs as I
 from duoscope.queries.registry import query, sql_of, view
-from duoscope.session import table
+from duoscope.session import scratch_path, spread, table
 from duoscope.sources import tables
 
 
@@ -103,6 +103,12 @@ def enc_user_tri(spark: SparkSession, sf: str) -> DataFrame:
     return places.where("value <> 0").withColumn("value", F.col("value").cast("int"))
 
 
+@query("enc_item", sql_of("SELECT item_id, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM item_long", "item_long"))
+def enc_item(spark: SparkSession, sf: str) -> DataFrame:
+    coded = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
+    return long(I.dense(coded.withColumn("tri", F.lit(None).cast("array<tinyint>")), "item_id"), "item_id")
+
+
 view("popular_proj", "SELECT idx, row, p FROM id_map JOIN pi USING (item_id)", "id_map", "pi")
 view("pair_scores", "SELECT pu.user_id, q.idx, sum(pu.p * q.p) AS d FROM pu JOIN popular_proj q USING (row) GROUP BY 1, 2",
      "pu", "popular_proj")
@@ -114,10 +120,11 @@ def model() -> project.UtilityModel:
 
 
 def popular_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return I.id_map(spark, sf).select("item_id", "idx").join(I.items_vec(spark, sf), "item_id", "left")
+    mapping = tables.save_once(I.id_map(spark, sf), scratch_path(spark, "id-map"))
+    return mapping.select("item_id", "idx").join(I.items_vec(spark, sf), "item_id", "left")
 
 
-_PREDICTED = sql_of("""SELECT user_id, string_agg(CASE WHEN round(d, 9) > 0 THEN '1' ELSE '-1' END, ',' ORDER BY idx) AS tri
+_PREDICTED = sql_of("""SELECT user_id, '[' || string_agg(CASE WHEN round(d, 9) > 0 THEN '1' ELSE '-1' END, ',' ORDER BY idx) || ']' AS tri
   FROM pair_scores GROUP BY 1""", "pair_scores")
 
 
@@ -129,7 +136,7 @@ def predicted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("enc_user_predicted", _PREDICTED)
 def enc_user_predicted(spark: SparkSession, sf: str) -> DataFrame:
-    return predicted(spark, sf).select("user_id", F.array_join("tri", ",").alias("tri"))
+    return predicted(spark, sf).select("user_id", F.to_json("tri").alias("tri"))
 
 
 @query("jn_cross_popular", sql_of("""SELECT user_id, count(*) AS pairs, sum(CASE WHEN round(d, 9) > 0 THEN 1 ELSE 0 END)::BIGINT AS liked
@@ -304,7 +311,7 @@ def smp_init(spark: SparkSession, sf: str) -> DataFrame:
 @query("smp_synthetic")
 def smp_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """A random tri-state vector on each side of every order."""
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    ids = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id")
     left = sample.random_tri_vectors(ids, 10, 1).withColumnRenamed("vec", "left_vec")
     return left.join(sample.random_tri_vectors(ids, 10, 2), "id").select(
         "id", F.array_join(F.col("left_vec").cast("array<int>"), ",").alias("left_tri"),

@@ -14,7 +14,7 @@ from duoscope.queries.encoding import long, model
 from duoscope.queries.files import DYAD_SQL, dyad_totals, mixed_dyads, vectors
 from duoscope.queries.node_tables import supplier_trees
 from duoscope.queries.registry import query, sql_of, view
-from duoscope.session import scratch_path, table
+from duoscope.session import scratch_path, spread, table
 from duoscope.sources import tables, text
 
 EMBEDDING_WIDTH = 64
@@ -250,7 +250,7 @@ def agg_clustering_entropy(spark: SparkSession, sf: str) -> DataFrame:
 def coded(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Encoded inputs as the jobs make them from files, here from the tables."""
     rated = I.outcomes(spark, sf)
-    mapping = I.id_map(spark, sf)
+    mapping = jobs.store_id_map(I.id_map(spark, sf))
     items = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
     return {"outcomes": rated, "items": items, "users": encode.user_entries(rated, mapping), "id_map": mapping}
 
@@ -383,7 +383,7 @@ def job_prune_sweep(spark: SparkSession, sf: str) -> DataFrame:
 @query("job_gradient_bench")
 def job_gradient_bench(spark: SparkSession, sf: str) -> DataFrame:
     """One full-batch gradient over a random 100+100 tri-state dyad per order, k = 20."""
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    ids = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id")
     left = sample.random_tri_vectors(ids, 100, 1).select(F.col("id"), F.col("vec").alias("x"))
     both = left.join(sample.random_tri_vectors(ids, 100, 2).select("id", F.col("vec").alias("y")), "id")
     grads = learn.batch_gradients(both.withColumn("label", F.lit(True)), {0: (I.matrix(20, 101), I.matrix(20, 101, 2))})
