@@ -81,6 +81,14 @@ def bin_of(value: Column, thresholds: Column) -> Column:
     return F.size(F.filter(thresholds, lambda t: t <= value))
 
 
+def block_of(value: Column, cuts: Column) -> Column:
+    """How many sorted cuts are below the value: an order-preserving block number.
+
+    Free of lambdas, so that Catalyst may derive join constraints from it.
+    """
+    return F.array_position(F.sort_array(F.array_append(cuts, value)), value).cast("int") - 1
+
+
 def bin_upper(bin_no: Column, thresholds: Column) -> Column:
     return F.coalesce(F.get(thresholds, bin_no), F.lit(float("inf")))
 
@@ -104,6 +112,12 @@ def year_names(threshold: Column, low: int = fixed.MIN_YEAR, high: int = fixed.M
     return F.concat(F.lit("< "), year), F.concat(F.lit("> "), year)
 
 
-def opinion_names() -> tuple[Column, Column]:
-    """Names of both sides of a split on a genre or on an item: dislike, like."""
-    return F.lit("👎"), F.lit("👍")
+def split_names(kind: Column, threshold: Column) -> tuple[Column, Column]:
+    """Names of the two sides of a split by the kind of its variable: ``genre`` and ``item`` read as
+    dislike and like, ``year`` as a year, everything else as the bound."""
+    opinion = kind.isin("genre", "item")
+    low_year, high_year = year_names(threshold)
+    text = bound_text(threshold)
+    low = F.when(opinion, F.lit("👎")).when(kind == "year", low_year).otherwise(F.concat(F.lit("< "), text))
+    high = F.when(opinion, F.lit("👍")).when(kind == "year", high_year).otherwise(F.concat(F.lit("> "), text))
+    return low, high

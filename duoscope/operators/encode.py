@@ -10,6 +10,7 @@ from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.functions import vectors as V
 from duoscope.operators import joins
+from duoscope.session import cut_lineage
 
 
 def with_outcome(ratings: DataFrame, bound: float = fixed.POSITIVE_RATING) -> DataFrame:
@@ -66,11 +67,13 @@ def dense_index(counts: DataFrame, min_ratings: int = fixed.MIN_RATINGS, blocks:
     items with a larger count, plus the items of earlier id blocks with the same count, plus the
     rank inside the block. Block cuts are id quantiles, so equal counts cannot pile up in one task.
     """
-    kept = counts.where(F.col("n") >= min_ratings)
+    # Read four times below: the ratings are counted once.
+    kept = cut_lineage(counts.where(F.col("n") >= min_ratings).select(F.col("item_id").cast("bigint").alias("item_id"), "n"))
     shares = [i / blocks for i in range(1, blocks)] or [0.5]
     # Collected once, so that block borders are literals and every scan agrees on them.
     cuts = kept.agg(F.percentile_approx("item_id", F.lit(shares), 10 * blocks)).first()[0]
-    placed = kept.withColumn("block", S.bin_of(F.col("item_id"), F.lit(sorted(set(cuts or [0])))))
+    borders = F.lit(sorted(set(cuts or [0]))).cast("array<bigint>")
+    placed = kept.withColumn("block", S.block_of(F.col("item_id"), borders))
     per_block = placed.groupBy("n", "block").agg(F.count(F.lit(1)).alias("m"))
     # One row per distinct count: a small table even for very many ratings.
     above = (
@@ -141,6 +144,23 @@ def sparse_dyads(outcomes: DataFrame, items: DataFrame, users: DataFrame, left_w
         F.concat("lp", "rp").alias("indices"), F.concat("lv", "rv").alias("values"))
 
 
+# -- names of vector positions --------------------------------------------------------------------
+
+def item_variables(tag_names: DataFrame, tag_width: int, genres=fixed.GENRES) -> DataFrame:
+    """``variable(var, name, kind)`` of item vectors, built to the width the vectors have."""
+    spark, n = tag_names.sparkSession, len(genres)
+    known = [(i, g, "genre") for i, g in enumerate(genres)] + [(n + tag_width, "Year", "year")]
+    tags = tag_names.where(F.col("pos").between(0, tag_width - 1)).select(
+        (F.col("pos") + n).alias("var"), "name", F.lit("tag").alias("kind"))
+    return spark.createDataFrame(known, "var int, name string, kind string").unionByName(tags)
+
+
+def user_variables(items: DataFrame, id_map: DataFrame) -> DataFrame:
+    """``variable(var, name, kind)`` of user vectors: the titles of the popular items."""
+    return items.join(id_map, "item_id").select(
+        F.col("idx").alias("var"), F.col("title").alias("name"), F.lit("item").alias("kind"))
+
+
 # -- categorical points -------------------------------------------------------------------------
 
 def column_maxima(points: DataFrame, n_codes: int) -> list[int]:

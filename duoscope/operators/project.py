@@ -144,9 +144,11 @@ class UtilityModel:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> UtilityModel:
-        from duoscope.sources.tables import read_factors
+        """From a factor table, or from a CSV pair when the path is its common prefix."""
+        from duoscope.sources import tables
 
-        factors = read_factors(spark, path)
+        csv = path.endswith(("_true", "_false"))
+        factors = tables.read_factor_csv(spark, path) if csv else tables.read_factors(spark, path)
         flags = {r["side"]: r["biased"] for r in factors.select("side", "biased").distinct().collect()}
         return UtilityModel(matrix_of(factors, "W"), matrix_of(factors, "V"), fixed.LAMBDA,
                             flags["W"], flags["V"])

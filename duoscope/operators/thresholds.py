@@ -130,7 +130,7 @@ def ranked_values(freq: DataFrame, blocks: int = 512) -> DataFrame:
     table = freq.sparkSession.createDataFrame(
         [(r["var"], sorted(set(r["cuts"]))) for r in cuts], "var int, cuts array<double>")
     placed = freq.join(F.broadcast(table), "var").withColumn(
-        "block", S.bin_of(F.col("v"), F.col("cuts"))).drop("cuts")
+        "block", S.block_of(F.col("v"), F.col("cuts"))).drop("cuts")
     inside = W.partitionBy("var", "block").orderBy("v")
     local = placed.select(
         "var", "block", "v", "c",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from duoscope.functions import scalars as S
 
+MAX_NODES = 10_000
 SWEEP_POINTS = 100
 SWEEP_MAX = 1.0 / (5 * 32)
 
@@ -188,12 +189,24 @@ def with_ids(nodes: DataFrame, *keys: str) -> DataFrame:
         parents, ["tree_id", *keys, "_over"], "left").drop("_over")
 
 
-def edges(nodes: DataFrame) -> DataFrame:
-    """Parent-child list with the bound of each side as text."""
-    label = F.when(side() == "L", F.concat(F.lit("< "), S.bound_text(F.col("hi")))).otherwise(
-        F.concat(F.lit("> "), S.bound_text(F.col("lo"))))
-    return with_ids(nodes).where(F.col("parent_id").isNotNull()).select(
-        "tree_id", "parent_id", "node_id", "var", label.alias("label"))
+def edges(nodes: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """Parent-child list with both ids, the variable and the text of the side.
+
+    With a ``variable(var, name, kind)`` table the text follows the kind of the variable.
+    """
+    found = with_ids(nodes).where(F.col("parent_id").isNotNull())
+    left = side() == "L"
+    bound = F.when(left, F.col("hi")).otherwise(F.col("lo"))
+    sign = F.when(left, F.lit("< ")).otherwise(F.lit("> "))
+    plain = F.concat(sign, S.bound_text(bound))
+    keep = ["tree_id", "parent_id", "node_id", "var"]
+    if variables is None:
+        return found.select(*keep, plain.alias("label"))
+    low, high = S.split_names(F.col("kind"), bound)
+    named = found.join(variables.select("var", "name", "kind"), "var", "left")
+    return named.select(
+        *keep, F.coalesce("name", F.lit("WRONG VARIABLE")).alias("name"),
+        F.when(F.col("kind").isNull(), plain).when(left, low).otherwise(high).alias("label"))
 
 
 def report_lines(nodes: DataFrame, variables: DataFrame | None = None) -> DataFrame:
@@ -289,14 +302,21 @@ def read_report(spark, path: str, tree_id: int = 0) -> DataFrame:
 def member_rows(rows: DataFrame, nodes: DataFrame, strict: bool = False) -> DataFrame:
     """``(id, path)`` of the leaf each row falls into, for one tree.
 
-    The filters of a leaf are those on its way from the root; the tree is a model-sized table.
+    The tree is model-sized and becomes one nested CASE expression: a row is compared once per
+    level. With ``strict`` bounds rows equal to a threshold belong to no leaf.
     """
-    marked = leaves(nodes)
-    above = _up(marked).select("tree_id", F.col("path").alias("leaf"), F.col("over").alias("path"))
-    spans = above.join(nodes.select("tree_id", "path", "var", "lo", "hi"), ["tree_id", "path"])
-    filters = spans.groupBy(F.col("leaf").alias("path")).agg(
-        F.collect_list(F.struct("var", "lo", "hi")).alias("filters"))
-    holds = S.all_filters_hold(F.col("x"), F.col("f.filters"), strict)
-    # All leaves of the one tree as a single array value; rows are explored once, without a join.
-    tree = filters.agg(F.collect_list(F.struct("path", "filters"))).scalar()
-    return rows.select("id", "x", F.explode(tree).alias("f")).where(holds).select("id", F.col("f.path").alias("path"))
+    from duoscope.session import collect_bounded
+
+    by_path = {r["path"]: r for r in collect_bounded(nodes.select("path", "var", "hi"), MAX_NODES, "nodes")}
+
+    def leaf_of(path: str) -> Column:
+        left = by_path.get(path + "L")
+        if left is None:
+            return F.lit(path)
+        value = F.get("x", F.lit(left["var"]))
+        right = leaf_of(path + "R")
+        if strict:
+            right = F.when(value > left["hi"], right)
+        return F.when(value < left["hi"], leaf_of(path + "L")).otherwise(right)
+
+    return rows.select("id", leaf_of("").alias("path")).where(F.col("path").isNotNull())

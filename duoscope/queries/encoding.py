@@ -298,7 +298,7 @@ def fn_bin(spark: SparkSession, sf: str) -> DataFrame:
 @query("fn_year_label", sql_of(f"""SELECT item_id, printf('< %.1f', round(year_scaled * {fixed.MAX_YEAR - fixed.MIN_YEAR} + {fixed.MIN_YEAR}, 1)) AS low_name,
   printf('> %.1f', round(year_scaled * {fixed.MAX_YEAR - fixed.MIN_YEAR} + {fixed.MIN_YEAR}, 1)) AS high_name FROM scaled""", "scaled"))
 def fn_year_label(spark: SparkSession, sf: str) -> DataFrame:
-    low, high = S.year_names(F.col("year_scaled"))
+    low, high = S.split_names(F.lit("year"), F.col("year_scaled"))
     return I.scaled(spark, sf).select("item_id", low.alias("low_name"), high.alias("high_name"))
 
 

@@ -169,16 +169,19 @@ def snk_libsvm(spark: SparkSession, sf: str) -> DataFrame:
                      F.sum("u").cast("double").alias("utilities"))
 
 
+def factor_cells(spark: SparkSession, sf: str) -> DataFrame:
+    cells = I.id_map(spark, sf).select(
+        F.explode(F.array(F.lit("W"), F.lit("V"))).alias("side"), F.col("idx").alias("col")
+    ).select("side", "col", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("row"))
+    return cells.withColumn("value", F.round(((F.col("row") * 7 + F.col("col") * 3) % 11 - 5) / 10.0, 6))
+
+
 @query("io_factors", sql_of("""SELECT side, CAST(row AS INTEGER) AS row, CAST(idx AS INTEGER) AS col, round(((row * 7 + idx * 3) % 11 - 5) / 10.0, 6) AS value, side = 'W' AS biased
   FROM id_map CROSS JOIN (SELECT unnest(['W', 'V']) AS side) CROSS JOIN (SELECT unnest(range(0, 3)) AS row)""", "id_map"))
 def io_factors(spark: SparkSession, sf: str) -> DataFrame:
     """One matrix column per popular item on each side, written and read back."""
     path = scratch_path(spark, "factors")
-    cells = I.id_map(spark, sf).select(
-        F.explode(F.array(F.lit("W"), F.lit("V"))).alias("side"), F.col("idx").alias("col")
-    ).select("side", "col", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("row"))
-    value = ((F.col("row") * 7 + F.col("col") * 3) % 11 - 5) / 10.0
-    tables.write_factors(cells.withColumn("value", F.round(value, 6)), path, True, False)
+    tables.write_factors(factor_cells(spark, sf), path, True, False)
     return tables.read_factors(spark, path).select("side", "row", "col", "value", "biased")
 
 
@@ -203,8 +206,3 @@ def snk_cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "counts")
     text.write_pairs(cluster.cluster_counts(vectors(spark, sf), "label"), "cluster_id", "size", path)
     return text.read_cluster_sizes(spark, path)
-
-
-def factor_frame(spark: SparkSession, k: int, d: int, shift: int = 0) -> DataFrame:
-    m = I.matrix(k, d, shift)
-    return project.factors_of(spark, m, m).where("side = 'W'").select("row", "col", "value")

@@ -249,10 +249,8 @@ def agg_clustering_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 def coded(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Encoded inputs as the jobs make them from files, here from the tables."""
-    rated = I.outcomes(spark, sf)
-    mapping = jobs.store_id_map(I.id_map(spark, sf))
     items = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
-    return {"outcomes": rated, "items": items, "users": encode.user_entries(rated, mapping), "id_map": mapping}
+    return jobs.store_codes(I.outcomes(spark, sf), items, I.id_map(spark, sf))
 
 
 @query("job_export_dyads", sql_of("""SELECT count(*) AS n, sum(CASE WHEN outcome THEN 1 ELSE 0 END)::BIGINT AS positive FROM outcomes

@@ -12,6 +12,7 @@ from duoscope.functions import vectors as V
 
 SIDES = ("left", "right")
 BLOCKS = ("bin", "tri", "num")
+CSV_CELLS = 20_000_000
 WIDTHS = [f"{side}_{block}" for side in SIDES for block in BLOCKS]
 VECTOR_ROWS = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
 
@@ -129,5 +130,35 @@ def read_factors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_factor_csv(factors: DataFrame, prefix: str, biased_left: bool, biased_right: bool) -> str:
+    """The pair ``<prefix>_<left>_<right>_W.csv`` and ``…_V.csv``, one line per matrix row.
+
+    A matrix is model-sized (checked); its lines form one text value to keep their order.
+    """
+    if factors.count() > CSV_CELLS:
+        raise ValueError("too many values for one CSV pair; use write_factors")
+    full = f"{prefix}_{str(biased_left).lower()}_{str(biased_right).lower()}"
+    for name in ("W", "V"):
+        cells = factors.where(F.col("side") == name)
+        lines = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("cells")).select(
+            "row", F.array_join(F.col("cells.value").cast("array<string>"), ",").alias("line"))
+        whole = lines.agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("lines"))
+        whole.select(F.array_join("lines.line", "\n").alias("value")).write.text(f"{full}_{name}.csv")
+    return full
+
+
+def read_factor_csv(spark: SparkSession, prefix: str) -> DataFrame:
+    """Long ``(side, row, col, value, biased)`` table from a CSV pair; bias flags come from the name."""
+    flags = dict(zip("WV", (part == "true" for part in prefix.split("_")[-2:])))
+    sides = []
+    for name in ("W", "V"):
+        text = spark.read.text(f"{prefix}_{name}.csv", wholetext=True).where(F.trim("value") != "")
+        rows = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "line"))
+        cells = rows.select("row", F.posexplode(F.split("line", ",")).alias("col", "v"))
+        sides.append(cells.select(F.lit(name).alias("side"), "row", "col", F.col("v").cast("double").alias("value"),
+                                  F.lit(flags[name]).alias("biased")))
+    return sides[0].unionByName(sides[1])
+
+
 def write_sweep(sweep: DataFrame, path: str) -> None:
     sweep.write.option("sep", ";").option("header", True).csv(path)
