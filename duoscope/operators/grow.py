@@ -104,7 +104,7 @@ def grow_tree(
     """
     spark = rows.sparkSession
     size_array = F.lit([float(v) for v in _sizes(sizes, num_clusters)])
-    rows = rows.select("x", "u").persist()
+    rows, base = rows.select("x", "u").persist(), None
     try:
         found = thresholds(rows, max_bins)
         thr = [r["thr"] for r in sorted(collect_bounded(found, MAX_VARIABLES, "variables"))]
@@ -114,16 +114,20 @@ def grow_tree(
         if not strict_bounds and combos <= COLLAPSE_LIMIT:
             # Bounded by the number of bin combinations, so all levels read a small table.
             base = cut_lineage(splits.collapse(base, num_clusters))
-            rows.unpersist()
         else:
-            base = base.drop(*([] if strict_bounds else ["x"])).withColumn("n", F.lit(1))
+            base = base.drop(*([] if strict_bounds else ["x"])).withColumn("n", F.lit(1)).persist()
         root = Region(0, _root_entropy(base, size_array, num_clusters, root_entropy))
+        rows.unpersist()  # the root's entropy has filled the binned table
         open_regions, steps = {0: root}, []
+        num_bins = max((len(t) for t in thr), default=0) + 1
         for level in range(max_level):
             if not open_regions:
                 break
             located = _locate(base, steps, strict_bounds)
-            hist = splits.histogram(located, num_clusters, "region")
+            if num_vars * num_clusters < splits.WIDE_FROM:
+                hist = splits.histogram(located, num_clusters, "region")
+            else:
+                hist = splits.wide_histogram(located, num_clusters, "region", num_vars, num_bins)
             scores = splits.split_scores(
                 splits.prefix_counts(hist, num_clusters, "region"), size_array, "region")
             top = splits.top_candidates(
@@ -139,6 +143,8 @@ def grow_tree(
             ) if step else None)
     finally:
         rows.unpersist()
+        if base is not None:
+            base.unpersist()
     return spark.createDataFrame(flatten(root, root.entropy), NODE_SCHEMA)
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from duoscope.operators import grow, trees
+from duoscope.operators import grow, splits, trees
 
 INF = math.inf
 
@@ -184,9 +184,13 @@ def fixture(seed, n=160):
     return rows
 
 
+@pytest.mark.parametrize("wide", [False, True])
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("level,c", [(3, 1), (3, 3), (4, 2)])
-def test_growth_equals_recursion(spark, strict, level, c):
+def test_growth_equals_recursion(spark, monkeypatch, strict, level, c, wide):
+    if wide:  # matrix histograms, several batches and early flushes
+        monkeypatch.setattr(splits, "WIDE_FROM", 0)
+        monkeypatch.setattr(grow, "COLLAPSE_LIMIT", 0)
     data = fixture(level * 10 + c)
     sizes = [5, 2, 3]
     df = spark.createDataFrame(data, "x array<double>, u array<int>")
@@ -231,3 +235,27 @@ def test_too_many_regions_is_an_error(spark):
     sizes = spark.createDataFrame([(0, 5), (1, 1), (2, 3)], "cluster_id int, size bigint")
     with pytest.raises(ValueError, match="too many"):
         grow.grow_tree(df, sizes, 4, 3, 4, 4, max_regions=3)
+
+
+def test_wide_histogram_equals_unpivoted_sums(spark):
+    rng = random.Random(6)
+    data = [([rng.randint(0, 3) for _ in range(6)], rng.randint(1, 4), rng.randint(0, 2), *[rng.randint(0, 4) for _ in range(3)]) for _ in range(900)]
+    rows = spark.createDataFrame(data, "bins array<smallint>, n bigint, region int, u0 bigint, u1 bigint, u2 bigint")
+    plain = splits.histogram(rows, 3, "region")
+    wide = splits.wide_histogram(rows.repartition(5), 3, "region", 6, 4)
+
+    def table(df):
+        return {(r.region, r.var, r.bin): (r.n, [float(p) for p in r.pos]) for r in df.collect()}
+
+    assert table(plain) == table(wide)
+
+
+def test_wide_histogram_flushes_when_full(spark):
+    rows = spark.createDataFrame([([k % 2, 1], 1, k % 7, k) for k in range(200)], "bins array<smallint>, n bigint, region int, u0 bigint")
+    before = splits.WIDE_CELLS
+    splits.WIDE_CELLS = 20
+    try:
+        wide = splits.wide_histogram(rows.coalesce(1), 1, "region", 2, 2).collect()
+    finally:
+        splits.WIDE_CELLS = before
+    assert sum(r.n for r in wide) == 400 and sum(r.pos[0] for r in wide) == 2 * sum(range(200))
