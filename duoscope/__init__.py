@@ -1 +1,8 @@
 """Dyadic analytics on Spark: encode, learn, cluster, label and explain pairs of entities."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
