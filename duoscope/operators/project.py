@@ -49,10 +49,10 @@ def project(dense: Column, matrix: np.ndarray, bias: bool = False) -> Column:
 def project_long(entities: DataFrame, factors: DataFrame, key: str) -> DataFrame:
     """The same product as joins and sums over the long factor table: ``(key, row, value)``.
 
-    Suits sparse vectors: only non-zero values meet the matrix, which is model-sized.
+    Suits sparse vectors: only non-zero values meet the matrix. How to join is left to Catalyst.
     """
     values = entities.select(key, F.posexplode("vec").alias("col", "x")).where(F.col("x") != 0)
-    return values.join(F.broadcast(factors), "col").groupBy(key, "row").agg(
+    return values.join(factors, "col").groupBy(key, "row").agg(
         F.sum(F.col("x") * F.col("value")).alias("value"))
 
 

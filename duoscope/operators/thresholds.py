@@ -24,6 +24,7 @@ from duoscope.session import collect_bounded, scratch_path
 
 FOLD_LIMIT = 100_000
 MAX_VARIABLES = 100_000
+MAX_CUTS = 5_000_000
 
 
 def value_frequencies(rows: DataFrame) -> DataFrame:
@@ -114,19 +115,21 @@ def thresholds(
 
 # -- wide variables ---------------------------------------------------------------------------
 
-def ranked_values(freq: DataFrame, blocks: int = 512) -> DataFrame:
+def ranked_values(freq: DataFrame, blocks: int = 256) -> DataFrame:
     """``(var, v, c, pos, cum, prev)``: exact ranks, running counts and previous values per variable.
 
     A window over a whole variable would sort it in one task. Values are distinct, so quantile
     blocks of a variable hold nearly equal numbers of rows; ranks are block offsets plus the rank
     inside the block.
     """
-    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    # Collected once, so that block borders are literals and every scan agrees on them.
+    shares = F.lit([i / blocks for i in range(1, blocks)])
+    # Collected once, so that every scan agrees on the block borders.
     cuts = collect_bounded(
         freq.groupBy("var").agg(F.percentile_approx("v", shares, 10 * blocks).alias("cuts")),
         MAX_VARIABLES, "variables",
     )
+    if len(cuts) * blocks > MAX_CUTS:  # the broadcast below stays under 40 MB
+        return ranked_values(freq, max(2, MAX_CUTS // len(cuts)))
     table = freq.sparkSession.createDataFrame(
         [(r["var"], sorted(set(r["cuts"]))) for r in cuts], "var int, cuts array<double>")
     placed = freq.join(F.broadcast(table), "var").withColumn(

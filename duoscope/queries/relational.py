@@ -97,12 +97,12 @@ def jn_ratings_items(spark: SparkSession, sf: str) -> DataFrame:
 @query("jn_ratings_users", sql_of("""SELECT o.user_id, o.item_id, o.outcome, count(*) AS n, max(r.rated) AS rated FROM outcomes o JOIN
   (SELECT user_id, count(*) AS rated FROM user_pos GROUP BY 1) r ON r.user_id = o.user_id GROUP BY 1, 2, 3""", "outcomes", "user_pos"))
 def jn_ratings_users(spark: SparkSession, sf: str) -> DataFrame:
+    """Users stay sparse across the join; a row costs what the user rated, not the vector's width."""
     rated = I.outcomes(spark, sf)
-    users = encode.user_vectors(rated, I.id_map(spark, sf))
+    users = encode.user_entries(rated, I.id_map(spark, sf))
     both = joins.salted_join(rated, users, "user_id", spread_by=["item_id"])
-    known = F.size(F.filter("tri", lambda v: v != 0)).cast("bigint")
-    return both.select("user_id", "item_id", "outcome", known.alias("rated")).groupBy("user_id", "item_id", "outcome").agg(
-        F.count(F.lit(1)).alias("n"), F.max("rated").alias("rated"))
+    return both.groupBy("user_id", "item_id", "outcome").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("entries")).cast("bigint").alias("rated"))
 
 
 @query("jn_title_map", sql_of("SELECT idx, title FROM items JOIN id_map USING (item_id)", "items", "id_map"))
