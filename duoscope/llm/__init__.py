@@ -6,7 +6,7 @@ from importlib import import_module
 
 from duoscope.llm.registry import REGISTRY
 
-for _name in ("token_blocks", "decontaminate", "exact_dup", "mixing"):
+for _name in ("token_blocks", "langid", "decontaminate", "near_dup", "exact_dup", "mixing"):
     import_module(f"duoscope.llm.{_name}")
 
 __all__ = ["REGISTRY"]
