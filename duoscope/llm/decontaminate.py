@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm.registry import query, whole_text
+from duoscope.llm.registry import packed, query, unpacked, whole_text
 from duoscope.session import scratch_path, table
 
 WINDOW = 10
@@ -178,15 +178,16 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
 
 
 def find_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` and: _n_words, _spans (hit words as [start, end) in words), _items (names as strings).
+    """row (all columns of ``docs`` but text), text and: n_words, spans (hit words as [start, end) in words), items (names as
+    strings).
 
     One pass over the documents per block of items; the automaton of a block is broadcast, its size bound by ``block_bytes``
     (a longer item is a block of its own size). Null texts have no words; no items, or items without words, hit nothing.
     """
     sc = docs.sparkSession.sparkContext
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"),
-                      F.array().cast("array<struct<a:int,b:int>>").alias("_spans"),
-                      F.array().cast("array<string>").alias("_items"))
+    out = packed(docs).select("*", F.lit(0).cast("long").alias("n_words"),
+                      F.array().cast("array<struct<a:int,b:int>>").alias("spans"),
+                      F.array().cast("array<string>").alias("items"))
     schema = out.schema
     for k, block in enumerate(item_blocks(items, block_bytes)):
         if k:
@@ -199,17 +200,17 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
             automaton = pickle.loads(shipped.value)
             names = [str(x) for x in automaton.names]
             for batch in batches:
-                at = {c: batch.schema.get_field_index(c) for c in ("text", "_n_words", "_spans", "_items")}
+                at = {c: batch.schema.get_field_index(c) for c in ("text", "n_words", "spans", "items")}
                 n_words, all_spans, all_items = [], [], []
-                for text, before, named in zip(batch.column(at["text"]), batch.column(at["_spans"]),
-                                               batch.column(at["_items"]), strict=True):
+                for text, before, named in zip(batch.column(at["text"]), batch.column(at["spans"]),
+                                               batch.column(at["items"]), strict=True):
                     words = words_of(text.as_py())
                     spans, found = automaton.scan(words)
                     n_words.append(len(words))
                     old = [(s["a"], s["b"]) for s in before.as_py()]
                     all_spans.append([{"a": a, "b": b} for a, b in (_merge([*old, *spans]) if old else spans)])
                     all_items.append(sorted({*named.as_py(), *(names[i] for i in found)}))
-                for c, values in (("_n_words", n_words), ("_spans", all_spans), ("_items", all_items)):
+                for c, values in (("n_words", n_words), ("spans", all_spans), ("items", all_items)):
                     batch = batch.set_column(at[c], batch.schema.field(at[c]), pa.array(values, batch.schema.field(at[c]).type))
                 yield batch
 
@@ -225,28 +226,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
     found = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, window)
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), hit_words(F.col("_spans")).alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"), F.col("_spans").alias("spans"))
+        "row.doc_id", "n_words", hit_words(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` with hit spans cut out of the texts, without the documents of whose words more than ``max_coverage`` is hit."""
-    schema = docs.schema
     found = find_spans(docs, items, window)
-    share = F.try_divide(hit_words(F.col("_spans")), F.col("_n_words"))
-    found = found.where(F.coalesce(share, F.lit(0.0)) <= max_coverage)
+    share = F.try_divide(hit_words(F.col("spans")), F.col("n_words"))
+    found = found.where(F.coalesce(share, F.lit(0.0)) <= max_coverage).select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [cut_words(t, [(s["a"], s["b"]) for s in spans]) if spans else t
-                     for t, spans in zip(batch.column(at).to_pylist(), batch["_spans"].to_pylist(), strict=True)]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.select(schema.names)
+                     for t, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, batch["text"].type)], ["row", "text"])
 
-    return found.drop("_n_words", "_items").mapInArrow(run, schema)
+    cut = found.mapInArrow(run, found.select("row", "text").schema)
+    return unpacked(cut, docs.columns)
 
 
 @query("op4_decontaminate")

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm.registry import query
+from duoscope.llm.registry import packed, per_process, query
 from duoscope.session import collect_bounded, scratch_path, table
 
 DIMS = 1 << 13
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> di
     drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
+        grams = per_process("grams", Grams)
         for batch in batches:
             found = [grams(t.as_py()).astype(np.int32).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(found, pa.binary())], ["lang", "counts"])
@@ -155,14 +155,15 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> di
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` and: _lang (``und`` for null texts, texts without letters and an empty model), _score (cosine,
-    0 to 1), _rejected. Only the text is read. The model has ``CENTROIDS`` rows per language and at most MAX_LANGS languages."""
+    """row (all columns but text), text and: lang (``und`` for null texts, texts without letters and an empty model), score
+    (cosine, 0 to 1), rejected. Only the text is read. The model has ``CENTROIDS`` rows per language and at most MAX_LANGS languages."""
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    schema = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score"), F.lit(False).alias("_rejected")).schema
+    rows = packed(docs)
+    schema = rows.select("*", F.lit("").alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = cloudpickle.loads(shipped.value)
-        grams = Grams()
+        grams = per_process("grams", Grams)
         names = np.array([*m["langs"], UNKNOWN], dtype=object)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -182,14 +183,15 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     rejected[some] = score[some] < SLACK * m["floors"][best[some], bucket]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)],
-                    [*batch.schema.names, "_lang", "_score", "_rejected"])
+                    [*batch.schema.names, "lang", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 @query("op2_langid")
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"),
-                        F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    doc_id = F.col("row.doc_id")
+    return found.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("lang").alias("lang_pred"),
+                        "score", "rejected")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.registry import query, whole_text
+from duoscope.llm.registry import packed, query, whole_text
 from duoscope.session import cut_lineage, scratch_path, table
 
 WEIGHTS = (1, 2, 3)
@@ -26,13 +26,17 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """A 40-bit hash of the doc_id. Rows without doc_id are told apart by their text."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 10), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and a 40-bit hash. Rows without doc_id are told apart by their text."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), whole_text(docs)))
+    """doc_id, source, size and hash."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        words(whole_text(docs)).alias("size"),
-        F.conv(F.substring(F.md5(name), 1, 10), 16, 10).cast("long").alias("h"))
+        docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
+        words(whole_text(docs)).alias("size"), hash_of(docs["doc_id"], docs["text"]).alias("h"))
 
 
 def _small(df: DataFrame, n_sources: int) -> DataFrame:
@@ -107,17 +111,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, s
     source of their own, repeated rows with one doc_id are taken alike, no documents give no rows. The
     table of sources is counted before it is broadcast.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "mix-sizes")
-    sized(docs).write.parquet(path)
-    hashed = spark.read.parquet(path)
-    per_source = targets(hashed, weights, cap, share)
-    plan = thresholds(hashed, per_source).withColumnRenamed("source", "p_source")
-    return hashed.join(_small(plan, plan.count()), hashed["source"].eqNullSafe(plan["p_source"])).select(
+    hashed, plan = _planned(docs, weights, cap, share)
+    return hashed.join(plan, hashed["source"].eqNullSafe(plan["p_source"])).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("whole") + (F.col("h") < F.col("below")).cast("long")).alias("copies"))
 
 
+def _planned(docs: DataFrame, weights: tuple[int, ...], cap: float, share: float) -> tuple[DataFrame, DataFrame]:
+    path = scratch_path(docs.sparkSession, "mix-sizes")
+    sized(docs).write.parquet(path)
+    hashed = docs.sparkSession.read.parquet(path)
+    plan = thresholds(hashed, targets(hashed, weights, cap, share)).withColumnRenamed("source", "p_source")
+    return hashed, _small(plan, plan.count())
+
+
+def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0) -> DataFrame:
+    """row (all columns but text), text and ``copies``, how often the mix takes the row."""
+    _, plan = _planned(docs, weights, cap, share)
+    rows = packed(docs)
+    rows = rows.withColumn("h", hash_of(rows["row"]["doc_id"], rows["text"]))
+    out = rows.join(plan, rows["row"]["source"].cast("string").eqNullSafe(plan["p_source"]))
+    return out.select("row", "text", (F.col("whole") + (F.col("h") < F.col("below")).cast("long")).alias("copies"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,25 @@ def whole_text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """text and ``row``, a struct of all other columns: whatever they are called, they meet no column of an operator."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"])
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])
+
+
 def parallel(df: DataFrame) -> int:
     """How many partitions a heavy step should have."""
     spark = df.sparkSession
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def per_process(key: object, make: Callable[[], Any]) -> Any:
+    """One value per worker process. Functions travel by value, so their globals are new in every task; Spark keeps the
+    processes, and what one task has loaded or learned serves the next."""
+    kept = sys.modules.setdefault("_duoscope_process", ModuleType("_duoscope_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
