@@ -2,9 +2,9 @@
 
 Every text gets a 64-bit key. The directory starts as one bucket; a bucket with more than ``CAPACITY`` keys is split by its
 next bits, and the directory doubles as often as its deepest bucket needs. Buckets are ranges of keys; each is owned by one
-task. Owners get texts only for keys that occur more than once, one per distinct text of each sending task, chain the
-different texts of a key by comparing bytes, and write the entries of their buckets as index files. Documents look their
-entry up by key and SHA-256.
+task. Sending tasks pass on each distinct text they hold once, however many rows have it; owners chain the different texts
+of a key by comparing bytes and write the entries of their buckets as index files. Documents look their entry up by key and
+SHA-256.
 """
 
 from __future__ import annotations
@@ -62,8 +62,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(starts), np.uint64)
 
 
-def _entries(docs: DataFrame, starts: np.ndarray, shared: DataFrame) -> DataFrame:
-    """The index entries of all keys in ``shared``."""
+def _entries(docs: DataFrame, starts: np.ndarray) -> DataFrame:
+    """The index entries of all texts."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list] = {}
@@ -125,8 +125,7 @@ def _entries(docs: DataFrame, starts: np.ndarray, shared: DataFrame) -> DataFram
         if links:
             yield entries()
 
-    texts = docs.select("doc_id", "key", "text", "sha").join(shared, "key", "left_semi")
-    partial = texts.mapInArrow(combine, PARTIAL)
+    partial = docs.select("doc_id", "key", "text", "sha").mapInArrow(combine, PARTIAL)
     owned = partial.repartition(parallel(docs), "bucket").sortWithinPartitions("bucket", "key")
     return owned.mapInArrow(chain, ENTRY)
 
@@ -140,19 +139,16 @@ def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).cast("binary").alias("text"))
     rows = rows.withColumns({"key": F.xxhash64("text"), "sha": F.unhex(F.sha2("text", 256))})
-    marks_path, counts_path, index_path = (scratch_path(spark, f"exact-{x}") for x in ("marks", "keys", "index"))
+    marks_path, keys_path, index_path = (scratch_path(spark, f"exact-{x}") for x in ("marks", "keys", "index"))
     rows.select("doc_id", "key", "sha").write.parquet(marks_path)
     marks = spark.read.parquet(marks_path)
-    marks.groupBy("key").agg(F.count("*").alias("n")).write.parquet(counts_path)
-    keys = spark.read.parquet(counts_path)
-    starts = directory(keys.select("key"), capacity)
-    _entries(rows, starts, keys.where("n > 1").select("key")).write.parquet(index_path)
+    marks.select("key").distinct().write.parquet(keys_path)
+    starts = directory(spark.read.parquet(keys_path), capacity)
+    _entries(rows, starts).write.parquet(index_path)
     index = spark.read.schema(ENTRY).parquet(index_path).select("key", "sha", "keep_id", "group_size")
-    found = marks.join(index, ["key", "sha"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    found = marks.join(index, ["key", "sha"])
     return found.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 OP6_SQL = """
