@@ -10,6 +10,8 @@ GENRES = [
 # Header lines of the public MovieLens 20M files.
 ITEMS_HEADER = "movieId,title,genres"
 TAG_NAMES_HEADER = "tagId,tag"
+RATINGS_HEADER = "userId,movieId,rating,timestamp"
+TAGS_HEADER = "movieId,tagId,relevance"
 
 # Rating bound and year range of the item names.
 POSITIVE_RATING = 4.0

@@ -35,7 +35,8 @@ def multi_hot(field: Column, names: Sequence[str] = fixed.GENRES) -> Column:
 
 
 def min_max(value: Column, low: Column, high: Column) -> Column:
-    return (value - low) / (high - low).cast("double")
+    """Place of the value between low and high; 0 where they are equal."""
+    return F.when(high == low, F.when(value.isNotNull(), F.lit(0.0))).otherwise(F.try_divide(value - low, (high - low).cast("double")))
 
 
 def binary_entropy(p: Column) -> Column:
@@ -48,15 +49,10 @@ def weighted_entropy(n: Column, positives: Column, sizes: Column) -> Column:
     """Cluster-size-weighted entropy of 0/1 counts: arrays ``positives`` and ``sizes`` align."""
     total = F.aggregate(sizes, F.lit(0.0), lambda a, s: a + s)
     terms = F.zip_with(positives, sizes, lambda pos, s: binary_entropy(pos / n) * s)
-    mean = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / total
+    mean = F.coalesce(F.try_divide(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t), total), F.lit(0.0))
     return F.when(n > 0, mean).otherwise(F.lit(0.0))
 
 
-def interval_holds(value: Column, low: Column, high: Column) -> Column:
-    """Open interval: both ends strict."""
-    return (value > low) & (value < high)
-
-
 def filter_holds(x: Column, filt: Column, strict: bool = True) -> Column:
     """One filter struct ``(var, lo, hi)`` on a vector; no variable lets every row through.
 

@@ -50,12 +50,13 @@ def _up(nodes: DataFrame) -> DataFrame:
 
 
 def resulting_entropy(nodes: DataFrame) -> DataFrame:
-    """Leaf: own entropy. Inner node: size-weighted mean over the leaves below."""
+    """Leaf: own entropy. Inner node: size-weighted mean over the leaves below, its own entropy where it has no size."""
     sums = _up(leaves(nodes)).groupBy("tree_id", F.col("over").alias("path")).agg(
         F.sum(F.col("data_entropy") * F.col("rel_size")).alias("_s"),
         F.count(F.lit(1)).alias("_k"), F.max("data_entropy").alias("_own"),
     )
-    re = F.when(F.col("_k") == 1, F.col("_own")).otherwise(F.col("_s") / F.col("rel_size"))
+    re = F.when(F.col("_k") == 1, F.col("_own")).otherwise(
+        F.coalesce(F.try_divide("_s", "rel_size"), F.col("data_entropy")))
     return nodes.join(sums, ["tree_id", "path"]).withColumn("resulting_entropy", re).drop("_s", "_k", "_own")
 
 
@@ -74,7 +75,8 @@ def tree_summary(nodes: DataFrame) -> DataFrame:
     return with_leaf_flag(nodes).groupBy("tree_id").agg(
         F.sum(F.when(leaf, 1)).alias("leaves"),
         F.sum(F.when(leaf, depth())).cast("bigint").alias("path_sum"),
-        (F.sum(F.when(leaf, F.col("data_entropy") * F.col("rel_size"))) / root_size).alias("resulting_entropy"),
+        F.coalesce(F.try_divide(F.sum(F.when(leaf, F.col("data_entropy") * F.col("rel_size"))), root_size), F.lit(0.0)).alias(
+            "resulting_entropy"),
     )
 
 
@@ -85,24 +87,25 @@ def quality(entropy: Column, path_sum: Column, lam: Column) -> Column:
 def _decide(nodes: DataFrame, lambdas: Sequence[float], max_depth: int | None) -> tuple[DataFrame, int]:
     """Bottom-up pruning state of every ``(tree, λ, node)``: re, paths, leaves, inner, collapsed.
 
-    The data is shuffled once by (tree, λ). Every depth is then a window over (tree, λ, ancestor at
-    that depth), which the same partitioning serves, so depths cost local sorts only. λ values are a
-    literal array: no cross join.
+    The data is shuffled once by (tree, number of the λ). Every depth is then a window over (tree, λ, ancestor at that
+    depth), which the same partitioning serves, so depths cost local sorts only. The key is the number, since a window by a
+    double is planned by its normalised value and would be shuffled anew. λ values are a literal array: no cross join.
     """
     if max_depth is None:
         max_depth = nodes.agg(F.max(depth())).first()[0] or 0
-    rows = nodes.withColumn("lam", F.explode(F.lit([float(v) for v in lambdas])))
-    rows = rows.repartition("tree_id", "lam").select(
+    rows = nodes.select("*", F.posexplode(F.lit([float(v) for v in lambdas])).alias("lam_id", "lam"))
+    rows = rows.repartition("tree_id", "lam_id").select(
         "*", F.col("data_entropy").alias("re"), depth().cast("bigint").alias("paths"),
         F.lit(1).cast("bigint").alias("leaves"), F.lit(False).alias("inner"), F.lit(False).alias("collapsed"))
     for d in range(max_depth - 1, -1, -1):
-        family = W.partitionBy("tree_id", "lam", F.col("path").substr(1, d))
+        family = W.partitionBy("tree_id", "lam_id", F.col("path").substr(1, d))
         child, here = depth() == d + 1, depth() == d
 
         def below(value: Column) -> Column:
             return F.sum(F.when(child, value)).over(family)
 
-        re = below(F.col("re") * F.col("rel_size")) / F.col("rel_size")
+        total = below(F.col("re") * F.col("rel_size"))
+        re = F.when(total.isNotNull(), F.coalesce(F.try_divide(total, "rel_size"), F.col("data_entropy")))
         rows = rows.select("*", re.alias("_re"), below(F.col("paths")).alias("_ps"), below(F.col("leaves")).alias("_lv"))
         inner = here & F.col("_re").isNotNull()
         gain = -F.col("rel_size") * (F.col("_re") - F.col("data_entropy"))
@@ -124,7 +127,7 @@ def prune(nodes: DataFrame, lambdas: Sequence[float], max_depth: int | None = No
     """
     state, top = _decide(nodes, lambdas, max_depth)
     for d in range(top):  # a node goes when a proper ancestor has collapsed
-        family = W.partitionBy("tree_id", "lam", F.col("path").substr(1, d))
+        family = W.partitionBy("tree_id", "lam_id", F.col("path").substr(1, d))
         cut_here = F.max(F.when(depth() == d, F.col("collapsed"))).over(family)
         state = state.withColumn("_cut", cut_here).where(
             (depth() <= d) | ~F.coalesce("_cut", F.lit(False))).drop("_cut")
@@ -143,13 +146,15 @@ def sweep(nodes: DataFrame, lambdas: Sequence[float] | None = None, max_depth: i
         return F.max(F.when(depth() == 0, F.col(name)))
 
     leaf = ~F.col("inner")
-    full_re = F.sum(F.when(leaf, F.col("data_entropy") * F.col("rel_size"))) / root("rel_size")
+    full_re = F.coalesce(
+        F.try_divide(F.sum(F.when(leaf, F.col("data_entropy") * F.col("rel_size"))), root("rel_size")), F.lit(0.0))
     full_paths = F.sum(F.when(leaf, depth()))
-    return state.groupBy("tree_id", "lam").agg(
-        quality(full_re, full_paths, F.col("lam")).alias("quality"),
-        quality(root("re"), root("paths"), F.col("lam")).alias("pruned_quality"),
+    one = F.max("lam")  # all rows of a number have the same λ
+    return state.groupBy("tree_id", "lam_id").agg(
+        one.alias("lam"), quality(full_re, full_paths, one).alias("quality"),
+        quality(root("re"), root("paths"), one).alias("pruned_quality"),
         root("leaves").alias("leaves"),
-    )
+    ).drop("lam_id")
 
 
 def first_changes(sweep_rows: DataFrame) -> DataFrame:

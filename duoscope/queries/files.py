@@ -16,9 +16,9 @@ from duoscope.sources import tables, text
 
 
 def write_lines(lines: DataFrame, header: str, path: str) -> None:
-    """Text lines with the header as one line of its own."""
+    """Text lines in several parts; the header is one line of its own, the other parts have none."""
     head = lines.sparkSession.createDataFrame([(header,)], "value string")
-    head.unionByName(lines).write.text(path)
+    head.unionByName(lines.repartition(3)).write.text(path)
 
 
 @query("src_items_csv", sql_of("SELECT item_id, title, genres FROM items", "items"))
@@ -32,16 +32,16 @@ def src_items_csv(spark: SparkSession, sf: str) -> DataFrame:
 @query("src_ratings_csv", sql_of("SELECT user_id, item_id, rating FROM ratings", "ratings"))
 def src_ratings_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "ratings")
-    I.ratings(spark, sf).select(
-        F.col("user_id").alias("userId"), F.col("item_id").alias("movieId"), "rating",
-        F.col("user_id").alias("timestamp")).write.option("header", True).csv(path)
+    write_lines(I.ratings(spark, sf).select(F.concat_ws(",", "user_id", "item_id", "rating", "user_id").alias("value")),
+                fixed.RATINGS_HEADER, path)
     return text.read_ratings(spark, path)
 
 
 @query("src_tags_csv", sql_of("SELECT item_id, tag_id, relevance FROM tags", "tags"))
 def src_tags_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "tags")
-    I.tags(spark, sf).toDF("movieId", "tagId", "relevance").write.option("header", True).csv(path)
+    rows = I.tags(spark, sf).toDF("item_id", "tag_id", "relevance")
+    write_lines(rows.select(F.concat_ws(",", *rows.columns).alias("value")), fixed.TAGS_HEADER, path)
     return text.read_tags(spark, path)
 
 

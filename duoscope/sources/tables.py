@@ -110,9 +110,12 @@ def copy_dyads_orc(spark: SparkSession, path: str, out: str) -> None:
 # -- maps, codes, factors --------------------------------------------------------------------
 
 def save_once(df: DataFrame, path: str) -> DataFrame:
-    """Write when the path is new, then read what is stored there."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write unless a finished write is there, then read what is stored; what a broken-off job left is written anew."""
+    spark = df.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_codes(entities: DataFrame, path: str) -> None:

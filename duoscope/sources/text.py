@@ -11,47 +11,64 @@ ITEM_LINE = r"^([^,]*),(.*),([^,]*)$"
 PAIR_LINE = r"^\(([^,]*),([^,)]*)\)$"
 
 
+def read_lines(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """All lines but those equal to the header, in whichever part they are, and empty ones."""
+    lines = spark.read.text(path).where(F.col("value") != "")
+    return lines if header is None else lines.where(F.col("value") != header)
+
+
+def fitting(lines: DataFrame, pattern: str, what: str) -> DataFrame:
+    """The lines, if all of them fit the pattern; a bad line ends the job with an error instead of vanishing."""
+    bad = F.raise_error(F.concat(F.lit(f"not a line of {what}: "), F.substring("value", 1, 200)))
+    return lines.withColumn("value", F.when(F.col("value").rlike(pattern), F.col("value")).otherwise(bad))
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """``id,title,genres`` split at the first and the last comma; quotes are kept."""
-    lines = spark.read.text(path).where(F.col("value") != fixed.ITEMS_HEADER)
-    return parse_items(lines)
+    return parse_items(read_lines(spark, path, fixed.ITEMS_HEADER))
 
 
 def parse_items(lines: DataFrame) -> DataFrame:
     def part(i: int) -> Column:
         return F.regexp_extract("value", ITEM_LINE, i)
 
-    return lines.where(F.col("value").rlike(ITEM_LINE)).select(
-        part(1).try_cast("bigint").alias("item_id"),
+    return fitting(lines, ITEM_LINE, "items").select(
+        part(1).cast("bigint").alias("item_id"),
         part(2).alias("title"),
         part(3).alias("genres"),
     )
 
 
+def _fields(spark: SparkSession, path: str, header: str, what: str) -> tuple[DataFrame, Column]:
+    """Lines of as many comma-separated fields as the header has; numbers are cast and fail when they are none."""
+    n = header.count(",")
+    return fitting(read_lines(spark, path, header), r"^[^,]*(,[^,]*){%d}$" % n, what), F.split("value", ",", -1)
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    schema = "user_id bigint, item_id bigint, rating double, ts bigint"
-    return spark.read.csv(path, header=True, schema=schema).select("user_id", "item_id", "rating")
+    lines, field = _fields(spark, path, fixed.RATINGS_HEADER, "ratings")
+    return lines.select(
+        field[0].cast("bigint").alias("user_id"), field[1].cast("bigint").alias("item_id"), field[2].cast("double").alias("rating"))
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    schema = "item_id bigint, tag_id int, relevance double"
-    return spark.read.csv(path, header=True, schema=schema)
+    lines, field = _fields(spark, path, fixed.TAGS_HEADER, "tag scores")
+    return lines.select(
+        field[0].cast("bigint").alias("item_id"), field[1].cast("int").alias("tag_id"), field[2].cast("double").alias("relevance"))
 
 
 def read_tag_names(spark: SparkSession, path: str) -> DataFrame:
     """``id,name`` split at the first comma; positions are 0-based."""
-    lines = spark.read.text(path).where(F.col("value") != fixed.TAG_NAMES_HEADER)
     line = r"^([^,]*),(.*)$"
-    return lines.select(
-        (F.regexp_extract("value", line, 1).try_cast("int") - 1).alias("pos"),
+    return fitting(read_lines(spark, path, fixed.TAG_NAMES_HEADER), line, "tag names").select(
+        (F.regexp_extract("value", line, 1).cast("int") - 1).alias("pos"),
         F.regexp_extract("value", line, 2).alias("name"),
     )
 
 
 def read_pairs(spark: SparkSession, path: str, first: str, second: str) -> DataFrame:
     """Lines ``(a,b)``; the first number may be written as a double."""
-    lines = spark.read.text(path).where(F.col("value").rlike(PAIR_LINE))
-    return lines.select(
+    return fitting(read_lines(spark, path), PAIR_LINE, "pairs").select(
         F.regexp_extract("value", PAIR_LINE, 1).cast("double").cast("bigint").alias(first),
         F.regexp_extract("value", PAIR_LINE, 2).cast("bigint").alias(second),
     )

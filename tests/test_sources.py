@@ -105,3 +105,31 @@ def test_sparse_dyads_read_like_dense_ones(spark, tmp_path):
                                  "user_id long, item_id long, label boolean, indices array<int>, values array<double>")
     tables.write_sparse_dyads(rows, {"left_tri": 3, "right_bin": 2, "right_num": 1}, str(tmp_path / "d"))
     assert tuple(tables.read_dyads(spark, str(tmp_path / "d")).first()) == (None, [0, -1, 0], None, [True, False], None, [0.5], True)
+
+
+def test_headers_go_by_equality_in_every_part(spark, tmp_path):
+    folder = tmp_path / "ratings"
+    folder.mkdir()
+    write(folder / "part-0.csv", ["userId,movieId,rating,timestamp", "1,2,4.0,9"])
+    write(folder / "part-1.csv", ["3,4,2.5,9", "5,6,1.0,9"])
+    assert {r.user_id for r in text.read_ratings(spark, str(folder)).collect()} == {1, 3, 5}
+
+
+@pytest.mark.parametrize("read, lines", [
+    (text.read_ratings, ["3,12,x,0"]), (text.read_ratings, ["3,12"]), (text.read_items, ["1,no genres"]),
+    (text.read_tag_names, ["no comma"]), (text.read_cluster_sizes, ["(1,2", "(3,4)"]), (text.read_tags, ["1,2,3,4"])])
+def test_bad_lines_fail(spark, tmp_path, read, lines):
+    with pytest.raises(Exception):
+        read(spark, write(tmp_path / "bad.csv", lines)).collect()
+
+
+def test_save_once_writes_a_broken_off_folder_anew(spark, tmp_path):
+    path = tmp_path / "m"
+    tables.save_once(spark.range(1000), str(path))
+    (path / "_SUCCESS").unlink()
+    assert tables.save_once(spark.range(9), str(path)).count() == 9
+
+
+def test_one_common_year_scales_to_zero(spark, tmp_path):
+    items = text.read_items(spark, write(tmp_path / "i.csv", ["1,A (1990),Drama", "2,B (1990),Comedy"]))
+    assert [r.year_scaled for r in encode.scaled_years(encode.parsed_items(items)).collect()] == [0.0, 0.0]

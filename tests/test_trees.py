@@ -259,3 +259,23 @@ def test_wide_histogram_flushes_when_full(spark):
     finally:
         splits.WIDE_CELLS = before
     assert sum(r.n for r in wide) == 400 and sum(r.pos[0] for r in wide) == 2 * sum(range(200))
+
+
+def test_nodes_without_size_have_values(spark):
+    rows = [("t", "", 0, 0.0, 1.0, 0.0, 0.5), ("t", "0", 0, 0.0, 1.0, 0.0, 0.2), ("t", "1", 0, 1.0, 2.0, 0.0, 0.3)]
+    nodes = spark.createDataFrame(
+        rows, "tree_id string, path string, var int, lo double, hi double, rel_size double, data_entropy double")
+    assert {r.path: r.resulting_entropy for r in trees.resulting_entropy(nodes).collect()}[""] == 0.5
+    assert trees.prune(nodes, [0.0, 0.1]).count() == 2
+    assert trees.sweep(nodes, [0.0]).first().leaves == 1
+
+
+@pytest.mark.parametrize("levels", [2, 3, 4, 5])
+def test_pruning_shuffles_once(spark, levels):
+    rows = [("t", "", 1.0, 0.9)]
+    for d in range(1, levels + 1):
+        rows += [("t", format(k, f"0{d}b"), 1.0 / 2**d, 0.9 - d / 10) for k in range(2**d)]
+    nodes = spark.createDataFrame(rows, "tree_id string, path string, rel_size double, data_entropy double").selectExpr(
+        "tree_id", "path", "0 AS var", "0.0D AS lo", "1.0D AS hi", "rel_size", "data_entropy")
+    plan = trees.prune(nodes, [0.0, 0.001, 0.01], max_depth=levels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
