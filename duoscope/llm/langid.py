@@ -114,7 +114,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> di
     drawn = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = per_process("grams", Grams)
+        grams = per_process("langid", "grams", Grams)
         for batch in batches:
             found = [grams(t.as_py()).astype(np.int32).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(found, pa.binary())], ["lang", "counts"])
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = cloudpickle.loads(shipped.value)
-        grams = per_process("grams", Grams)
+        grams = per_process("langid", "grams", Grams)
         names = np.array([*m["langs"], UNKNOWN], dtype=object)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

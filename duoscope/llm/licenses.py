@@ -195,7 +195,7 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     names = list(TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = cloudpickle.loads(shipped.value), per_process("license words", Words)
+        m, words = cloudpickle.loads(shipped.value), per_process("licenses", "words", Words)
         for batch in batches:
             out = []
             for text in batch["text"]:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import ModuleType
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +44,20 @@ def parallel(df: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def per_process(key: object, make: Callable[[], Any]) -> Any:
+def per_process(owner: str, key: object, make: Callable[[], Any]) -> Any:
     """One value per worker process. Functions travel by value, so their globals are new in every task; Spark keeps the
-    processes, and what one task has loaded or learned serves the next."""
+    processes, and what one task has loaded or learned serves the next. A new owner drops what others have left."""
     kept = sys.modules.setdefault("_duoscope_process", ModuleType("_duoscope_process")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("owner") != owner:
+        kept.update(owner=owner, values={})
+    values = kept["values"]
+    if key not in values:
+        values[key] = make()
+    return values[key]
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is computed for one of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)

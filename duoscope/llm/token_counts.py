@@ -105,7 +105,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
         model_path = public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = per_process(("unigram", model_path), lambda: UnigramTrie(*load_scores(model_path)))
+        trie = per_process("counts", model_path, lambda: UnigramTrie(*load_scores(model_path)))
         for batch in batches:
             found = [trie.count(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([
