@@ -10,9 +10,9 @@ protocol and works on every file system Spark knows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.registry import parallel, query, whole_text
+from duoscope.llm.registry import parallel, per_process, query, whole_text
 from duoscope.session import scratch_path, table
 
 BLOCK = 256
 LANES = BLOCK // 32
 PERCENTILE = 0.9
-SHARD_TOKENS = 1 << 16
-#: Distinct pieces a task remembers before it starts anew.
-CACHE_PIECES = 300_000
+SHARD_TOKENS = 1 << 18
+#: Distinct pieces a worker process remembers; the older half is forgotten when the newer half is full.
+CACHE_PIECES = 1_000_000
 MAGIC = 0x50464F52
+MARKS = (",", ".")
+#: Characters of texts encoded at once; a longer text is encoded alone.
+SLICE_CHARS = 1 << 19
 SHARD_SCHEMA = "part int, seq int, start_in_part long, n_tokens long, doc_ids array<bigint>, payload binary"
 DOC_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long"
 
@@ -37,27 +40,27 @@ DOC_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc3
 # ------------------------------------------------------------------------------------------------ block codec
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK values at ``width`` bits: value 8j+l of a block goes to lane l, place j."""
-    places = rows.reshape(len(rows), 32, LANES)
-    out = np.zeros((len(rows), width, LANES), np.uint32)
+    places = np.ascontiguousarray(rows.reshape(len(rows), 32, LANES).transpose(1, 0, 2))
+    out = np.zeros((width, len(rows), LANES), np.uint32)
     for j in range(32):
         word, shift = divmod(j * width, 32)
-        out[:, word] |= places[:, j] << np.uint32(shift)
+        out[word] |= places[j] << np.uint32(shift)
         if shift + width > 32:
-            out[:, word + 1] |= places[:, j] >> np.uint32(32 - shift)
-    return out.reshape(len(rows), width * LANES)
+            out[word + 1] |= places[j] >> np.uint32(32 - shift)
+    return out.transpose(1, 0, 2).reshape(len(rows), width * LANES)
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    lanes = words.reshape(len(words), width, LANES)
-    out = np.empty((len(words), 32, LANES), np.uint32)
+    lanes = np.ascontiguousarray(words.reshape(len(words), width, LANES).transpose(1, 0, 2))
+    out = np.empty((32, len(words), LANES), np.uint32)
     mask = np.uint32((1 << width) - 1)
     for j in range(32):
         word, shift = divmod(j * width, 32)
-        value = lanes[:, word] >> np.uint32(shift)
+        value = lanes[word] >> np.uint32(shift)
         if shift + width > 32:
-            value = value | lanes[:, word + 1] << np.uint32(32 - shift)
-        out[:, j] = value & mask
-    return out.reshape(len(words), BLOCK)
+            value = value | lanes[word + 1] << np.uint32(32 - shift)
+        out[j] = value & mask
+    return out.transpose(1, 0, 2).reshape(len(words), BLOCK)
 
 
 def encode_shard(ids: np.ndarray, doc_lengths: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -69,10 +72,10 @@ def encode_shard(ids: np.ndarray, doc_lengths: np.ndarray, percentile: float = P
     blocks = blocks.reshape(n_blocks, BLOCK)
     low = blocks.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
     rest = blocks - low[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     at = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
-    width = np.partition(bits, at, axis=1)[:, at] if n_blocks else np.zeros(0, np.uint8)
-    over = bits > width[:, None]
+    edge = np.partition(rest, at, axis=1)[:, at] if n_blocks else np.zeros(0, np.uint32)
+    width = np.frexp(edge.astype(np.float64))[1].astype(np.uint8)  # bits of the percentile's value
+    over = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     row, col = np.nonzero(over)
     values = rest[row, col]
     rest[over] = 0
@@ -124,43 +127,82 @@ class PieceEncoder:
     be cut there and its pieces encoded alone. Texts with runs of white space or other white space are encoded whole.
     """
 
-    ODD = re.compile(r"\s\s|[^\S\n ]|\x00")
-
     def __init__(self, path: str, limit: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.half, self.known, self.older = Tokenizer.from_file(path), limit // 2, {}, {}
         self.tokenizer.encode_special_tokens = True
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self._ids([text])[0]
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            known.update(zip(new, self._ids(new), strict=True))
-            return b"".join([known[p] for p in pieces])
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = (4 * np.cumsum([len(x) for x in found])).tolist()
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, ends[-1] // 4).astype("<u4", copy=False).tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > self.half:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = pieces.difference(known)
+        again = missing.intersection(older)
+        known.update((p, older[p]) for p in again)
+        missing -= again
+        # a comma or full stop after a letter is a token of its own
+        ends = {p: p[:-1] for p in missing if p[-1:] in MARKS and p[-2:-1].isalpha()}
+        new = missing.difference(ends)
+        new.update(stem for stem in ends.values() if stem not in known)
+        plain = [p for p in new if p[:1] != " " or len(p) == 1]
+        if plain:
+            known.update(zip(plain, self._ids(plain), strict=True))
+        # all others in one text: a token that starts with a blank is where the next piece starts
+        order = list(new.difference(plain))
+        if order:
+            raw = self._ids(["".join(order)])[0]
+            starts = (4 * np.flatnonzero(self.blank[np.frombuffer(raw, "<u4")])).tolist()
+            known.update(zip(order, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])], strict=True))
+        known.update((p, known[stem] + self.marks[p[-1]]) for p, stem in ends.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [None if odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        found = [p and list(map(self.known.get, p)) for p in cut]
+        unknown = {x for p, ids in zip(cut, found) if p and None in ids for x, i in zip(p, ids) if i is None}
+        if unknown:
+            self._learn(unknown)
+            get = self.known.get  # a piece forgotten meanwhile keeps what was found before
+            found = [p and (list(map(get, p, ids)) if None in ids else ids) for p, ids in zip(cut, found)]
+        return [self._ids([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, found)]
+
+
+def odd(text: str) -> bool:
+    """Whether there is other white space than single blanks and line breaks between other characters."""
+    return "\0" in text or text.split() != text.replace("\n", " ").split(" ")
+
+
+def slices(texts: list[str], size: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` characters."""
+    first = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= size or i == len(texts) - 1:
+            yield first, i + 1
+            first, held = i + 1, 0
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the ids of every text, each ended by ``end_id``, as shards in ascending doc_id order.
 
     Null texts count as empty; rows without doc_id come first; rows with the same doc_id are ordered by a hash of the text.
-    Memory per task: one Arrow batch of texts, one shard (more only where a single text is longer) and the piece cache.
+    Memory per task: one Arrow batch of texts, one shard (more only where a single text is longer); per worker process
+    the piece cache.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder = per_process("tokens", tokenizer_path, lambda: PieceEncoder(tokenizer_path))
+        end = np.array([end_id], "<u4").tobytes()
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         lengths: list[int] = []
@@ -175,16 +217,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 ["part", "seq", "start_in_part", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                got = encoder.encode(text.as_py()) + end
-                ids.append(got)
-                lengths.append(len(got) // 4)
-                names.append(name)
-                held += len(got) // 4
-                if held >= shard_tokens:
-                    yield shard()
-                    seq, start, held = seq + 1, start + held, 0
-                    ids, lengths, names = [], [], []
+            texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+            for a, b in slices(texts):
+                for name, got in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                    ids += (got, end)
+                    lengths.append(len(got) // 4 + 1)
+                    names.append(name)
+                    held += lengths[-1]
+                    if held >= shard_tokens:
+                        yield shard()
+                        seq, start, held = seq + 1, start + held, 0
+                        ids, lengths, names = [], [], []
         if names:
             yield shard()
 
