@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -61,12 +62,13 @@ _PARTIAL = "model int, side string, row int, n double, total array<double>"
 
 
 def batch_gradients(examples: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]],
-                    lam: float = fixed.LAMBDA) -> DataFrame:
+                    lam: float = fixed.LAMBDA, shared: Broadcast | None = None) -> DataFrame:
     """Summed gradient rows ``(model, side, row, n, total)`` over ``(x, y, label)`` examples.
 
-    One partial sum per task and matrix row, then an element-wise sum in the JVM.
+    One partial sum per task and matrix row, then an element-wise sum in the JVM. ``shared``: the models as a broadcast that
+    the caller releases.
     """
-    shared = examples.sparkSession.sparkContext.broadcast(models)
+    shared = shared or examples.sparkSession.sparkContext.broadcast(models)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, n = {}, 0
@@ -156,9 +158,14 @@ def learn_many(
             live = {i: r for i, r in enumerate(runs) if r.open}
             if not live:
                 break
-            grads = batch_gradients(batches(t), {i: (r.w, r.v) for i, r in live.items()}, lam)
+            models = {i: (r.w, r.v) for i, r in live.items()}
+            shared = dyads.sparkSession.sparkContext.broadcast(models)
+            grads = batch_gradients(batches(t), models, lam, shared)
             rows = collect_bounded(grads, sum(2 * r.settings.k for r in live.values()), "gradient rows")
+            shared.destroy()
             table = {(r["model"], r["side"], r["row"]): (r["n"], r["total"]) for r in rows}
+            if not table:  # none of the drawn dyads has both entities encoded: the step changes nothing
+                continue
             for i, run in live.items():
                 _update(run, i, table, t)
     finally:

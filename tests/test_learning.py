@@ -94,6 +94,12 @@ def test_sampled_training_reads_each_step_and_is_repeatable(world):
     assert np.allclose(run[0].w, run[1].w)
 
 
+def test_steps_without_encoded_entities_change_nothing(world):
+    *_, dyads, users, items = world
+    none = dyads.withColumn("user_id", F.col("user_id") + 1_000_000)
+    assert learn.learn(none, users, items, learn.Settings(k=2), max_iterations=4, minibatch=20, seed=9) is not None
+
+
 def test_numeric_trouble_gives_no_model(world):
     *_, dyads, users, items = world
     wild = learn.Settings(k=2, reg=1e200, l0=1e200)
