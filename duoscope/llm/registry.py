@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -29,8 +30,20 @@ def whole_text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
+#: Rows of an Arrow batch; whole texts make rows large, and a batch is held on both sides of a worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Sets the session's Arrow batches to at most BATCH_ROWS rows, unless they are smaller already."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """text and ``row``, a struct of all other columns: whatever they are called, they meet no column of an operator."""
+    small_batches(docs)
     return docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"])
 
 
@@ -50,6 +63,8 @@ def per_process(owner: str, key: object, make: Callable[[], Any]) -> Any:
     kept = sys.modules.setdefault("_duoscope_process", ModuleType("_duoscope_process")).__dict__
     if kept.get("owner") != owner:
         kept.update(owner=owner, values={})
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     values = kept["values"]
     if key not in values:
         values[key] = make()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.registry import parallel, per_process, query, whole_text
+from duoscope.llm.registry import parallel, per_process, query, small_batches, whole_text
 from duoscope.session import scratch_path, table
 
 BLOCK = 256
@@ -231,6 +231,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if names:
             yield shard()
 
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(parallel(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
