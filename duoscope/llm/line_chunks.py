@@ -3,6 +3,9 @@
 A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so boundaries move with the text when
 lines are inserted elsewhere. Chunks of two lines or more whose bytes occur more than once in all documents are kept at
 their first place (smallest doc_id, then place in the text) and removed elsewhere.
+
+One chunking finds a short passage only where its own lines happen to be a chunk. ``remove_repeated_passages`` takes every
+pair of neighbouring lines for a chunk, which covers what any chunking with chunks of two lines or more can repeat.
 """
 
 from __future__ import annotations
@@ -98,3 +101,62 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_chunks(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines",
                         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, place and pair: every line with the one after it."""
+    lines = F.split("text", "\n", -1)
+    both = F.zip_with(lines, F.slice(lines, 2, F.size(lines)), lambda a, b: F.concat(a, F.lit("\n"), b))
+    # the last line has none after it; zip_with pads with null
+    return rows.select("rid", "doc_id", F.posexplode(both).alias("place", "pair")).where("pair is not null")
+
+
+def remove_repeated_passages(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, text without the repeated passages, n_lines, n_removed_passages, n_removed_lines.
+
+    A line goes when it and a neighbour are a pair whose bytes have an earlier place (smallest doc_id, then place in the
+    text), so every repeated run of two lines or more goes whatever surrounds it; a removed passage is a run of lines gone.
+    Every line stays at the first of its places that pairs lead to. Nulls, empty texts, rows without doc_id and repeated
+    rows are as in ``remove_repeated_chunks``. Only pairs whose key repeats are moved with their text and compared by it.
+    """
+    spark = docs.sparkSession
+    rows = _identified(docs)
+    every = _pairs(rows).withColumn("key", F.xxhash64("pair"))
+    repeated = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    candidates_path = scratch_path(spark, "line-passages")
+    every.join(repeated.hint("merge"), "key", "left_semi").write.parquet(candidates_path)
+    candidates = spark.read.parquet(candidates_path)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "place")
+    first = candidates.groupBy("key", "pair").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    again = candidates.join(first, ["key", "pair"]).where(place != F.col("first"))
+    again = again.groupBy("rid").agg(F.collect_set("place").alias("again"))
+    out = rows.join(again.hint("merge"), "rid", "left").withColumn("_lines", F.split("text", "\n", -1))
+    gone = F.coalesce(F.array_union("again", F.transform("again", lambda i: i + 1)), F.array().cast("array<int>"))
+    out = out.withColumn("_gone", gone)
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    starts = F.array_except("_gone", F.transform("_gone", lambda i: i + 1))
+    return out.select(
+        "doc_id", F.when(F.col("again").isNull(), F.col("text")).otherwise(text).alias("text"),
+        F.size("_lines").cast("long").alias("n_lines"), F.size(starts).cast("long").alias("n_removed_passages"),
+        F.size("_gone").cast("long").alias("n_removed_lines"))
+
+
+PASSAGES_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+p AS (SELECT *, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS pair FROM l),
+a AS (SELECT *, pair IS NOT NULL AND row_number() OVER (PARTITION BY pair ORDER BY doc_id, i) > 1 AS again FROM p),
+g AS (SELECT *, again OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS gone FROM a),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS starts FROM g)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (starts) AS n_removed_passages, count(*) FILTER (gone) AS n_removed_lines,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
+@query("op3_line_passages", PASSAGES_SQL)
+def op3_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed_passages", "n_removed_lines",
+                        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

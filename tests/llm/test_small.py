@@ -65,6 +65,42 @@ def test_shifted_passage_is_found(spark):
     assert got[2].text.split("\n")[0] == "other" and got[2].text.endswith("end two")
 
 
+def foreign_passages():
+    """Passages of 2 to 6 lines, each twice, in lines that occur once."""
+    rows, where = [], {}
+    for n in range(2, 7):
+        for v in range(30):
+            passage = [f"passage {n} {v} line {i}" for i in range(n)]
+            for copy in range(2):
+                doc = len(rows)
+                before, after = ([f"foreign {doc} {side} {i}" for i in range(1 + (v + copy) % 3)] for side in ("a", "b"))
+                rows.append((doc, "\n".join([*before, *passage, *after])))
+                where[doc] = (n, copy, "\n".join(before + after))
+    return rows, where
+
+
+def test_short_passages_in_foreign_surroundings(spark):
+    rows, where = foreign_passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in line_chunks.remove_repeated_passages(df).collect():
+        n, copy, rest = where[r.doc_id]
+        assert (r.n_removed_lines, r.n_removed_passages) == ((n, 1) if copy else (0, 0)), r
+        assert r.text == (rest if copy else rows[r.doc_id][1])
+
+
+def test_passages_take_what_chunks_take_and_keep_every_line(spark, edge):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    chunks = {r.doc_id: r for r in line_chunks.remove_repeated_chunks(docs).collect()}
+    passages = {r.doc_id: r for r in line_chunks.remove_repeated_passages(docs).collect()}
+    assert all(passages[i].n_removed_lines >= r.n_removed_lines for i, r in chunks.items())
+    assert {x for r in docs.collect() for x in (r.text or "").split("\n")} - {""} == {
+        x for r in passages.values() for x in r.text.split("\n")} - {""}
+    got = {r.doc_id: r for r in line_chunks.remove_repeated_passages(edge).collect()}
+    assert got[1].n_lines == 1 and got[1].text == "" and got[8].n_removed_lines == 0
+    assert (got[5].n_lines, got[5].n_removed_lines) == (3001, 2999)
+    assert line_chunks.remove_repeated_passages(edge.limit(0)).count() == 0
+
+
 # -- token counts ------------------------------------------------------------------------------
 def brute_count(word, scores, byte_score):
     best = [(0.0, 0)]
