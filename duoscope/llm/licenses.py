@@ -1,6 +1,6 @@
 """License scan: a trained paragraph classifier whose findings a template comparison confirms.
 
-Passages (paragraphs; long ones in overlapping windows) are bags of hashed word 1-grams and 2-grams. A multinomial logistic
+Passages (paragraphs between blank lines, long ones in overlapping windows, and the lines of paragraphs of several) are bags of hashed word 1-grams and 2-grams. A multinomial logistic
 regression, trained here on variations of short public notices and on a bounded sample of the documents' own paragraphs as
 the unknown class, names a license family. Its temperature is calibrated on held-out passages; a family counts only above
 ``CERTAIN`` and when the passage shares enough word 2-grams with a template of the family.
@@ -68,6 +68,9 @@ CACHE_WORDS = 300_000
 KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz.-" + bytes(range(128, 256))
 WORD_BYTES = bytes(10 if c in (10, 11, 12, 13) else c if c in KEEP else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 EDGE = b".-"
+#: Comment marks that are letters or kept characters; all others are white space.
+MARK = re.compile(rb"^ *(?:(?:rem|dnl|--+|\.\.|\.\\\") )? *", re.MULTILINE)
+BLANK = re.compile(rb"\n(?: *\n)+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,16 +86,33 @@ class Words(dict):
         return value
 
 
+def windows(words: list[bytes]) -> list[list[bytes]]:
+    """The words, or windows that overlap by half, so a short notice lies whole in one of them."""
+    if len(words) <= WINDOW:
+        return [words] if words else []
+    return [words[at:at + WINDOW] for at in range(0, len(words) - STRIDE, STRIDE)]
+
+
 def passages(text: str) -> list[list[bytes]]:
-    """Word lists of all passages of a text; windows overlap by half, so a short notice lies whole in one of them."""
+    """Word lists of all passages of a text.
+
+    Paragraphs end at blank lines; single breaks and comment marks in them are white space, so a wrapped notice is one. The
+    lines of a paragraph are passages, too: a short notice among other lines is judged alone.
+    """
     out = []
-    for paragraph in text.encode().translate(WORD_BYTES).split(b"\n"):
-        words = paragraph.split()
-        if len(words) <= WINDOW:
-            if words:
-                out.append(words)
-        else:
-            out += [words[at:at + WINDOW] for at in range(0, len(words) - STRIDE, STRIDE)]
+    plain = MARK.sub(b"", text.encode().replace(b"\r\n", b"\n").translate(WORD_BYTES))
+    for paragraph in BLANK.split(plain):
+        lines = [[w for w in line.split() if w.strip(EDGE)] for line in paragraph.split(b"\n")]
+        lines = [line for line in lines if line]
+        whole: list[bytes] = []
+        for first, *rest in lines:
+            if whole and whole[-1].endswith(b"-"):  # broken at a hyphen
+                first = whole.pop() + first
+            whole += [first, *rest]
+        out += windows(whole)
+        if len(lines) > 1:
+            for line in lines:
+                out += windows(line)
     return out
 
 
@@ -127,7 +147,9 @@ def variations(rng: np.random.Generator, filler: list[bytes]) -> list[tuple[int,
             for v in range(VARIATIONS):
                 words = [w for w in whole if v < 5 or rng.random() > 0.08] or whole
                 if v >= 20 and filler:
-                    extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 15))]
+                    # in the later ones as much as a window of a paragraph holds
+                    most = 15 if v < 40 else max(15, WINDOW - len(words) + 1)
+                    extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, most))]
                     at = rng.integers(0, len(extra) + 1)
                     words = [*extra[:at], *words, *extra[at:]]
                 out.append((k, words))

@@ -169,6 +169,59 @@ def test_licenses(spark, model, edge):
     assert licenses.scan(edge.limit(0), model).count() == 0
 
 
+#: A notice of every family as source files have it.
+NOTICES = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+                  "with the License. You may obtain a copy of the License at",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+           "following conditions are met:",
+    "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license "
+             "visit the site of Creative Commons.",
+    "CC-BY-NC": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy "
+                "of this license visit the site of Creative Commons.",
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+           "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+           'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+           "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+           "Software is furnished to do so, subject to the following conditions:",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+               "distributed with this file, You can obtain one at mozilla.org.",
+}
+
+
+def wrapped(notice, width, mark):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(notice, width))
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- ", "REM ", "dnl "])
+def test_wrapped_notices_are_passages(mark):
+    for notice in NOTICES.values():
+        (whole, *_) = licenses.passages(notice)
+        assert whole in licenses.passages(f"int main\r\n\r\n{wrapped(notice, 60, mark)}\n{mark}\nreturn")
+
+
+def wrapped_notices():
+    filler = "erinst thandon resh of the onle " * 30
+    rows, want = [], {}
+    for family, notice in NOTICES.items():
+        for width in (50, 70, 80):
+            for mark in ("", "# ", " * ", "// ", "-- "):
+                for around in ("\n\n", "\n"):
+                    want[len(rows)] = family
+                    rows.append((len(rows), f"{filler}{around}{wrapped(notice, width, mark)}{around}{filler}"))
+    return rows, want
+
+
+def test_wrapped_notices(spark, model):
+    rows, want = wrapped_notices()
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [(rows[i][1], got[i].families) for i in want if want[i] not in got[i].families] == []
+    assert all(got[i].n_licensed >= 1 for i in want)
+
+
 # -- language ----------------------------------------------------------------------------------
 def test_language_held_out(spark, edge):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
