@@ -1,9 +1,9 @@
 """License scan: a trained paragraph classifier whose findings a template comparison confirms.
 
 Passages (paragraphs between blank lines, long ones in overlapping windows, and the lines of paragraphs of several) are bags of hashed word 1-grams and 2-grams. A multinomial logistic
-regression, trained here on variations of short public notices and on a bounded sample of the documents' own paragraphs as
-the unknown class, names a license family. Its temperature is calibrated on held-out passages; a family counts only above
-``CERTAIN`` and when the passage shares enough word 2-grams with a template of the family.
+regression, trained here on variations of short public notices and on notices of neighbouring licenses and a bounded sample of
+the documents' own paragraphs as the unknown class, names a license family. Its temperature is calibrated on notices held out whole; a family counts only above
+``CERTAIN`` and when the passage shares enough word 2-grams with a template of the family and has a name of it.
 """
 
 from __future__ import annotations
@@ -55,6 +55,45 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: MPL-2.0",
     ),
 }
+VERSIONS = ("4.0", "3.0", "2.5", "2.0", "1.0")
+#: What names a family: a passage has all 2-grams of one of these, so a neighbour's notice of nearly the same words has none.
+NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("apache license version 2.0", "apache license version 2", "apache license 2.0", "apache license v2.0",
+                   "apache license v 2.0", "apache license v2", "spdx-license-identifier apache-2.0"),
+    "BSD": ("the bsd", "bsd license", "bsd 3-clause", "bsd 2-clause", "use in source", "spdx-license-identifier bsd-3-clause"),
+    "CC-BY": tuple(f"{x} {v}" for x in ("cc by", "cc-by", "attribution") for v in (*VERSIONS, "license", "international")),
+    "CC-BY-NC": tuple(f"{x} {v}" for v in (*VERSIONS, "license", "international") for x in (
+        "by-nc", "by nc", "cc-by-nc", "attribution-noncommercial", "attribution-non-commercial", "attribution noncommercial")),
+    "GPL": ("gnu general", "spdx-license-identifier gpl-3.0-or-later"),
+    "MIT": ("the mit", "mit license", "hereby granted", "deal in", "spdx-license-identifier mit"),
+    "MPL-2.0": ("mozilla public license v 2.0", "mozilla public license v2.0", "mozilla public license version 2.0",
+                "mozilla public license 2.0", "spdx-license-identifier mpl-2.0"),
+}
+#: Notices of licenses near the families, unknown to this scan.
+NEIGHBOURS = (
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation.",
+    "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3.",
+    "Licensed under CC BY-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "Licensed under the Apache License, Version 1.1.",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1; you may not use this file except in compliance with the License.",
+    "This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce and distribute the Software.",
+    "Released under the ISC License.",
+    "SPDX-License-Identifier: ISC",
+)
 UNKNOWN = "unknown"
 DIMS = 1 << 16
 WINDOW, STRIDE = 40, 20
@@ -138,24 +177,47 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def variations(rng: np.random.Generator, filler: list[bytes]) -> list[tuple[int, list[bytes]]]:
-    """Notices with words lost, swapped for others or added around them."""
+def variations(rng: np.random.Generator, filler: list[bytes]) -> list[tuple[int, int, list[bytes]]]:
+    """Family, number of the notice and words: notices with words lost, swapped for others or added around them."""
     out = []
-    for k, notices in enumerate(TEMPLATES.values()):
-        for notice in notices:
-            (whole, *_) = passages(notice)
-            for v in range(VARIATIONS):
-                words = [w for w in whole if v < 5 or rng.random() > 0.08] or whole
-                if v >= 20 and filler:
-                    # in the later ones as much as a window of a paragraph holds
-                    most = 15 if v < 40 else max(15, WINDOW - len(words) + 1)
-                    extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, most))]
-                    at = rng.integers(0, len(extra) + 1)
-                    words = [*extra[:at], *words, *extra[at:]]
-                out.append((k, words))
+    families = [*TEMPLATES.values(), NEIGHBOURS]
+    known = [(k, notice) for k, notices in enumerate(families) for notice in notices]
+    for number, (k, notice) in enumerate(known):
+        (whole, *_) = passages(notice)
+        for v in range(VARIATIONS):
+            words = [w for w in whole if v < 5 or rng.random() > 0.08] or whole
+            if v >= 20 and filler:
+                # in the later ones as much as a window of a paragraph holds
+                most = 15 if v < 40 else max(15, WINDOW - len(words) + 1)
+                extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, most))]
+                at = rng.integers(0, len(extra) + 1)
+                words = [*extra[:at], *words, *extra[at:]]
+            out.append((k, number, words))
     return out
 
 
+def trained(rows: list[tuple[int, list[bytes]]], use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias from the rows that ``use`` names."""
+    chosen = [rows[i] for i in np.flatnonzero(use)]
+    label = np.array([k for k, _ in chosen])
+    feats, starts, sizes = features([p for _, p in chosen], Words())
+    classes = len(TEMPLATES) + 1
+    weights, bias = np.zeros((DIMS, classes), np.float32), np.zeros(classes, np.float32)
+    row = np.repeat(np.arange(len(chosen)), 2 * sizes)
+    worth = (1 / np.bincount(label, minlength=classes)[label]).astype(np.float32) / classes
+    truth = np.eye(classes, dtype=np.float32)[label]
+    squares = np.full((DIMS, classes), 1e-6, np.float32)
+    for _ in range(40):  # full-batch steps scaled per weight
+        error = (softmax(scores(weights, bias, feats, starts, sizes)) - truth) * worth[:, None]
+        per = error / np.sqrt(sizes)[:, None]
+        slope = 1e-5 * weights
+        np.add.at(slope, feats, per[row].astype(np.float32))
+        squares += slope**2
+        weights -= 0.3 * slope / np.sqrt(squares)
+        bias -= 0.5 * error.sum(axis=0)
+    return weights, bias
+
+
 def fit(docs: DataFrame, background: int = BACKGROUND, seed: int = 11) -> dict:
     """Weights, bias, temperature and templates. The unknown class is a bounded sample of paragraphs without licence words."""
     spark = docs.sparkSession
@@ -168,46 +230,60 @@ def fit(docs: DataFrame, background: int = BACKGROUND, seed: int = 11) -> dict:
     plain = sorted({tuple(p) for t in texts for p in passages(t) if not hint.search(b" ".join(p))})
     plain = [list(plain[i]) for i in rng.permutation(len(plain))[:background]]
     filler = [w for p in plain[:500] for w in p]
-    rows = variations(rng, filler) + [(len(TEMPLATES), p) for p in plain]
+    notices = variations(rng, filler)
+    number = np.array([n for _, n, _ in notices])
+    rows = [(k, words) for k, _, words in notices] + [(len(TEMPLATES), p) for p in plain]
     # words of licences out of their place are unknown, too
     legal = [w for k, p in rows if k < len(TEMPLATES) for w in p]
     rows += [(len(TEMPLATES), [legal[i] for i in rng.integers(0, len(legal), rng.integers(1, 12))]) for _ in range(background // 6)]
     label = np.array([k for k, _ in rows])
-    feats, starts, sizes = features([p for _, p in rows], Words())
-    classes = len(TEMPLATES) + 1
-    weights, bias = np.zeros((DIMS, classes), np.float32), np.zeros(classes, np.float32)
     held = rng.random(len(rows)) < 0.2
-    use = np.repeat(~held, 2 * sizes)
-    row = np.repeat(np.arange(len(rows)), 2 * sizes)
-    counts = np.bincount(label[~held], minlength=classes)
-    worth = np.where(held, 0, 1 / np.maximum(counts[label], 1)).astype(np.float32) * len(rows) / classes
-    truth = np.eye(classes, dtype=np.float32)[label]
-    squares = np.full((DIMS, classes), 1e-6, np.float32)
-    for _ in range(40):  # full-batch steps scaled per weight
-        error = (softmax(scores(weights, bias, feats, starts, sizes)) - truth) * worth[:, None] / len(rows)
-        per = error / np.sqrt(sizes)[:, None]
-        slope = 1e-5 * weights
-        np.add.at(slope, feats[use], per[row[use]].astype(np.float32))
-        squares += slope**2
-        weights -= 0.3 * slope / np.sqrt(squares)
-        bias -= 0.5 * error.sum(axis=0)
-    z = scores(weights, bias, feats, starts, sizes)[held]
-    want = label[held]
+
+    def judged(use: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        weights, bias = trained(rows, use)
+        if not asked.any():
+            return weights, bias, np.zeros((0, len(TEMPLATES) + 1)), label[asked]
+        return weights, bias, scores(weights, bias, *features([rows[i][1] for i in np.flatnonzero(asked)], Words())), label[asked]
+
+    # the temperature is that of a model which is asked about notices it has seen no variation of, too: one of every family and
+    # every third neighbour are left out whole
+    at, last = 0, []
+    for family in TEMPLATES.values():
+        at += len(family)
+        last.append(at - 1)
+    out = held | np.concatenate([np.isin(number, [*last, *range(at, at + len(NEIGHBOURS), 3)]), np.zeros(len(rows) - len(notices), bool)])
+    _, _, z, want = judged(~out, out)
     loss = [-np.log(softmax(z / t)[np.arange(len(z)), want] + 1e-12).mean() for t in TEMPERATURES] if len(z) else [0.0]
+    unseen = float((z.argmax(axis=1) == want).mean()) if len(z) else 0.0
+    weights, bias, z, want = judged(~held, held)
     grams = [[{tuple(p[i:i + 2]) for p in [[w.strip(EDGE) for w in passages(n)[0]]] for i in range(len(p) - 1)} for n in notices]
              for notices in TEMPLATES.values()]
-    return {"weights": weights, "bias": bias, "temperature": TEMPERATURES[int(np.argmin(loss))], "grams": grams,
-            "held_out_accuracy": float((z.argmax(axis=1) == want).mean()) if len(z) else 0.0}
+    named = [[set(zip(p, p[1:])) for p in (x.encode().split() for x in NAMES[family])] for family in TEMPLATES]
+    # a passage without the first 2-gram of a name has no family; features that two 2-grams share only let a passage through
+    flags = np.zeros(DIMS, bool)
+    for family in TEMPLATES:
+        for x in NAMES[family]:
+            flags[features([x.encode().split()[:2]], Words())[0][3]] = True
+    return {"weights": weights, "flags": flags, "bias": bias, "temperature": TEMPERATURES[int(np.argmin(loss))], "grams": grams, "names": named,
+            "held_out_accuracy": float((z.argmax(axis=1) == want).mean()) if len(z) else 0.0, "unseen_accuracy": unseen}
 
 
 TEMPERATURES = (0.25, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
 
 
-def confirmed(words: list[bytes], templates: list[set]) -> bool:
-    """Whether the passage holds enough of the 2-grams of one template."""
+def confirmed(words: list[bytes], templates: list[set], names: list[set]) -> list[bytes] | None:
+    """Where the passage holds enough of a template and names the family: the words, as many as the template's, that hold most of it."""
     words = [w.strip(EDGE) for w in words]
-    own = set(zip(words, words[1:]))
-    return any(len(own & t) >= SHARED * len(t) for t in templates)
+    two = list(zip(words, words[1:]))
+    own = set(two)
+    if not any(n <= own for n in names):
+        return None
+    share, template = max(((len(own & t) / len(t), t) for t in templates), key=lambda x: x[0])
+    if share < SHARED:
+        return None
+    at = [i for i, x in enumerate(two) if x in template]
+    first = max(at, key=lambda i: sum(i <= x < i + len(template) for x in at))
+    return words[first:max(x for x in at if x < first + len(template)) + 2]
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
@@ -224,14 +300,23 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
                 found = passages(text.as_py())
                 families, certainty, n = set(), 0.0, 0
                 if found:
-                    z = scores(m["weights"], m["bias"], *features(found, words)) / m["temperature"]
-                    p = softmax(z)
-                    best = p.argmax(axis=1)
-                    for i in np.flatnonzero((best < len(names)) & (p.max(axis=1) >= CERTAIN)):
-                        if confirmed(found[i], m["grams"][best[i]]):
-                            n += 1
-                            families.add(names[best[i]])
-                            certainty = max(certainty, float(p[i, best[i]]))
+                    feats, starts, sizes = features(found, words)
+                    named = np.flatnonzero(np.logical_or.reduceat(m["flags"][feats], starts))
+                    p = softmax(scores(m["weights"], m["bias"], feats, starts, sizes) / m["temperature"]) if len(named) else None
+                    for i in named:
+                        licensed = False
+                        for k, name in enumerate(names):
+                            core = confirmed(found[i], m["grams"][k], m["names"][k])
+                            if core is None:
+                                continue
+                            # the words around a notice make a passage less certain, so the notice is judged alone, too
+                            alone = softmax(scores(m["weights"], m["bias"], *features([core], words)) / m["temperature"])[0]
+                            sure = max((float(q[k]) for q in (p[i], alone) if q.argmax() == k), default=0.0)
+                            if sure >= CERTAIN:
+                                licensed = True
+                                families.add(name)
+                                certainty = max(certainty, sure)
+                        n += licensed
                 out.append((len(found), n, sorted(families), certainty))
             n_passages, n_licensed, families, certainty = zip(*out) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([

@@ -218,10 +218,29 @@ def wrapped_notices():
 def test_wrapped_notices(spark, model):
     rows, want = wrapped_notices()
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert [(rows[i][1], got[i].families) for i in want if want[i] not in got[i].families] == []
+    assert [(rows[i][1], got[i].families) for i in want if got[i].families != [want[i]]] == []
     assert all(got[i].n_licensed >= 1 for i in want)
 
 
+#: Notices near the families that are of none of them; the lower ones are not among those trained on.
+FOREIGN = [
+    *licenses.NEIGHBOURS,
+    "This file is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+    "published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "This work is licensed under the GNU Affero General Public License, version 3, or any later version.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+]
+
+
+def test_neighbours_of_families_are_unknown(spark, model):
+    filler = "erinst thandon resh of the onle " * 30
+    rows = [f"{a}{wrapped(n, w, '# ')}{b}" for n in FOREIGN for w in (60, 500) for a, b in (("", ""), (f"{filler}\n", f"\n{filler}"))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [(rows[r.doc_id], r.families) for r in licenses.scan(df, model).collect() if r.families] == []
+
+
 # -- language ----------------------------------------------------------------------------------
 def test_language_held_out(spark, edge):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
