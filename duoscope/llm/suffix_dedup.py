@@ -1,14 +1,14 @@
-"""Repeated byte strings by sorting sampled suffixes.
+"""Repeated byte strings by content-defined sampling, hash grouping and byte comparison.
 
-Strings of ``LENGTH`` bytes are judged, so suffixes matter up to that length only and no recursion on names is needed. The
-sample is a content-defined cover: within every string of LENGTH bytes the position of the smallest hash of GRAM bytes is
+Strings of ``LENGTH`` bytes are judged; no suffix is ordered and no adjacent prefixes are compared, as the difference-cover
+algorithm would. The sample is a content-defined cover: within every string of LENGTH bytes the position of the smallest hash of GRAM bytes is
 sampled, so equal strings have equal samples (a cover by position, as in the difference-cover algorithm, would have to
 sample 24% of all positions for this; this one samples 7%). Steps:
 
 1. the texts are dealt to groups of bounded size, equal texts once;
 2. samples whose gram occurs in one text only are dropped (hashes of grams are counted, a shared hash only keeps a sample);
-3. the remaining sampled suffixes, with the bytes to their left, are dealt by gram and sorted; every string around a sample
-   is compared with its neighbours in that order, byte by byte, and is marked when a smaller doc_id has it, too;
+3. the remaining samples, with the bytes around them, are dealt by gram; the strings around a sample are grouped by hash, and
+   each is compared with the first of its group, byte by byte, and is marked when a smaller doc_id has it, too;
 4. the marks go back to the groups, where the texts are cut.
 
 Equal surroundings within a group are sent once, and strings around grams that occur very often are dealt one by one, so a
@@ -250,7 +250,7 @@ def _string_heads(some: np.ndarray, string: np.ndarray, by: np.ndarray) -> np.nd
 
 
 def entries_of(texts: DataFrame, shared: DataFrame, groups: int) -> DataFrame:
-    """The sampled suffixes to sort, by bucket. ``limits``: bytes left, bytes right, first and last start before the sample."""
+    """The samples with the bytes around them, by bucket. ``limits``: bytes left, bytes right, first and last start before the sample."""
 
     def run(rows: pa.Table, answer: pa.Table) -> pa.Table:
         if not len(rows) or not len(answer):
@@ -293,7 +293,7 @@ def entries_of(texts: DataFrame, shared: DataFrame, groups: int) -> DataFrame:
 def marked(key: np.ndarray, docs: np.ndarray, limits: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Bit b of an entry: the string that starts b bytes before its sample also starts in a document with a smaller doc_id.
 
-    Strings are sorted by key, hash and doc_id, and each is compared with the first of its run byte by byte.
+    Strings are grouped by a hash of string and key, and each is compared with the first of its group byte by byte.
     """
     order = np.argsort(docs, kind="stable")
     key, docs, limits, around = key[order], docs[order], limits[order], around[order]
