@@ -126,6 +126,21 @@ def test_token_counts(spark, bounds):
         assert trie.count(text) == (len(words), sum(brute_count("▁" + w, scores, byte_score) for w in words))
 
 
+def test_query_counts_whole_texts(spark):
+    import public_tokenizers
+
+    scores, byte_score = token_counts.load_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    known = {}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in token_counts.op7_token_counts(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        for w in set(text.split()) - known.keys():
+            known[w] = brute_count("▁" + w, scores, byte_score)
+        words = text.split()
+        assert (got[i].n_pre_tokens, got[i].n_tokens) == (len(words), sum(known[w] for w in words))
+
+
 def test_token_count_edges(spark, edge):
     got = {r.doc_id: (r.n_pre_tokens, r.n_tokens) for r in token_counts.token_counts(edge).collect()}
     assert got[1] == got[2] == got[3] == (0, 0) and got[4][0] == 1 and got[5][0] == 30_000 and got[6] == got[7]
