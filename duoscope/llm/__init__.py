@@ -6,7 +6,8 @@ from importlib import import_module
 
 from duoscope.llm.registry import REGISTRY
 
-for _name in ("token_blocks", "langid", "line_chunks", "decontaminate", "near_dup", "exact_dup", "token_counts", "mixing", "suffix_dedup", "licenses"):
+for _name in ("token_blocks", "langid", "line_chunks", "decontaminate", "near_dup", "exact_dup", "token_counts", "mixing", "suffix_dedup", "licenses",
+              "warc"):
     import_module(f"duoscope.llm.{_name}")
 
 __all__ = ["REGISTRY"]
