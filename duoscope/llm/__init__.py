@@ -7,7 +7,7 @@ from importlib import import_module
 from duoscope.llm.registry import REGISTRY
 
 for _name in ("token_blocks", "langid", "line_chunks", "decontaminate", "near_dup", "exact_dup", "token_counts", "mixing", "suffix_dedup", "licenses",
-              "whitening", "warc"):
+              "whitening", "collocations", "warc"):
     import_module(f"duoscope.llm.{_name}")
 
 __all__ = ["REGISTRY"]
