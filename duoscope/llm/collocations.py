@@ -37,9 +37,9 @@ LONGEST = 4
 LEAST = 30
 TOP = 2000
 #: Bytes of text from which one automaton is built.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Words of the corpus per prefix range. A task holds the automata of a range, some 250 bytes a word.
-RANGE_WORDS = 1_000_000
+RANGE_WORDS = 750_000
 #: Samples per range; the driver gets them all.
 SAMPLES = 16
 #: Parts into which equal keys of joins and ranks are dealt.
