@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -11,8 +14,10 @@ from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import scalars as S
-from duoscope.operators.project import UtilityModel, once
+from duoscope.operators import csr
+from duoscope.operators.project import BLOCK_CELLS, UtilityModel, once
 from duoscope.session import collect_bounded, spread
+from duoscope.sources import tables
 
 MAX_CLUSTERS = 100_000
 MAX_POPULAR = 1_000_000
@@ -20,24 +25,38 @@ MAX_POPULAR = 1_000_000
 
 def kmeans(entities: DataFrame, vec: str = "vec", k: int = fixed.NUM_CLUSTERS,
            iterations: int = fixed.CLUSTER_ITERATIONS, seed: int = 0) -> KMeansModel:
-    data = entities.select(array_to_vector(vec).alias("features")).persist()
+    return fit(entities.select(array_to_vector(vec).alias("features")), k, iterations, seed)
+
+
+def fit(vectors: DataFrame, k: int, iterations: int, seed: int) -> KMeansModel:
+    """KMeans on ML vectors ``features``, sparse or dense."""
+    data = vectors.select("features").persist()
     try:
         return KMeans(k=k, maxIter=iterations, seed=seed).fit(data)
     finally:
         data.unpersist()
 
 
+def features(entities: DataFrame, side: str, model: UtilityModel | None = None, width: int | None = None) -> DataFrame:
+    """Entities with ``features`` to cluster: their projections, or their own vectors, which stay sparse if they are."""
+    if model is not None:
+        mapped = model.map_left(entities) if side == "left" else model.map_right(entities)
+        return mapped.withColumn("features", array_to_vector("proj"))
+    if "vec" in entities.columns:
+        return entities.withColumn("features", array_to_vector("vec"))
+    return tables.sparse_vectors(entities, width)
+
+
 def cluster_side(entities: DataFrame, side: str, model: UtilityModel | None = None,
                  k: int = fixed.NUM_CLUSTERS, iterations: int = fixed.CLUSTER_ITERATIONS,
-                 seed: int = 0) -> tuple[KMeansModel, DataFrame]:
-    """KMeans on projected (with a utility function) or dense entities; model and cluster sizes."""
-    vec = "vec"
-    if model is not None:
-        entities = model.map_left(entities) if side == "left" else model.map_right(entities)
-        vec = "proj"
-    fitted = kmeans(entities, vec, k, iterations, seed)
-    assigned = fitted.transform(entities.withColumn("features", array_to_vector(vec)))
-    return fitted, cluster_counts(assigned, "prediction")
+                 seed: int = 0, width: int | None = None) -> tuple[KMeansModel, DataFrame]:
+    """KMeans on projected entities (with a utility function) or on their vectors; model and cluster sizes.
+
+    Entities are dense (``vec``) or sparse (``pos, val`` of vectors of ``width`` places).
+    """
+    vectors = features(entities, side, model, width)
+    fitted = fit(vectors, k, iterations, seed)
+    return fitted, cluster_counts(fitted.transform(vectors), "prediction")
 
 
 def cluster_counts(assigned: DataFrame, col: str = "cluster_id") -> DataFrame:
@@ -58,47 +77,72 @@ def center_matrix(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def assign(vec: Column, ids: np.ndarray, centers: np.ndarray) -> Column:
     """Id of the nearest center; the lower id wins ties."""
-    @F.pandas_udf("int")
-    def nearest(x: pd.Series) -> pd.Series:
-        rows = np.vstack(x.to_numpy()).astype(float)
+    @F.arrow_udf("int")
+    def nearest(x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
         d = (rows**2).sum(axis=1)[:, None] - 2.0 * rows @ centers.T + (centers**2).sum(axis=1)
-        return pd.Series(ids[d.argmin(axis=1)].astype("int32"))
+        return pa.array(ids[d.argmin(axis=1)].astype("int32"))
 
     return once(nearest)(vec)
 
 
 def label_entities(entities: DataFrame, side: str, model: UtilityModel, opposite: np.ndarray) -> DataFrame:
-    """``(…, x dense attributes, u 0/1 per opposite cluster)``.
+    """Entities with ``u``, 0/1 per opposite cluster; a dense ``vec`` is called ``x``, sparse ones stay ``pos, val``.
 
     Centers are already in projected space; every entity is projected once and compared with all of
     them in one matrix product per batch.
     """
     mapped = model.map_left(entities) if side == "left" else model.map_right(entities)
-    return mapped.withColumn("u", model.likes(F.col("proj"), opposite)).drop("proj").withColumnRenamed("vec", "x")
+    labelled = mapped.withColumn("u", model.likes(F.col("proj"), opposite)).drop("proj")
+    return labelled.withColumnRenamed("vec", "x") if "vec" in entities.columns else labelled
 
 
-def predicted_users(users: DataFrame, popular: DataFrame, model: UtilityModel) -> DataFrame:
-    """Users coded by predictions: ±1 for every popular item, 0 where the item has no vector.
+def predicted_users(users: DataFrame, popular: DataFrame, model: UtilityModel) -> tuple[DataFrame, list[int], int]:
+    """Users coded by predictions: ``(user_id, liked)``, the positions of the popular items they should like.
 
-    ``popular`` is ``(idx, vec)`` with ``vec`` null for items without one. The user vectors have
-    one place per popular item anyway, so the projected items are model-sized; they are broadcast
-    as one matrix and no (user, item) pair is ever a row.
+    Their vector is +1 there, -1 at the other known positions (the second result) and 0 where a popular item has no vector; its
+    width is the third. ``popular`` is ``(idx, vec)`` with ``vec`` null for items without one, or ``(idx, pos, val)``. The
+    projected items are model-sized, as user vectors have a place for each; they are broadcast as one matrix. Products are
+    taken in blocks of users and leave only the liked positions: neither a (user, item) pair nor a dense vector is ever a row.
     """
-    known = model.map_right(popular.where(F.col("vec").isNotNull())).select("idx", "proj")
+    given = "pos" if "pos" in popular.columns else "vec"
+    known = model.map_right(popular.where(F.col(given).isNotNull())).select("idx", "proj")
     width = popular.count()
-    rows = collect_bounded(known, MAX_POPULAR, "popular items")
-    at = np.array([r["idx"] for r in rows], dtype=int)
-    matrix = np.array([r["proj"] for r in rows], dtype=float)
-
-    @F.pandas_udf("array<tinyint>")
-    def code(p: pd.Series) -> pd.Series:
-        out = np.zeros((len(p), width), dtype="int8")
-        out[:, at] = model.over_half(np.vstack(p.to_numpy()), matrix).astype("int8") * 2 - 1
-        return pd.Series(list(out))
+    rows = sorted((r["idx"], r["proj"]) for r in collect_bounded(known, MAX_POPULAR, "popular items"))
+    at = np.array([i for i, _ in rows], dtype=np.int32)
+    matrix = np.array([p for _, p in rows], dtype=float).reshape(len(rows), -1)
+    shared = users.sparkSession.sparkContext.broadcast(matrix)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK_CELLS // max(1, len(at)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                some = batch.slice(start, step)
+                proj = some.column("proj").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                likes = model.over_half(proj, shared.value) if len(at) else np.zeros((some.num_rows, 0), bool)
+                offsets = np.concatenate([[0], np.cumsum(likes.sum(axis=1))]).astype(np.int32)
+                liked = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[np.nonzero(likes)[1]]))
+                yield pa.RecordBatch.from_arrays([some.column("user_id"), liked], ["user_id", "liked"])
 
     # k values per user are shuffled to spread work that grows with the number of popular items
     mapped = spread(model.map_left(users).select("user_id", "proj"), "user_id")
-    return mapped.select("user_id", once(code)(F.col("proj")).alias("tri"))
+    kind = users.schema["user_id"].dataType.simpleString()
+    return mapped.mapInArrow(code, f"user_id {kind}, liked array<int>"), at.tolist(), width
+
+
+def label_predicted(predicted: DataFrame, known: list[int], model: UtilityModel, opposite: np.ndarray) -> DataFrame:
+    """Predicted users with ``u``, 0/1 per opposite cluster, from the liked positions alone: with +1 there and -1 at the other
+    known positions, W·x is twice the sum of the liked columns minus that of all known ones."""
+    constant = model.w[:, known].sum(axis=1)
+    bias = model.biased_left
+
+    @F.arrow_udf("array<double>")
+    def times(liked: pa.Array) -> pa.Array:
+        twos = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(liked).to_numpy())]).astype(np.int32)),
+                                        pa.array(np.full(len(liked.flatten()), 2.0)))
+        return csr.lists(csr.Batch(liked, twos, model.w.shape[1], bias).times(model.w) - constant)
+
+    return predicted.withColumn("u", model.likes(once(times)(F.col("liked")), opposite))
 
 
 def clustering_entropy(assigned: DataFrame, sizes: Column, width: int) -> DataFrame:

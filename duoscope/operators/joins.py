@@ -1,7 +1,7 @@
 """Joins that hold under skew.
 
 Sides that grow with the data are never hinted for broadcast: Catalyst and AQE choose by measured
-size. Only sides with a proven bound (hot-key lists, centroids, grids) carry the hint.
+size. Only sides with a proven bound (centroids, grids) carry the hint.
 """
 
 from __future__ import annotations
@@ -10,48 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, *keys: str, share: float = 0.005) -> dict[str, list]:
-    """Per column the values that may hold more than ``share`` of the rows: at most ``1/share``, none missed.
-
-    One pass of frequent-item counting with bounded state per task and no shuffle of the rows; it
-    may name values that are not hot, which costs a few repeated rows and nothing else.
-    """
-    found = df.select(*keys).freqItems(list(keys), share).first()
-    return {k: [v for v in items or [] if v is not None] for k, items in zip(keys, found)}
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, key: str, salts: int = 32, hot: list | None = None,
-    spread_by: list[str] | None = None,
-) -> DataFrame:
-    """Inner join of a large, possibly skewed ``left`` with a ``right`` that is unique per key.
+def join_sides(dyads: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Dyads with the columns of both entities, which are unique per key.
 
-    Rows of hot keys are spread over ``salts`` tasks by a hash of ``spread_by`` (all columns when
-    not given) and the matching right rows are repeated. The hash is deterministic, so a retried
-    task sends each row to the same place. What is left of the skew, such as many equal rows, is
-    split by AQE at map-output granularity.
+    Hot users and items are split by AQE, which knows the exact sizes of the shuffled parts: dyads are on the side it splits,
+    and the one entity row of a hot key is read by each of the parts.
     """
-    keys = hot_keys(left, key)[key] if hot is None else hot
-    if not keys:
-        return left.join(right, key)
-    is_hot = F.col(key).isin(keys)
-    salt = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
-    spread = left.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(copies))
-    return spread.join(repeated, [key, "_salt"]).drop("_salt")
-
-
-def join_sides(dyads: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Dyads with the columns of both entities; hot users and hot items come from one pass."""
-    hot = hot_keys(dyads, "user_id", "item_id")
-    both = salted_join(dyads, items, "item_id", hot=hot["item_id"], spread_by=["user_id"])
-    return salted_join(both, users, "user_id", hot=hot["user_id"], spread_by=["item_id"])
+    return dyads.join(items, "item_id").join(users, "user_id")
 
 
 def rated_items(items: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Items with at least one rating."""
-    return items.join(ratings.select("item_id"), "item_id", "left_semi")
+    """Items with at least one rating; ratings are reduced to their items before they are shuffled."""
+    return items.join(ratings.select("item_id").distinct(), "item_id", "left_semi")
 
 
 def popular_ratings(ratings: DataFrame, id_map: DataFrame) -> DataFrame:

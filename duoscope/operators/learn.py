@@ -1,32 +1,34 @@
-"""Learning the utility function by mini-batch gradient descent.
+"""Learning the utility function by gradient descent.
 
-The matrices live on the driver and go out as broadcasts; per step one job returns the summed
-gradient. Minibatches of all steps are drawn in a single scan of the dyads (ids only) and joined
-with the entity vectors once, so the data is not read again in every step. Grid points share the
-minibatches and the jobs: a step computes the gradients of all of them.
+The matrices live on the driver and go out as broadcasts; per step one job returns the summed gradient. Entities are sparse
+vectors: zero bits and missing states cost nothing. Minibatches are drawn by keys, for many steps in one scan of the ids, and
+joined with the entity vectors once. A batch of all rows never meets a vector: dyads carry projections and are summed per entity
+first. Grid points share the minibatches and the jobs: a step computes the gradients of all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.functions import vectors as V
-from duoscope.operators import sample
+from duoscope.operators import csr, sample
 from duoscope.operators.joins import join_sides
-from duoscope.operators.project import UtilityModel, project, stack
+from duoscope.operators.project import UtilityModel
 from duoscope.session import collect_bounded, cut_lineage
 
+Matrices = dict[int, tuple[np.ndarray, np.ndarray]]
 NO_PROGRESS = 1e-5
 NO_PROGRESS_STEPS = 10
 
@@ -50,9 +52,9 @@ class _Run:
 
 
 def with_vectors(dyads: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """``(…, x, y, label)`` from id dyads and the two ``(id, vec)`` tables."""
-    left = users.select("user_id", F.col("vec").alias("x"))
-    right = items.select("item_id", F.col("vec").alias("y"))
+    """``(…, x_pos, x_val, y_pos, y_val, label)`` from id dyads and the two entity tables."""
+    left = csr.of_dense(users, "user_id").toDF("user_id", "x_pos", "x_val")
+    right = csr.of_dense(items, "item_id").toDF("item_id", "y_pos", "y_val")
     return join_sides(dyads, left, right)
 
 
@@ -61,69 +63,120 @@ def with_vectors(dyads: DataFrame, users: DataFrame, items: DataFrame) -> DataFr
 _PARTIAL = "model int, side string, row int, n double, total array<double>"
 
 
-def batch_gradients(examples: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]],
-                    lam: float = fixed.LAMBDA, shared: Broadcast | None = None) -> DataFrame:
-    """Summed gradient rows ``(model, side, row, n, total)`` over ``(x, y, label)`` examples.
+def _partial_rows(sums: dict[tuple[int, str], np.ndarray], n: float) -> Iterator[pa.RecordBatch]:
+    for (model, side), g in sums.items():
+        k = len(g)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model] * k, pa.int32()), pa.array([side] * k), pa.array(range(k), pa.int32()), pa.array([float(n)] * k), csr.lists(g)],
+            ["model", "side", "row", "n", "total"])
 
-    One partial sum per task and matrix row, then an element-wise sum in the JVM. ``shared``: the models as a broadcast that
-    the caller releases.
+
+def _summed(partial: DataFrame) -> DataFrame:
+    """An element-wise sum in the JVM of what the tasks return."""
+    return partial.groupBy("model", "side", "row").agg(
+        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
+
+
+def batch_gradients(examples: DataFrame, models: Matrices, lam: float = fixed.LAMBDA, shared: Broadcast | None = None) -> DataFrame:
+    """Summed gradient rows ``(model, side, row, n, total)`` over examples that carry both vectors.
+
+    Examples are ``(x_pos, x_val, y_pos, y_val, label)`` or, dense, ``(x, y, label)``. One partial sum per task and matrix row.
+    ``shared``: the models as a broadcast that the caller releases.
     """
     shared = shared or examples.sparkSession.sparkContext.broadcast(models)
+    if "x" in examples.columns:
+        both = examples.select(*[V.nonzero(F.col(c)).alias(c) for c in "xy"], "label")
+        examples = both.select(*[F.col(f"{c}.{e}").alias(f"{c}_{n}") for c in "xy" for e, n in (("pos", "pos"), ("value", "val"))], "label")
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, n = {}, 0
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str], np.ndarray] = {}
+        n = 0
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            n += len(b)
-            z = np.where(b["label"].to_numpy(dtype=bool), 1.0, -1.0)
-            x = y = None
+            n += b.num_rows
+            z = np.where(b.column("label").to_numpy(zero_copy_only=False).astype(bool), 1.0, -1.0)
             for m, (w, v) in shared.value.items():
-                x = stack(b["x"], True, w.shape[1]) if x is None else x
-                y = stack(b["y"], True, v.shape[1]) if y is None else y
-                px, py = x @ w.T, y @ v.T
+                x = csr.Batch(b.column("x_pos"), b.column("x_val"), w.shape[1], True)
+                y = csr.Batch(b.column("y_pos"), b.column("y_val"), v.shape[1], True)
+                px, py = x.times(w), y.times(v)
                 s = 1.0 / (1.0 + np.exp(-z * (px * py).sum(axis=1) / lam))
                 f = (-z * (1.0 - s) / lam)[:, None]
-                for side, g in (("W", (f * py).T @ x), ("V", (f * px).T @ y)):
+                for side, g in (("W", x.outer_sum(f * py)), ("V", y.outer_sum(f * px))):
                     sums[m, side] = sums.get((m, side), 0.0) + g
-        for (m, side), g in sums.items():
-            g = np.nan_to_num(g, nan=np.inf)  # Arrow would turn NaN into null; both mean "no model"
-            yield pd.DataFrame({"model": m, "side": side, "row": np.arange(len(g)), "n": float(n),
-                                "total": list(g)})
+        # Arrow would turn NaN into null; infinity means "no model" as well
+        yield from _partial_rows({key: np.nan_to_num(g, nan=np.inf) for key, g in sums.items()}, n)
 
-    rows = examples.select("x", "y", "label").mapInPandas(partial, _PARTIAL)
-    return rows.groupBy("model", "side", "row").agg(
-        F.sum("n").alias("n"),
-        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
+    return _summed(examples.select("x_pos", "x_val", "y_pos", "y_val", "label").mapInArrow(partial, _PARTIAL))
 
 
-def entity_gradient(dyads: DataFrame, users: DataFrame, items: DataFrame, model: UtilityModel) -> DataFrame:
-    """Mean full-data gradient ``(side, row, col, value)`` without copying vectors per dyad.
+def entity_gradients(dyads: DataFrame, users: DataFrame, items: DataFrame, models: Matrices, lam: float = fixed.LAMBDA) -> DataFrame:
+    """The same sums over all dyads in one scan of them and without a vector per dyad.
 
-    Σ f·Py ⊗ x over dyads equals Σ over users of (Σ f·Py) ⊗ x: dyads only carry the two k-vectors,
-    are summed per entity first, and each entity's vector is used once.
+    Σ f·Py ⊗ x over dyads equals Σ over users of (Σ f·Py) ⊗ x. Every dyad, with the two projections, adds to one sum of k values
+    for its user and one for its item; one aggregation keyed by (side, entity) holds both and the counts. Each entity's vector
+    then meets its sum once.
     """
-    k = model.w.shape[0]
-    scored = model.score(dyads, users, items).select("user_id", "item_id", "label", "left_proj", "right_proj")
+    names = list(models)
+    ks = [len(models[m][0]) for m in names]
+    starts = np.cumsum([0, *ks]).tolist()
+    w, v = (np.vstack([models[m][side] for m in names]) for side in (0, 1))
+    left, right = csr.of_dense(users, "user_id"), csr.of_dense(items, "item_id")
+    both = join_sides(
+        dyads.select("user_id", "item_id", "label"),
+        left.select("user_id", csr.projection(F.col("pos"), F.col("val"), w, True).alias("px")),
+        right.select("item_id", csr.projection(F.col("pos"), F.col("val"), v, True).alias("py")))
     z = F.when(F.col("label"), 1.0).otherwise(-1.0)
-    s = S.sigmoid(z * V.dot(F.col("left_proj"), F.col("right_proj")), model.lam)
-    scored = scored.withColumn("f", -z * (1 - s) / model.lam)
-    n = dyads.agg(F.count(F.lit(1))).scalar()
-
-    def side(name: str, key: str, proj: str, entities: DataFrame, bias: bool) -> DataFrame:
-        sums = scored.groupBy(key).agg(
-            *[F.sum(F.col("f") * F.get(proj, F.lit(r))).alias(f"g{r}") for r in range(k)])
-        vec = F.concat("vec", F.array(F.lit(1.0))) if bias else F.col("vec")
-        both = sums.join(entities.select(key, vec.alias("vec")), key)
-        cells = both.select(F.posexplode("vec").alias("col", "x"), *[f"g{r}" for r in range(k)])
-        per_col = cells.groupBy("col").agg(
-            F.array(*[F.sum(F.col(f"g{r}") * F.col("x")) for r in range(k)]).alias("g"))
-        return per_col.select(
-            F.lit(name).alias("side"), "col", F.posexplode("g").alias("row", "g")
-        ).select("side", "row", "col", (F.col("g") / n).alias("value"))
-
-    return side("W", "user_id", "right_proj", users, model.biased_left).unionByName(
-        side("V", "item_id", "left_proj", items, model.biased_right))
+
+    def own(side: str, i: int) -> Column:
+        return F.slice(side, starts[i] + 1, ks[i])
+
+    factors = [-z * (1 - S.sigmoid(z * V.dot(own("px", i), own("py", i)), lam)) / lam for i in range(len(names))]
+    both = both.select("*", *[f.alias(f"f{i}") for i, f in enumerate(factors)])
+
+    def times(factor: Column, values: Column) -> Column:
+        return F.transform(values, lambda v: factor * v)
+
+    def scaled(side: str) -> Column:
+        return F.concat(*[times(F.col(f"f{i}"), own(side, i)) for i in range(len(names))])
+
+    kind = "string" if left.schema["user_id"].dataType != right.schema["item_id"].dataType else None
+
+    def key(name: str) -> Column:
+        return F.col(name).cast(kind) if kind else F.col(name)
+
+    sides = F.explode(F.array(
+        F.struct(F.lit("W").alias("side"), key("user_id").alias("id"), scaled("py").alias("g")),
+        F.struct(F.lit("V").alias("side"), key("item_id").alias("id"), scaled("px").alias("g")))).alias("s")
+    sums = both.select(sides).select("s.*").groupBy("side", "id").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.get("g", F.lit(r))) for r in range(starts[-1])]).alias("g"))
+    entities = left.select(F.lit("W").alias("side"), key("user_id").alias("id"), "pos", "val").unionByName(
+        right.select(F.lit("V").alias("side"), key("item_id").alias("id"), "pos", "val"))
+    widths = {"W": w.shape[1], "V": v.shape[1]}
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {side: np.zeros((starts[-1], width)) for side, width in widths.items()}
+        n = dict.fromkeys(widths, 0)
+        for b in batches:
+            for side, width in widths.items():
+                rows = b.filter(pc.equal(b.column("side"), side))
+                if rows.num_rows:
+                    g = rows.column("g").flatten().to_numpy(zero_copy_only=False).reshape(-1, starts[-1])
+                    total[side] += csr.Batch(rows.column("pos"), rows.column("val"), width, True).outer_sum(g)
+                    n[side] += pc.sum(rows.column("n")).as_py()
+        for side in widths:
+            if n[side]:
+                parts = np.nan_to_num(total[side], nan=np.inf)
+                yield from _partial_rows({(m, side): parts[a:a + k] for m, a, k in zip(names, starts, ks)}, n[side])
+
+    return _summed(sums.join(entities, ["side", "id"]).select("side", "n", "g", "pos", "val").mapInArrow(partial, _PARTIAL))
+
+
+def entity_gradient(dyads: DataFrame, users: DataFrame, items: DataFrame, model: UtilityModel) -> DataFrame:
+    """Mean gradient of one model as cells ``(side, row, col, value)``."""
+    rows = entity_gradients(dyads, users, items, {0: (model.w, model.v)}, model.lam)
+    cells = rows.select("side", "row", "n", F.posexplode("total").alias("col", "g"))
+    return cells.select("side", "row", "col", (F.col("g") / F.col("n")).alias("value"))
 
 
 def stepped(matrix: np.ndarray, gradient: np.ndarray, rate: float, reg: float) -> np.ndarray:
@@ -133,41 +186,51 @@ def stepped(matrix: np.ndarray, gradient: np.ndarray, rate: float, reg: float) -
 
 # -- training -----------------------------------------------------------------------------------
 
+def width_of(table: DataFrame) -> int:
+    """Length of a vector: of the first dense one, else the largest position that is used."""
+    if "vec" in table.columns:
+        return table.select(F.size("vec")).first()[0]
+    last = table.agg(F.max(F.array_max("pos"))).first()[0]
+    return 0 if last is None else last + 1
+
+
 def learn_many(
     dyads: DataFrame, users: DataFrame, items: DataFrame, settings: list[Settings],
     max_iterations: int = fixed.MAX_ITERATIONS, minibatch: float = fixed.MINIBATCH_SIZE,
     data_size: int | None = None, seed: int = 0, lam: float = fixed.LAMBDA,
+    start: list[tuple[np.ndarray, np.ndarray]] | None = None, widths: tuple[int, int] | None = None,
 ) -> list[UtilityModel | None]:
     """One model per setting; ``None`` where the numbers ran away.
 
-    Runs ``max_iterations - 1`` steps at most and stops a model after ten steps in a row whose
-    gradient is close to zero.
+    Runs ``max_iterations - 1`` steps at most and stops a model after ten steps in a row whose gradient is close to zero. Dyads
+    without an encoded entity are left out before anything is drawn. ``start``: the matrices to start from, bias column last;
+    random ones by default. ``widths``: length of user and item vectors, needed where sparse vectors leave places unused.
     """
-    n = dyads.count() if data_size is None else data_size
-    fraction = min(1.0, minibatch / max(n, 1))
-    d_left = users.select(F.size("vec")).first()[0] + 1
-    d_right = items.select(F.size("vec")).first()[0] + 1
+    d_left, d_right = (w + 1 for w in (widths or (width_of(users), width_of(items))))
     runs = []
     for i, s in enumerate(settings):
         rng = np.random.default_rng([seed, i])
-        runs.append(_Run(s, rng.random((s.k, d_left)) - 0.5, rng.random((s.k, d_right)) - 0.5))
+        w, v = start[i] if start else (rng.random((s.k, d_left)) - 0.5, rng.random((s.k, d_right)) - 0.5)
+        if w.shape != (s.k, d_left) or v.shape != (s.k, d_right):
+            raise ValueError(f"start matrices of {w.shape} and {v.shape}, not {(s.k, d_left)} and {(s.k, d_right)}")
+        runs.append(_Run(s, np.array(w, float), np.array(v, float)))
+    users, items = csr.of_dense(users, "user_id"), csr.of_dense(items, "item_id")
+    ids = dyads.select("user_id", "item_id", "label").join(items.select("item_id"), "item_id", "left_semi")
+    ids = cut_lineage(sample.numbered(ids.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "item_id", "label")))
+    fraction = min(1.0, minibatch / max(ids.count() if data_size is None else data_size, 1))
     steps = list(range(1, max_iterations))
-    batches = _batches(dyads, users, items, fraction, steps, seed)
+    batches = _Batches(ids, users, items, fraction, steps, seed)
     try:
         for t in steps:
-            live = {i: r for i, r in enumerate(runs) if r.open}
-            if not live:
+            models = {i: (r.w, r.v) for i, r in enumerate(runs) if r.open}
+            if not models:
                 break
-            models = {i: (r.w, r.v) for i, r in live.items()}
-            shared = dyads.sparkSession.sparkContext.broadcast(models)
-            grads = batch_gradients(batches(t), models, lam, shared)
-            rows = collect_bounded(grads, sum(2 * r.settings.k for r in live.values()), "gradient rows")
-            shared.destroy()
+            rows = collect_bounded(batches.gradients(t, models, lam), sum(2 * len(w) for w, _ in models.values()), "gradient rows")
             table = {(r["model"], r["side"], r["row"]): (r["n"], r["total"]) for r in rows}
-            if not table:  # none of the drawn dyads has both entities encoded: the step changes nothing
-                continue
-            for i, run in live.items():
-                _update(run, i, table, t)
+            if not table:  # there are no encoded dyads: nothing can be learned
+                break
+            for i in models:
+                _update(runs[i], i, table, t)
     finally:
         batches.release()
     return [None if r.failed else UtilityModel(r.w, r.v, lam, True, True) for r in runs]
@@ -190,32 +253,41 @@ def _update(run: _Run, i: int, table: dict, t: int) -> None:
     run.open = run.idle < NO_PROGRESS_STEPS
 
 
-class _batches:
-    """Minibatch of a step. Small fractions: all steps drawn in one scan and checkpointed."""
-
-    def __init__(self, dyads, users, items, fraction, steps, seed):
-        self.fraction, self.seed = fraction, seed
-        self.whole = fraction * len(steps) >= 1.0
-        if self.whole:
-            self.data = with_vectors(dyads, users, items).persist()
-            return
-        ids = cut_lineage(sample.minibatches(dyads, fraction, steps, seed))
-        drawn = {r["step"] for r in ids.select("step").distinct().collect()}
-        for t in steps:  # an empty draw is repeated with the next seed
-            if t not in drawn:
-                again = sample.bernoulli(dyads, fraction, seed + 1_000_003 * t)
-                ids = ids.unionByName(again.withColumn("step", F.lit(t)))
-        self.data = cut_lineage(with_vectors(ids, users, items)).persist()
-
-    def __call__(self, t: int) -> DataFrame:
-        if not self.whole:
-            return self.data.where(F.col("step") == t)
+class _Batches:
+    """The rows of each step. A batch of everything is summed per entity. Smaller ones are drawn for as many steps at once as
+    together take about all rows, so that what is stored never exceeds the data; an empty draw goes on to a later number."""
+
+    def __init__(self, ids: DataFrame, users: DataFrame, items: DataFrame, fraction: float, steps: list[int], seed: int):
+        self.ids, self.users, self.items, self.fraction, self.steps, self.seed = ids, users, items, fraction, steps, seed
+        self.held: DataFrame | None = None
+        self.first = self.last = 0
+
+    def gradients(self, t: int, models: Matrices, lam: float) -> DataFrame:
         if self.fraction >= 1.0:
-            return self.data
-        return sample.bernoulli(self.data, self.fraction, self.seed + 1_000_003 * t)
+            return entity_gradients(self.ids, self.users, self.items, models, lam)
+        if not self.first <= t < self.last:
+            self._draw(t)
+        return batch_gradients(self.held.where(F.col("step") == t), models, lam)
+
+    def _draw(self, t: int) -> None:
+        self.release()
+        together = max(1, int(1 / self.fraction))
+        self.first, self.last = t, min(t + together, self.steps[-1] + 1)
+        missing, drawn, tries = list(range(self.first, self.last)), None, 0
+        while missing and tries < 100:
+            shift = tries * (self.steps[-1] + 1)
+            rows = sample.minibatches(self.ids, self.fraction, [s + shift for s in missing], self.seed)
+            rows = cut_lineage(rows.withColumn("step", F.col("step") - shift))
+            have = {r["step"] for r in rows.select("step").distinct().collect()}
+            drawn = rows if drawn is None else drawn.unionByName(rows)
+            missing = [s for s in missing if s not in have]
+            tries += 1 if not self.ids.isEmpty() else 100
+        self.held = cut_lineage(with_vectors(drawn, self.users, self.items)).persist()
 
     def release(self) -> None:
-        self.data.unpersist()
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
 
 
 def learn(dyads: DataFrame, users: DataFrame, items: DataFrame, settings: Settings | None = None,
@@ -231,43 +303,25 @@ def hit_rate(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg(hit.cast("double")).alias("hit_rate"))
 
 
-def hit_rates(dyads: DataFrame, users: DataFrame, items: DataFrame,
-              models: dict[int, UtilityModel]) -> DataFrame:
-    """``(model, hit_rate, n)`` of many models in one pass over the dyads.
-
-    Entities are projected once for all models together and dyads carry the projections, unless
-    those are wider than the entity vectors themselves.
-    """
-    ids = list(models)
-    ks = [models[i].w.shape[0] for i in ids]
-    starts = np.cumsum([0, *ks[:-1]])
-    lam = np.array([models[i].lam for i in ids])
-    w, v = np.vstack([models[i].w for i in ids]), np.vstack([models[i].v for i in ids])
-    bias_left, bias_right = models[ids[0]].biased_left, models[ids[0]].biased_right
-    early = 2 * sum(ks) < w.shape[1] + v.shape[1]
-    if early:
-        users = users.select("user_id", project(F.col("vec"), w, bias_left).alias("vec"))
-        items = items.select("item_id", project(F.col("vec"), v, bias_right).alias("vec"))
-    shared = dyads.sparkSession.sparkContext.broadcast((w, v))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            if early:
-                px, py = np.vstack(b["x"].to_numpy()), np.vstack(b["y"].to_numpy())
-            else:
-                wm, vm = shared.value
-                px, py = stack(b["x"], bias_left, wm.shape[1]) @ wm.T, stack(b["y"], bias_right, vm.shape[1]) @ vm.T
-            dots = np.add.reduceat(px * py, starts, axis=1)
-            over = 1.0 / (1.0 + np.exp(-dots / lam)) > 0.5
-            hits = (over == b["label"].to_numpy(dtype=bool)[:, None]).sum(axis=0)
-            yield pd.DataFrame({"model": ids, "hits": hits.astype(float), "n": float(len(b))})
-
-    rows = with_vectors(dyads, users, items).select("x", "y", "label").mapInPandas(
-        count, "model int, hits double, n double")
-    return rows.groupBy("model").agg(
-        (F.sum("hits") / F.sum("n")).alias("hit_rate"), F.sum("n").cast("bigint").alias("n"))
+def hit_rates(dyads: DataFrame, users: DataFrame, items: DataFrame, models: dict[int, UtilityModel]) -> DataFrame:
+    """``(model, hit_rate, n)`` of many models in one pass: entities are projected once for all of them."""
+    names = list(models)
+    ks = [len(models[i].w) for i in names]
+    starts = np.cumsum([0, *ks]).tolist()
+    first = models[names[0]]
+    left, right = csr.of_dense(users, "user_id"), csr.of_dense(items, "item_id")
+    w, v = np.vstack([models[i].w for i in names]), np.vstack([models[i].v for i in names])
+    both = join_sides(
+        dyads.select("user_id", "item_id", "label"),
+        left.select("user_id", csr.projection(F.col("pos"), F.col("val"), w, first.biased_left).alias("px")),
+        right.select("item_id", csr.projection(F.col("pos"), F.col("val"), v, first.biased_right).alias("py")))
+    rates = []
+    for i, name in enumerate(names):
+        utility = S.sigmoid(V.dot(F.slice("px", starts[i] + 1, ks[i]), F.slice("py", starts[i] + 1, ks[i])), models[name].lam)
+        rates.append(F.avg((S.predict(utility) == F.col("label")).cast("double")))
+    shares = both.agg(F.count(F.lit(1)).alias("n"), F.array(*rates).alias("r"))
+    return shares.select(F.posexplode("r").alias("at", "hit_rate"), "n").select(
+        F.get(F.lit(names), F.col("at")).cast("int").alias("model"), "hit_rate", "n")
 
 
 @dataclass
@@ -284,32 +338,30 @@ def grid(ks=fixed.GRID_K, regs=fixed.GRID_REG, l0s=fixed.GRID_L0, speeds=fixed.G
 
 def learn_tuned(dyads: DataFrame, users: DataFrame, items: DataFrame, points: list[Settings] | None = None,
                 minibatch: float = fixed.MINIBATCH_SIZE, max_iterations: int = fixed.MAX_ITERATIONS,
-                seed: int = 0) -> GridResult:
+                seed: int = 0, train_share: float = 1.0, start: list[tuple[np.ndarray, np.ndarray]] | None = None,
+                widths: tuple[int, int] | None = None) -> GridResult:
     """Grid search scored by the hit rate on a 30% test part; the first best point wins.
 
-    ``table`` has one row per grid point with test and (1% sample) training hit rate.
+    ``table`` has one row per grid point with the hit rates on the test part and on the training part, or on a ``train_share``
+    of the latter drawn by keys.
     """
     points = points or grid()
     train, test = sample.split(dyads, ["user_id", "item_id"], 0.7, seed)
-    models = learn_many(train, users, items, points, max_iterations, minibatch, seed=seed)
+    models = learn_many(train, users, items, points, max_iterations, minibatch, seed=seed, start=start, widths=widths)
     alive = {i: m for i, m in enumerate(models) if m is not None}
     if not alive:
         raise ValueError("no grid point gave a stable model")
     tested = hit_rates(test, users, items, alive).select("model", "hit_rate")
-    trained = hit_rates(train.sample(False, 0.01, seed), users, items, alive).select(
-        "model", F.col("hit_rate").alias("train_hit_rate"))
+    some = train if train_share >= 1.0 else sample.split(train, ["user_id", "item_id"], train_share, seed + 1)[0]
+    trained = hit_rates(some, users, items, alive).select("model", F.col("hit_rate").alias("train_hit_rate"))
     spark = dyads.sparkSession
     meta = spark.createDataFrame(
         [(i, p.k, p.reg, p.l0, p.speed) for i, p in enumerate(points)],
         "model int, k int, reg double, l0 double, speed double")
-    table = meta.join(tested, "model", "left").join(trained, "model", "left")
+    table = cut_lineage(meta.join(tested, "model", "left").join(trained, "model", "left"))
     best = top_grid(table).first()
     return GridResult(alive[best["model"]], points[best["model"]], best["hit_rate"], table)
 
 
 def top_grid(table: DataFrame) -> DataFrame:
     return table.orderBy(F.desc_nulls_last("hit_rate"), "model").limit(1)
-
-
-def with_settings(settings: Settings, **changes) -> Settings:
-    return replace(settings, **changes)

@@ -1,8 +1,8 @@
 """Projection of entities into the learned subspace, and scoring.
 
 Matrices are ``k x d`` numpy arrays on the driver and broadcast: their size is that of the model and
-does not grow with the number of entities. Dense vectors go to Python in Arrow batches, one matrix
-product per batch.
+does not grow with the number of entities. Vectors, sparse or dense, go to Python in Arrow batches,
+one matrix product per batch and no Python object per row.
 """
 
 from __future__ import annotations
@@ -11,41 +11,47 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.functions import vectors as V
+from duoscope.operators import csr
 from duoscope.operators.joins import join_sides
 
 MODEL_LIMIT = 50_000_000
 BLOCK_CELLS = 500_000
 
 
-def stack(series: pd.Series, bias: bool, width: int) -> np.ndarray:
-    """A batch of arrays as a matrix, with a trailing 1 for the bias; the width must fit."""
-    n = len(series)
-    x = np.vstack(series.to_numpy()).astype(float) if n else np.empty((0, width - bias))
-    if x.shape[1] + bias != width:
-        raise ValueError(f"vector has {x.shape[1] + bias} values, matrix {width} columns")
-    return np.hstack([x, np.ones((n, 1))]) if bias else x
-
-
 def once(udf):
     """Keep the optimizer from copying a Python function into filters and generators above it."""
     return udf.asNondeterministic()
 
 
 def project(dense: Column, matrix: np.ndarray, bias: bool = False) -> Column:
-    """M·x for every row's dense vector."""
-    @F.pandas_udf("array<double>")
-    def times(x: pd.Series) -> pd.Series:
-        return pd.Series(list(stack(x, bias, matrix.shape[1]) @ matrix.T))
+    """M·x for every row's dense vector; the width must fit."""
+    width = matrix.shape[1] - bias
+
+    @F.arrow_udf("array<double>")
+    def times(x: pa.Array) -> pa.Array:
+        flat = x.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) != len(x) * width:
+            raise ValueError(f"vectors of {len(flat) / max(len(x), 1):g} values on average, matrix for {width}")
+        rows = flat.astype(float).reshape(-1, width)
+        return csr.lists(rows @ matrix[:, :width].T + (matrix[:, -1] if bias else 0.0))
 
     return once(times)(dense)
 
 
+def projected(entities: DataFrame, matrix: np.ndarray, bias: bool) -> Column:
+    """The projection of an entity table, sparse ``(pos, val)`` or dense ``vec``."""
+    if "pos" in entities.columns:
+        return csr.projection(F.col("pos"), F.col("val"), matrix, bias)
+    return project(F.col("vec"), matrix, bias)
+
+
 def project_long(entities: DataFrame, factors: DataFrame, key: str) -> DataFrame:
     """The same product as joins and sums over the long factor table: ``(key, row, value)``.
 
@@ -100,11 +106,11 @@ class UtilityModel:
     biased_left: bool = False
     biased_right: bool = False
 
-    def map_left(self, entities: DataFrame, vec: str = "vec") -> DataFrame:
-        return entities.withColumn("proj", project(F.col(vec), self.w, self.biased_left))
+    def map_left(self, entities: DataFrame) -> DataFrame:
+        return entities.withColumn("proj", projected(entities, self.w, self.biased_left))
 
-    def map_right(self, entities: DataFrame, vec: str = "vec") -> DataFrame:
-        return entities.withColumn("proj", project(F.col(vec), self.v, self.biased_right))
+    def map_right(self, entities: DataFrame) -> DataFrame:
+        return entities.withColumn("proj", projected(entities, self.v, self.biased_right))
 
     def value(self, left_proj: Column, right_proj: Column) -> Column:
         return S.sigmoid(V.dot(left_proj, right_proj), self.lam)
@@ -117,9 +123,10 @@ class UtilityModel:
 
     def likes(self, proj: Column, opposite: np.ndarray) -> Column:
         """0/1 per projected opposite vector (centroids or popular items), one product per batch."""
-        @F.pandas_udf("array<int>")
-        def liked(p: pd.Series) -> pd.Series:
-            return pd.Series(list(self.over_half(np.vstack(p.to_numpy()), opposite).astype("int32")))
+        @F.arrow_udf("array<int>")
+        def liked(p: pa.Array) -> pa.Array:
+            rows = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
+            return csr.lists(self.over_half(rows, opposite).astype("int32"))
 
         return once(liked)(proj)
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoscope.functions import vectors as V
+from duoscope.session import cut_lineage, scratch_path
 
 SIDES = ("left", "right")
 BLOCKS = ("bin", "tri", "num")
 CSV_CELLS = 20_000_000
 WIDTHS = [f"{side}_{block}" for side in SIDES for block in BLOCKS]
+#: What vectors are in storage: type 0 has indices and values, type 1 values only.
+STORED_ROWS = "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 VECTOR_ROWS = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
 
 
@@ -27,6 +33,12 @@ def write_libsvm(df: DataFrame, features: str, path: str, label: str | None = No
     ).save(path)
 
 
+def write_sparse_libsvm(rows: DataFrame, path: str) -> None:
+    """``(pos, val)``, ascending, as libsvm lines with label 0; zeros need not be stored."""
+    cells = F.transform(F.arrays_zip("pos", "val"), lambda c: F.concat_ws(":", (c["pos"] + 1).cast("string"), c["val"].cast("string")))
+    rows.select(F.concat_ws(" ", F.lit("0.0"), F.array_join(cells, " ")).alias("value")).write.text(path)
+
+
 def read_libsvm(spark: SparkSession, path: str, width: int) -> DataFrame:
     """``label double, features array<double>``; the width keeps trailing zeros."""
     raw = spark.read.format("libsvm").option("numFeatures", width).load(path)
@@ -65,14 +77,26 @@ def write_sparse_dyads(rows: DataFrame, widths: dict[str, int], path: str) -> No
 
     The struct has the storage form of a sparse ML vector, so both kinds read back the same way.
     """
-    vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(sum(widths.values())).alias("size"), "indices", "values")
+    vector = sparse_vector(F.col("indices"), F.col("values"), F.lit(sum(widths.values())))
     rows.select(F.col("label").cast("double").alias("label"), vector.alias("features")).write.parquet(f"{path}/rows")
     values = [(widths.get(w, 0), widths.get(w, 0)) for w in WIDTHS]
     names = ", ".join(f"{w} int, {w}_min int" for w in WIDTHS)
     rows.sparkSession.createDataFrame([tuple(v for pair in values for v in pair)], names).write.parquet(f"{path}/widths")
 
 
+def sparse_vector(pos: Column, val: Column, size: Column) -> Column:
+    """The storage form of a sparse ML vector; Parquet that is read with VECTOR_ROWS gives vectors."""
+    return F.struct(F.lit(0).cast("tinyint").alias("type"), size.cast("int").alias("size"), pos.alias("indices"), val.alias("values"))
+
+
+def sparse_vectors(entities: DataFrame, width: int) -> DataFrame:
+    """``(…, pos, val)`` with sparse ML vectors ``features``, by way of a written table: no Python, no dense value."""
+    path = scratch_path(entities.sparkSession, "vectors")
+    entities.withColumn("features", sparse_vector(F.col("pos"), F.col("val"), F.lit(width))).write.parquet(path)
+    schema = T.StructType([*entities.schema.fields, T.StructField("features", VectorUDT())])
+    return entities.sparkSession.read.schema(schema).parquet(path)
+
+
 def read_widths(spark: SparkSession, path: str) -> dict[str, int]:
     row = spark.read.parquet(f"{path}/widths").first().asDict()
     for name in WIDTHS:
@@ -102,6 +126,44 @@ def read_dyads(spark: SparkSession, path: str, widths: dict[str, int] | None = N
     return rows.select(*cols, (F.col("label") > 0).alias("label"))
 
 
+def read_dyad_sides(spark: SparkSession, path: str, widths: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
+    """Stored dyads as ids and two vector tables: ``(user_id, item_id, label)``, users and items ``(id, pos, val)``, widths.
+
+    Stored rows have no ids, and every dyad of an entity repeats its vector. The id here is made of the vector itself: two
+    64-bit hashes of positions and values. Each distinct vector is kept once; a table with two vectors of one id fails, so the
+    hashes decide nothing. Equal vectors of different entities become one entity, which scores and gradients cannot tell apart.
+    """
+    w = read_widths(spark, path) if widths is None else {name: widths.get(name, 0) for name in WIDTHS}
+    total, n_left = sum(w.values()), w["left_bin"] + w["left_tri"] + w["left_num"]
+    rows = spark.read.schema(STORED_ROWS).parquet(f"{path}/rows" if widths is None else path)
+    sparse = F.col("features.type") == 0
+    size = F.when(sparse, F.col("features.size")).otherwise(F.size("features.values"))
+    wrong = F.raise_error(F.lit(f"dyad width differs from {total}"))
+    listed = F.arrays_zip(F.col("features.indices").alias("pos"), F.col("features.values").alias("value"))
+    entries = F.when(sparse, F.filter(listed, lambda e: e["value"] != 0)).otherwise(V.nonzero(F.col("features.values")))
+    rows = rows.where(F.when(size == total, F.lit(True)).otherwise(wrong.cast("boolean"))).select("label", entries.alias("e"))
+
+    def side(first: int, end: int) -> Column:
+        own = F.filter("e", lambda e: (e["pos"] >= first) & (e["pos"] < end))
+        return F.transform(own, lambda e: F.struct((e["pos"] - first).alias("pos"), e["value"].alias("value")))
+
+    rows = rows.select("label", side(0, n_left).alias("x"), side(n_left, total).alias("y"))
+
+    def key(c: str) -> Column:
+        return F.concat(*[F.hex(F.xxhash64(F.lit(seed), F.col(c))) for seed in (1, 2)])
+
+    rows = rows.withColumns({"user_id": key("x"), "item_id": key("y")})
+    tables = []
+    for name, c in (("user_id", "x"), ("item_id", "y")):
+        distinct = rows.select(name, F.col(f"{c}.pos").alias("pos"), F.col(f"{c}.value").alias("val")).distinct()
+        distinct = cut_lineage(distinct)
+        if not distinct.groupBy(name).count().where("count > 1").isEmpty():
+            raise ValueError(f"two vectors have the same {name}")
+        tables.append(distinct)
+    ids = cut_lineage(rows.select("user_id", "item_id", (F.col("label") > 0).alias("label")))
+    return ids, tables[0], tables[1], (n_left, total - n_left)
+
+
 def copy_dyads_orc(spark: SparkSession, path: str, out: str) -> None:
     """A second copy of the decoded dyads in a row-object-friendly format."""
     read_dyads(spark, path).write.orc(out)
@@ -110,17 +172,36 @@ def copy_dyads_orc(spark: SparkSession, path: str, out: str) -> None:
 # -- maps, codes, factors --------------------------------------------------------------------
 
 def save_once(df: DataFrame, path: str) -> DataFrame:
-    """Write unless a finished write is there, then read what is stored; what a broken-off job left is written anew."""
+    """Write unless the table is there, then read what is stored.
+
+    The rows go to a folder of their own beside ``path``, which gets its name only when the write is complete; what a broken-off
+    job left has another name and is no table. Of two writers at once the first to finish stays. Nothing is ever overwritten.
+    """
     spark = df.sparkSession
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        df.write.mode("overwrite").parquet(path)
+    jvm, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.Path(path)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        part = jvm.Path(f"{path}-{uuid.uuid4().hex[:12]}")
+        df.write.parquet(part.toString())
+        plain = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)  # a rename that fails where the target exists
+        try:
+            jvm.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf).rename(part, target, plain)
+        except Py4JJavaError:
+            if not fs.exists(target):
+                raise
     return spark.read.parquet(path)
 
 
-def write_codes(entities: DataFrame, path: str) -> None:
-    """``(id, vec)`` of one side, dense."""
-    entities.select("id", "vec").write.parquet(path)
+def write_codes(entities: DataFrame, width: int, path: str) -> None:
+    """``(id, pos, val)`` of one side as ``(id, features)`` with sparse vectors."""
+    entities.select("id", sparse_vector(F.col("pos"), F.col("val"), F.lit(width)).alias("features")).write.parquet(path)
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, pos, val, width)`` back from stored vectors."""
+    rows = spark.read.schema("id bigint, " + STORED_ROWS.partition(", ")[2]).parquet(path)
+    return rows.select("id", F.col("features.indices").alias("pos"), F.col("features.values").alias("val"), F.col("features.size").alias("width"))
 
 
 def write_factors(factors: DataFrame, path: str, biased_left: bool, biased_right: bool) -> None:

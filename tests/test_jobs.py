@@ -45,8 +45,46 @@ def test_encoded_sides(coded):
     assert coded["items"].count() == 38  # rated, with a year, with tags
     row = coded["items"].first()
     assert len(row.bin) == 20 and len(row.num) == 5
-    users, items = jobs.dense_sides(coded)
-    assert len(users.first().vec) == coded["id_map"].count() and len(items.first().vec) == 25
+    users, items, widths = jobs.sparse_sides(coded)
+    assert widths == (coded["id_map"].count(), 25)
+    assert users.where("not forall(val, v -> v in (-1.0, 1.0)) or size(pos) <> size(val)").isEmpty() and items.where("exists(val, v -> v = 0)").isEmpty()
+
+
+def test_codes_keep_their_zeros_out(spark, coded, tmp_path):
+    jobs.export_codes(coded, str(tmp_path))
+    codes = tables.read_codes(spark, f"{tmp_path}/users")
+    assert codes.count() == 60 and {r.width for r in codes.collect()} == {coded["id_map"].count()}
+
+
+def test_stored_dyads_teach_the_same(spark, coded, tmp_path):
+    """Learning from exported rows equals learning from the tables; each distinct vector is kept once."""
+    path = str(tmp_path / "d")
+    jobs.export_dyads(coded, path)
+    ids, users, items, widths = tables.read_dyad_sides(spark, path)
+    left, right, sizes = jobs.sparse_sides(coded)
+    assert widths == sizes and ids.count() == coded["outcomes"].join(coded["items"], "item_id", "left_semi").count()
+    assert users.count() == left.select("pos", "val").distinct().count() and items.count() == right.select("pos", "val").distinct().count()
+    s = learn.Settings(k=3, reg=1e-4, l0=0.5)
+    labelled = coded["outcomes"].withColumnRenamed("outcome", "label")
+    stored = learn.learn(ids, users, items, s, max_iterations=4, minibatch=1e9, seed=1, widths=widths)
+    direct = learn.learn(labelled, left, right, s, max_iterations=4, minibatch=1e9, seed=1, widths=widths)
+    assert np.allclose(stored.w, direct.w) and np.allclose(stored.v, direct.v)
+    result = jobs.learn_stored(spark, path, str(tmp_path / "f"), learn.grid((2,), (1e-4,), (0.5,), (0.1,)), 50, 5, 1)
+    assert np.allclose(UtilityModel.load(spark, str(tmp_path / "f")).w, result.model.w)
+
+
+def test_dense_rows_of_another_tool_and_wrong_widths(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [(1.0, [1.0, 0.0, -1.0, 0.5]), (0.0, [1.0, 0.0, 0.0, 0.5]), (1.0, [1.0, 0.0, -1.0, 0.25]), (1.0, [1.0, 0.0, -1.0, 0.5])]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "label double, v array<double>").select("label", array_to_vector("v").alias("features")).write.parquet(path)
+    ids, users, items, widths = tables.read_dyad_sides(spark, path, {"left_tri": 3, "right_num": 1})
+    assert widths == (3, 1) and ids.count() == 4
+    assert sorted((r.pos, r.val) for r in users.collect()) == [([0], [1.0]), ([0, 2], [1.0, -1.0])]
+    assert sorted((r.pos, r.val) for r in items.collect()) == [([0], [0.25]), ([0], [0.5])]
+    with pytest.raises(Exception, match="dyad width"):
+        tables.read_dyad_sides(spark, path, {"left_tri": 3})
 
 
 def test_dyads_export_and_copies(spark, coded, tmp_path):
@@ -65,9 +103,16 @@ def test_from_learning_to_pruned_report(spark, coded, tmp_path):
     model = UtilityModel.load(spark, f"{out}/f")
     assert np.allclose(model.w, result.model.w) and model.biased_left and model.biased_right
     jobs.cluster_sides(coded, model, f"{out}/c", k=4, iterations=5, seed=1)
-    users, items = jobs.dense_sides(coded)
-    split = jobs.export_labels(items, "right", model, KMeansModel.load(f"{out}/c/users_model"), f"{out}/labels")
+    users, items, widths = jobs.sparse_sides(coded)
+    centers = np.array(KMeansModel.load(f"{out}/c/users_model").clusterCenters())
+    split = jobs.export_labels(items, "right", model, centers, widths[1], f"{out}/labels")
     assert split == 25
+    assert jobs.export_labels(users, "left", model, np.array(KMeansModel.load(f"{out}/c/items_model").clusterCenters()), widths[0],
+                              f"{out}/user_labels") == widths[0]
+    popular = coded["id_map"].join(items, "item_id", "left").select("idx", "pos", "val")
+    assert jobs.export_predicted_users(users, popular, model, centers, f"{out}/predicted") == widths[0]
+    lines = tables.read_libsvm(spark, f"{out}/predicted", widths[0] + 4)
+    assert lines.count() == 60 and {v for r in lines.collect() for v in r.features[:widths[0]]} <= {-1.0, 0.0, 1.0}
     names = encode.item_variables(spark.createDataFrame([(0, "slow"), (1, "fast"), (7, "unused")], "pos int, name string"), 4)
     assert names.count() == 23
     nodes = jobs.explain(spark, f"{out}/labels", 29, split, f"{out}/c/users_sizes", f"{out}/tree", names, max_level=3, num_candidates=2)

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from duoscope.operators import cluster, learn, sample
+from duoscope.operators import cluster, csr, learn, sample
 from duoscope.operators.project import UtilityModel
 from duoscope.session import collect_bounded
 
@@ -60,6 +61,11 @@ def test_gradients_agree_with_finite_differences(world):
     rows = learn.batch_gradients(learn.with_vectors(dyads, users, items), {0: (w, v)}).collect()
     for got, want in zip(gradient_of(rows, w, v), expected):
         assert np.allclose(got, want, atol=1e-6)
+    rows = learn.entity_gradients(dyads, users, items, {0: (w, v), 5: (w * 2, v / 2)}).collect()
+    for got, want in zip(gradient_of([r for r in rows if r.model == 0], w, v), expected):
+        assert np.allclose(got, want, atol=1e-6)
+    for got, want in zip(gradient_of([r for r in rows if r.model == 5], w, v), numeric(w * 2, v / 2, xs, ys, pairs, labels)):
+        assert np.allclose(got, want, atol=1e-6)
     cells = learn.entity_gradient(dyads, users, items, UtilityModel(w, v, 1.0, True, True)).collect()
     both = {(r.side, r.row, r.col): r.value for r in cells}
     for side, want in zip("WV", expected):
@@ -72,6 +78,8 @@ def test_full_batch_training_equals_numpy(world):
     fitted = learn.learn(dyads, users, items, s, max_iterations=5, minibatch=1e9, seed=2)
     rng = np.random.default_rng([2, 0])
     w, v = rng.random((2, 6)) - 0.5, rng.random((2, 5)) - 0.5
+    again = learn.learn(dyads, users, items, s, max_iterations=5, minibatch=1e9, start=[(w, v)])
+    assert np.allclose(again.w, fitted.w)
     for t in range(1, 5):  # one step less than max_iterations
         gw, gv = numeric(w, v, xs, ys, pairs, labels)
         rate = 0.8 / (1 + 0.1 * (t - 1))
@@ -94,10 +102,62 @@ def test_sampled_training_reads_each_step_and_is_repeatable(world):
     assert np.allclose(run[0].w, run[1].w)
 
 
-def test_steps_without_encoded_entities_change_nothing(world):
+def test_only_encoded_dyads_are_drawn(world):
+    """Dyads of unknown entities use up no draw: the model is that of the others alone."""
     *_, dyads, users, items = world
     none = dyads.withColumn("user_id", F.col("user_id") + 1_000_000)
-    assert learn.learn(none, users, items, learn.Settings(k=2), max_iterations=4, minibatch=20, seed=9) is not None
+    s = learn.Settings(k=2)
+    one, both = (learn.learn(d, users, items, s, max_iterations=4, minibatch=20, seed=9) for d in (dyads, dyads.unionByName(none)))
+    assert np.allclose(one.w, both.w) and np.allclose(one.v, both.v)
+    assert learn.learn(none, users, items, s, max_iterations=4, minibatch=20, seed=9) is not None
+
+
+def test_steps_in_several_scans_and_one(world):
+    """How many steps are drawn together changes nothing, nor does the partitioning."""
+    *_, dyads, users, items = world
+    s = learn.Settings(k=2)
+    models = [learn.learn(d, users, items, s, max_iterations=5, minibatch=400, seed=4) for d in (dyads, dyads.repartition(7))]
+    assert np.allclose(models[0].w, models[1].w)
+    ids = sample.numbered(dyads)
+    whole = sample.minibatches(ids, 0.6, [1, 2, 3, 4], 4)
+    parts = [sample.minibatches(ids, 0.6, [t], 4) for t in (1, 2, 3, 4)]
+    for t, part in enumerate(parts, 1):
+        assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.where(F.col("step") == t).collect()))
+
+
+def test_empty_draws_go_on_to_a_later_number(world):
+    *_, dyads, users, items = world
+    few = dyads.limit(5)
+    assert learn.learn(few, users, items, learn.Settings(k=2), max_iterations=6, minibatch=0.2, seed=3) is not None
+
+
+def test_one_scan_of_the_dyads(world, spark, tmp_path):
+    """The two-sided gradient reads the interactions once."""
+    *_, dyads, users, items = world
+    dyads.write.parquet(str(tmp_path / "interactions"))
+    stored = spark.read.parquet(str(tmp_path / "interactions"))
+    rng = np.random.default_rng(1)
+    rows = learn.entity_gradients(stored, users, items, {0: (rng.random((2, 6)), rng.random((2, 5)))})
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") - plan.count("LogicalRDD") == 1 or plan.count("parquet") == 1
+
+
+@pytest.mark.parametrize("bias", [True, False])
+def test_sparse_products(bias, monkeypatch):
+    rng = np.random.default_rng(7)
+    dense = rng.integers(-1, 2, (50, 9)) * (rng.random((50, 9)) < 0.3)
+    dense[3] = dense[17] = 0
+    m, g = rng.random((4, 9 + bias)), rng.random((50, 4))
+    pos = pa.array([np.flatnonzero(r).astype(np.int32) for r in dense], pa.list_(pa.int32()))
+    val = pa.array([r[r != 0].astype(float) for r in dense], pa.list_(pa.float64()))
+    full = np.hstack([dense, np.ones((50, 1))]) if bias else dense
+    for cells in (4, 100, 10**6):
+        monkeypatch.setattr(csr, "CELLS", cells)
+        for a, b in ((0, 50), (3, 4), (5, 31), (0, 0)):
+            batch = csr.Batch(pos.slice(a, b - a), val.slice(a, b - a), 9 + bias, bias)
+            assert np.allclose(batch.times(m), full[a:b] @ m.T) and np.allclose(batch.outer_sum(g[a:b]), g[a:b].T @ full[a:b])
+    with pytest.raises(ValueError, match="outside"):
+        csr.Batch(pos, val, 5, bias)
 
 
 def test_numeric_trouble_gives_no_model(world):
@@ -118,7 +178,7 @@ def test_stops_after_ten_idle_steps():
 
 def test_minibatches_are_independent_draws(spark):
     rows = spark.range(20_000)
-    drawn = sample.minibatches(rows, 0.02, [1, 2, 3], 4)
+    drawn = sample.minibatches(sample.numbered(rows), 0.02, [1, 2, 3], 4)
     sizes = {r.step: r["count"] for r in drawn.groupBy("step").count().collect()}
     assert all(300 < sizes[t] < 500 for t in (1, 2, 3))
     assert drawn.groupBy("id", "step").count().where("count > 1").count() == 0
@@ -155,8 +215,24 @@ def test_labels_and_predicted_users(spark):
     labelled = cluster.label_entities(users, "left", m, np.array([[1.0, 5.0], [-1.0, 0.0], [0.0, -2.0]]))
     assert {r.user_id: r.u for r in labelled.collect()} == {1: [1, 0, 0], 2: [0, 0, 1]}
     popular = spark.createDataFrame([(0, [1.0, 1.0]), (1, None), (2, [-1.0, -1.0])], "idx int, vec array<double>")
-    coded = cluster.predicted_users(users, popular, m)
-    assert {r.user_id: r.tri for r in coded.collect()} == {1: [1, 0, -1], 2: [-1, 0, 1]}
+    coded, known, width = cluster.predicted_users(users, popular, m)
+    assert {r.user_id: r.liked for r in coded.collect()} == {1: [0], 2: [2]} and (known, width) == ([0, 2], 3)
+
+
+@pytest.mark.parametrize("bias", [True, False])
+def test_labels_of_predicted_users_are_those_of_their_vectors(spark, bias):
+    rng = np.random.default_rng(2)
+    m = UtilityModel(rng.normal(size=(3, 6 + bias)), np.eye(3), 1.0, bias, False)
+    users = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(20)], "user_id long, vec array<double>")
+    popular = spark.createDataFrame([(i, None if i == 4 else rng.normal(size=3).tolist()) for i in range(6)], "idx int, vec array<double>")
+    centers = rng.normal(size=(5, 3))
+    coded, known, width = cluster.predicted_users(users, popular, m)
+    got = {r.user_id: (r.liked, r.u) for r in cluster.label_predicted(coded, known, m, centers).collect()}
+    assert len(got) == 20 and known == [0, 1, 2, 3, 5]
+    for liked, u in got.values():
+        vec = np.array([0.0 if i not in known else 1.0 if i in liked else -1.0 for i in range(width)])
+        proj = m.w @ (biased(vec) if bias else vec)
+        assert u == [int(c @ proj > 0) for c in centers]
 
 
 def test_collecting_too_much_is_refused(spark):

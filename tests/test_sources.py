@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from duoscope.operators import encode
-from duoscope.operators.joins import salted_join
+from duoscope.operators.joins import join_sides
 from duoscope.sources import tables, text
 
 ITEMS = [
@@ -74,12 +76,14 @@ def test_save_once_keeps_what_is_there(spark, tmp_path):
     assert tables.save_once(spark.range(9), path).count() == 3
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"), "id")
-    right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    plain = left.join(right, "k").select("k", "id", "v")
-    salted = salted_join(left, right, "k").select("k", "id", "v")
-    assert salted.count() == plain.count() and salted.exceptAll(plain).count() == 0
+def test_sides_of_a_hot_user(spark):
+    dyads = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("user_id"), (F.col("id") % 50).alias("item_id"), "id")
+    users = spark.range(400).select(F.col("id").alias("user_id"), (F.col("id") * 2).alias("x"))
+    items = spark.range(40).select(F.col("id").alias("item_id"), (F.col("id") * 3).alias("y"))
+    both = join_sides(dyads, users, items)
+    assert both.where("x <> user_id * 2 or y <> item_id * 3").isEmpty()
+    assert both.count() == dyads.where("user_id < 400 and item_id < 40").count()
 
 
 @pytest.mark.parametrize("blocks", [1, 8, 256])
@@ -123,11 +127,26 @@ def test_bad_lines_fail(spark, tmp_path, read, lines):
         read(spark, write(tmp_path / "bad.csv", lines)).collect()
 
 
-def test_save_once_writes_a_broken_off_folder_anew(spark, tmp_path):
+def test_save_once_never_shows_half_a_table(spark, tmp_path):
     path = tmp_path / "m"
-    tables.save_once(spark.range(1000), str(path))
-    (path / "_SUCCESS").unlink()
+    spark.range(1000).write.parquet(f"{path}-0123456789ab")  # what a job that was broken off leaves
     assert tables.save_once(spark.range(9), str(path)).count() == 9
+    (path / "_SUCCESS").unlink()  # a complete table where markers are switched off
+    assert tables.save_once(spark.range(5), str(path)).count() == 9
+
+
+def test_second_writer_leaves_the_first_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    name = tables.uuid.uuid4
+
+    def slow():
+        monkeypatch.undo()
+        tables.save_once(spark.range(2), path)  # another writer is done first
+        return name()
+
+    monkeypatch.setattr(tables.uuid, "uuid4", slow)
+    assert tables.save_once(spark.range(4), path).count() == 2
+    assert [f for f in os.listdir(path) if not f.startswith((".", "_", "part-"))] == []
 
 
 def test_one_common_year_scales_to_zero(spark, tmp_path):
