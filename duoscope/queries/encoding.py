@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope import fixed
+from duoscope.functions import draws
 from duoscope.functions import scalars as S
 from duoscope.functions import vectors as V
-from duoscope.operators import encode, project, sample
+from duoscope.operators import cluster, csr, encode, project, sample
 from duoscope.queries import inputs as I
 from duoscope.queries.registry import query, sql_of, view
-from duoscope.session import scratch_path, spread, table
+from duoscope.session import cut_lineage, scratch_path, spread, table
 from duoscope.sources import tables
 
 
@@ -97,10 +98,12 @@ view("user_tri", """SELECT u.user_id, i.idx, coalesce(p.value, 0) AS value FROM
 @query("enc_user_tri", sql_of("SELECT user_id, CAST(pos AS INTEGER) AS pos, CAST(value AS INTEGER) AS value, (SELECT count(*) FROM id_map)::INTEGER AS width FROM user_pos",
                               "user_pos", "id_map"))
 def enc_user_tri(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense tri-state vectors, shown as their width and non-zero places."""
-    users = encode.user_vectors(I.outcomes(spark, sf), I.id_map(spark, sf))
-    places = users.select("user_id", F.size("tri").alias("width"), F.posexplode("tri").alias("pos", "value"))
-    return places.where("value <> 0").withColumn("value", F.col("value").cast("int"))
+    """Sparse tri-state vectors: what a user rated, next to the width of the vector."""
+    mapping = cut_lineage(I.id_map(spark, sf))
+    users = csr.of_entries(encode.user_entries(I.outcomes(spark, sf), mapping), "user_id")
+    places = users.select("user_id", F.posexplode("pos").alias("at", "pos"), "val").select(
+        "user_id", "pos", F.get("val", F.col("at")).cast("int").alias("value"))
+    return places.select("*", F.lit(mapping.count()).cast("int").alias("width"))
 
 
 @query("enc_item", sql_of("SELECT item_id, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM item_long", "item_long"))
@@ -128,23 +131,25 @@ _PREDICTED = sql_of("""SELECT user_id, '[' || string_agg(CASE WHEN round(d, 9) >
   FROM pair_scores GROUP BY 1""", "pair_scores")
 
 
-def predicted(spark: SparkSession, sf: str) -> DataFrame:
-    from duoscope.operators.cluster import predicted_users
-
-    return predicted_users(I.users_vec(spark, sf), popular_vectors(spark, sf), model())
+def predicted(spark: SparkSession, sf: str) -> tuple[DataFrame, list[int], int]:
+    return cluster.predicted_users(I.users_vec(spark, sf), popular_vectors(spark, sf), model())
 
 
 @query("enc_user_predicted", _PREDICTED)
 def enc_user_predicted(spark: SparkSession, sf: str) -> DataFrame:
-    return predicted(spark, sf).select("user_id", F.to_json("tri").alias("tri"))
+    """Liked positions, spelt out only to be shown; every popular item has a vector here."""
+    users, known, width = predicted(spark, sf)
+    assert len(known) == width
+    marks = V.fill_positions(F.transform("liked", lambda p: F.struct(p.alias("pos"), F.lit(1).alias("value"))), F.lit(width), "int")
+    return users.select("user_id", F.concat(F.lit("["), F.array_join(F.transform(marks, lambda m: m * 2 - 1), ","), F.lit("]")).alias("tri"))
 
 
 @query("jn_cross_popular", sql_of("""SELECT user_id, count(*) AS pairs, sum(CASE WHEN round(d, 9) > 0 THEN 1 ELSE 0 END)::BIGINT AS liked
   FROM pair_scores GROUP BY 1""", "pair_scores"))
 def jn_cross_popular(spark: SparkSession, sf: str) -> DataFrame:
-    """Every user against every popular item as one matrix product per batch, never as pair rows."""
-    liked = F.size(F.filter("tri", lambda v: v == 1)).cast("bigint")
-    return predicted(spark, sf).select("user_id", F.size("tri").cast("bigint").alias("pairs"), liked.alias("liked"))
+    """Every user against every popular item as one matrix product per block, never as pair rows."""
+    users, known, _ = predicted(spark, sf)
+    return users.select("user_id", F.lit(len(known)).cast("bigint").alias("pairs"), F.size("liked").cast("bigint").alias("liked"))
 
 
 @query("enc_labeled_point", sql_of("""SELECT o_orderkey AS order_id, CAST(o_totalprice > 200000 AS DOUBLE) AS label, CAST(col AS INTEGER) AS pos, round(x, 6) AS value
@@ -218,7 +223,9 @@ def enc_combinations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vec_project", sql_of("SELECT user_id, CAST(row AS INTEGER) AS row, round(p, 8) AS value FROM pu", "pu"))
 def vec_project(spark: SparkSession, sf: str) -> DataFrame:
-    mapped = I.users_vec(spark, sf).select("user_id", project.project(F.col("vec"), I.matrix(I.K, I.USER_WIDTH + 1), True).alias("vec"))
+    """Through sparse lists: zero bits and missing states are neither stored nor multiplied."""
+    users = csr.of_dense(I.users_vec(spark, sf), "user_id")
+    mapped = users.select("user_id", csr.projection(F.col("pos"), F.col("val"), I.matrix(I.K, I.USER_WIDTH + 1), True).alias("vec"))
     return long(mapped, "user_id", pos="row", digits=8)
 
 
@@ -287,7 +294,7 @@ def fn_sigmoid(spark: SparkSession, sf: str) -> DataFrame:
   (SELECT round(t, 6) FROM thr WHERE thr.var = b.var AND thr.pos = b.bin) AS upper FROM binned b""", "binned", "thr"))
 def fn_bin(spark: SparkSession, sf: str) -> DataFrame:
     """Bin and upper bound per value; the open upper bound (infinity) is shown as null."""
-    rows = I.explanation(spark, sf)
+    rows = cut_lineage(I.explanation(spark, sf))
     thr = F.lit([[float(t) for t in ts] for ts in I.thresholds_list(spark, rows)])
     long_rows = rows.select("id", F.posexplode("x").alias("var", "v")).withColumn("t", F.get(thr, F.col("var")))
     b = S.bin_of(F.col("v"), F.col("t"))
@@ -302,13 +309,25 @@ def fn_year_label(spark: SparkSession, sf: str) -> DataFrame:
     return I.scaled(spark, sf).select("item_id", low.alias("low_name"), high.alias("high_name"))
 
 
-@query("smp_init")
+_A, _B = draws.pair_sql(7, "idx")
+
+
+@query("smp_init", sql_of(f"""SELECT CAST(row AS INTEGER) AS row, idx AS col, round(((a + row * b) % {draws.P}) / {float(draws.P)!r} - 0.5, 9) AS value FROM
+  (SELECT idx, {_A} AS a, {_B} AS b FROM id_map) CROSS JOIN (SELECT unnest(range(0, 10)) AS row)""", "id_map"))
 def smp_init(spark: SparkSession, sf: str) -> DataFrame:
     """Start factors with one column per popular item."""
-    return sample.random_factors(I.id_map(spark, sf).select(F.col("idx").alias("col")), 10, 7)
+    cells = sample.random_factors(I.id_map(spark, sf).select(F.col("idx").alias("col")), 10, 7)
+    return cells.select("row", "col", F.round("value", 9).alias("value"))
+
+
+def tri_sql(seed: int, name: str) -> str:
+    a, b = draws.pair_sql(seed, "o_orderkey")
+    return (f"SELECT o_orderkey AS id, string_agg(CASE WHEN x < {draws.limit(0.33)} THEN '-1' WHEN x >= {draws.limit(0.67)} THEN '1' ELSE '0' END, "
+            f"',' ORDER BY i) AS {name} FROM (SELECT o_orderkey, i, (a + i * b) % {draws.P} AS x FROM (SELECT o_orderkey, {a} AS a, {b} AS b FROM orders) "
+            "CROSS JOIN (SELECT unnest(range(0, 10)) AS i)) GROUP BY 1")
 
 
-@query("smp_synthetic")
+@query("smp_synthetic", f"SELECT id, left_tri, right_tri FROM ({tri_sql(1, 'left_tri')}) JOIN ({tri_sql(2, 'right_tri')}) USING (id)")
 def smp_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """A random tri-state vector on each side of every order."""
     ids = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id")

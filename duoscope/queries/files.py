@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import vectors as V
-from duoscope.operators import cluster, encode, joins, project
+from duoscope.operators import cluster, csr, encode, joins, learn, project
 from duoscope.queries import inputs as I
 from duoscope.queries.registry import query, sql_of
 from duoscope.session import scratch_path, table
@@ -151,9 +151,10 @@ def snk_codifications(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "codes")
     coded = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
     vec = V.to_dense(F.col("bin"), F.lit(None).cast("array<tinyint>"), F.col("num"))
-    tables.write_codes(coded.select(F.col("item_id").alias("id"), vec.alias("vec")), path)
-    return spark.read.parquet(path).select("id", F.posexplode("vec").alias("pos", "v")).where("v <> 0").select(
-        "id", "pos", F.round("v", 6).alias("value"))
+    dense = coded.select(F.col("item_id").alias("id"), vec.alias("vec"))
+    tables.write_codes(csr.of_dense(dense, "id"), learn.width_of(dense), path)
+    cells = tables.read_codes(spark, path).select("id", F.posexplode("pos").alias("at", "pos"), "val")
+    return cells.select("id", "pos", F.round(F.get("val", F.col("at")), 6).alias("value"))
 
 
 @query("snk_libsvm", sql_of("""SELECT count(DISTINCT id) AS n, round(sum(v), 4) AS attributes,
@@ -190,7 +191,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
-@query("io_kmeans")
+@query("io_kmeans", "SELECT vec_id, true AS same FROM embeddings")
 def io_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
@@ -198,7 +199,8 @@ def io_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     fitted = cluster.kmeans(vectors(spark, sf), k=10, iterations=5, seed=1)
     fitted.write().overwrite().save(path)
     rows = vectors(spark, sf).withColumn("features", array_to_vector("vec"))
-    return KMeansModel.load(path).transform(rows).select("vec_id", "prediction")
+    again = KMeansModel.load(path).transform(rows).withColumnRenamed("prediction", "again")
+    return fitted.transform(again).select("vec_id", (F.col("prediction") == F.col("again")).alias("same"))
 
 
 @query("snk_cluster_counts", "SELECT CAST(label AS BIGINT) AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1")

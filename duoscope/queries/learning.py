@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.operators import cluster, encode, learn, project, sample
+from duoscope.functions import draws
+from duoscope.operators import cluster, csr, encode, learn, project, sample
 from duoscope.plans import jobs
 from duoscope.queries import inputs as I
 from duoscope.queries.encoding import long, model
@@ -104,37 +109,136 @@ def agg_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- learning ---------------------------------------------------------------------------------------------
 
-@query("ml_sgd")
+def start_of(points: list[learn.Settings], widths: tuple[int, int]) -> list:
+    """Arithmetic start matrices, the same in Spark and SQL."""
+    return [(I.matrix(p.k, widths[0] + 1), I.matrix(p.k, widths[1] + 1, 2)) for p in points]
+
+
+def training_views(name: str, rows: str, users: str, items: str, points: list[learn.Settings], steps: int,
+                   minibatch: float | None, seed: int, widths: tuple[str, str]) -> str:
+    """Views of ``steps`` descent steps of all points over the dyads of ``rows`` (user_id, item_id, outcome); returns the last one.
+
+    ``users`` and ``items`` are long vectors with the bias; ``widths`` count their places with it. Without ``minibatch`` every
+    step takes all rows.
+    """
+    values = ", ".join(f"({i}, {p.k}, {p.reg!r}, {p.l0!r}, {p.speed!r})" for i, p in enumerate(points))
+    view(f"{name}_points", f"SELECT * FROM (VALUES {values}) AS t(model, k, reg, l0, speed)")
+    most = max(p.k for p in points)
+
+    def start(side: str, width: str, shift: int) -> str:
+        return (f"SELECT model, '{side}' AS side, row, col, ((row * 7 + col * 3 + {shift}) % 11 - 5) / 10.0 AS value FROM {name}_points "
+                f"CROSS JOIN (SELECT unnest(range(0, {most})) AS row) CROSS JOIN (SELECT unnest(range(0, {width})) AS col) WHERE row < k")
+
+    needs = re.findall(r"FROM (\w+)\)", " ".join(widths))
+    view(f"{name}_w0", f"{start('W', widths[0], 0)} UNION ALL {start('V', widths[1], 2)}", f"{name}_points", *needs, kept=True)
+    a, b = draws.pair_sql(seed, "user_id", "item_id", "outcome", "repeat")
+    view(f"{name}_rows", f"SELECT *, {a} AS a, {b} AS b FROM (SELECT user_id, item_id, outcome, row_number() OVER "
+         f"(PARTITION BY user_id, item_id, outcome) AS repeat FROM {rows})", rows, kept=True)
+    for t in range(1, steps + 1):
+        drawn = "" if minibatch is None else (f" WHERE (a + {t} * b) % {draws.P} < (SELECT CAST(floor({float(minibatch)!r} / count(*) * {float(draws.P)!r}) "
+                                              f"AS BIGINT) FROM {name}_rows)")
+        view(f"{name}_b{t}", f"SELECT user_id, item_id, outcome FROM {name}_rows{drawn}", f"{name}_rows", kept=True)
+        for side, table_name, key in (("W", users, "user_id"), ("V", items, "item_id")):
+            view(f"{name}_p{side}{t}", f"SELECT model, {key}, row, sum(x * value) AS p FROM {table_name} JOIN {name}_w{t - 1} USING (col) "
+                 f"WHERE side = '{side}' AND {key} IN (SELECT {key} FROM {name}_b{t}) GROUP BY ALL", table_name, f"{name}_w{t - 1}", f"{name}_b{t}", kept=True)
+        view(f"{name}_d{t}", f"SELECT u.model, u.user_id, v.item_id, sum(u.p * v.p) AS d FROM (SELECT DISTINCT user_id, item_id FROM {name}_b{t}) b "
+             f"JOIN {name}_pW{t} u ON u.user_id = b.user_id JOIN {name}_pV{t} v ON v.item_id = b.item_id AND v.model = u.model AND v.row = u.row GROUP BY ALL",
+             f"{name}_b{t}", f"{name}_pW{t}", f"{name}_pV{t}")
+        view(f"{name}_f{t}", f"SELECT model, user_id, item_id, -z * (1.0 - 1.0 / (1.0 + exp(-z * d))) AS f FROM {name}_d{t} JOIN "
+             f"(SELECT user_id, item_id, CASE WHEN outcome THEN 1.0 ELSE -1.0 END AS z FROM {name}_b{t}) USING (user_id, item_id)",
+             f"{name}_d{t}", f"{name}_b{t}", kept=True)
+        parts = [f"SELECT g.model, '{side}' AS side, g.row, x.col, sum(g.g * x.x) / (SELECT count(*) FROM {name}_b{t}) AS value FROM "
+                 f"(SELECT f.model, f.{key}, o.row, sum(f * p) AS g FROM {name}_f{t} f JOIN {name}_p{other}{t} o ON o.model = f.model AND o.{okey} = f.{okey} "
+                 f"GROUP BY ALL) g JOIN {table_name} x ON x.{key} = g.{key} GROUP BY ALL"
+                 for side, other, table_name, key, okey in (("W", "V", users, "user_id", "item_id"), ("V", "W", items, "item_id", "user_id"))]
+        view(f"{name}_g{t}", " UNION ALL ".join(parts), f"{name}_f{t}", f"{name}_pW{t}", f"{name}_pV{t}", f"{name}_b{t}", users, items)
+        view(f"{name}_w{t}", f"""SELECT w.model, w.side, w.row, w.col, w.value - l0 / (1 + speed * {t - 1}) *
+          (coalesce(g.value, 0.0) + 2.0 * reg / sqrt(k * CASE w.side WHEN 'W' THEN {widths[0]} ELSE {widths[1]} END) * w.value) AS value
+          FROM {name}_w{t - 1} w JOIN {name}_points s USING (model) LEFT JOIN {name}_g{t} g USING (model, side, row, col)""",
+             f"{name}_w{t - 1}", f"{name}_points", f"{name}_g{t}", *needs, kept=True)
+    return f"{name}_w{steps}"
+
+
+def shown_model(model_: project.UtilityModel, spark: SparkSession) -> DataFrame:
+    return project.factors_of(spark, model_.w, model_.v).withColumn("value", F.round("value", 6) + 0.0)
+
+
+def model_sql(last: str) -> str:
+    return sql_of(f"SELECT side, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(value, 6) + 0.0 AS value FROM {last}", last)
+
+
+SMALL = (I.USER_WIDTH, I.ITEM_WIDTH)
+SMALL_SQL = (str(I.USER_WIDTH + 1), str(I.ITEM_WIDTH + 1))
+ONE_POINT = [learn.Settings(k=4, reg=0.01, l0=0.5)]
+
+
+@query("ml_sgd", model_sql(training_views("sgd", "outcomes", "users_bias", "items_bias", ONE_POINT, 5, 100, 3, SMALL_SQL)))
 def ml_sgd(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = learn.learn(*sides(spark, sf), learn.Settings(k=4, reg=0.01, l0=0.5), max_iterations=6, seed=3)
-    return project.factors_of(spark, fitted.w, fitted.v)
+    """Five steps on minibatches drawn by keys, from fixed start matrices."""
+    fitted = learn.learn(*sides(spark, sf), ONE_POINT[0], max_iterations=6, minibatch=100, seed=3, start=start_of(ONE_POINT, SMALL))
+    return shown_model(fitted, spark)
+
+
+@query("ml_sgd_full", model_sql(training_views("sgdf", "outcomes", "users_bias", "items_bias", ONE_POINT, 3, None, 3, SMALL_SQL)))
+def ml_sgd_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Three steps over all dyads, summed per entity."""
+    fitted = learn.learn(*sides(spark, sf), ONE_POINT[0], max_iterations=4, minibatch=1e15, seed=3, start=start_of(ONE_POINT, SMALL))
+    return shown_model(fitted, spark)
 
 
 def small_grid() -> list[learn.Settings]:
     return learn.grid((2, 4), (0.1, 1.0), (0.1, 1.0), (0.01,))
 
 
-@query("ml_grid")
+_SPLIT = draws.pair_sql(3, "user_id", "item_id")[0]
+view("grid_train", f"SELECT * FROM outcomes WHERE {_SPLIT} < {draws.limit(0.7)}", "outcomes")
+view("grid_test", f"SELECT * FROM outcomes WHERE {_SPLIT} >= {draws.limit(0.7)}", "outcomes")
+_LAST = training_views("grid", "grid_train", "users_bias", "items_bias", small_grid(), 4, 200, 3, SMALL_SQL)
+view("grid_pu", f"SELECT model, user_id, row, sum(x * value) AS p FROM users_bias JOIN {_LAST} USING (col) WHERE side = 'W' GROUP BY ALL", "users_bias", _LAST, kept=True)
+view("grid_pi", f"SELECT model, item_id, row, sum(x * value) AS p FROM items_bias JOIN {_LAST} USING (col) WHERE side = 'V' GROUP BY ALL", "items_bias", _LAST, kept=True)
+for _part in ("train", "test"):
+    view(f"grid_{_part}_rate", f"""SELECT model, avg(CASE WHEN (1.0 / (1.0 + exp(-d)) > 0.5) = outcome THEN 1.0 ELSE 0.0 END) AS rate FROM grid_{_part} JOIN
+      (SELECT u.model, u.user_id, v.item_id, sum(u.p * v.p) AS d FROM (SELECT DISTINCT user_id, item_id FROM grid_{_part}) b JOIN grid_pu u ON u.user_id = b.user_id
+       JOIN grid_pi v ON v.item_id = b.item_id AND v.model = u.model AND v.row = u.row GROUP BY ALL) USING (user_id, item_id) GROUP BY 1""",
+         f"grid_{_part}", "grid_pu", "grid_pi")
+view("grid_table", """SELECT CAST(model AS INTEGER) AS model, CAST(k AS INTEGER) AS k, CAST(reg AS DOUBLE) AS reg, CAST(l0 AS DOUBLE) AS l0,
+  CAST(speed AS DOUBLE) AS speed, round(e.rate, 6) AS hit_rate, round(t.rate, 6) AS train_hit_rate
+  FROM grid_points JOIN grid_test_rate e USING (model) JOIN grid_train_rate t USING (model)""", "grid_points", "grid_test_rate", "grid_train_rate")
+
+
+def tuned(spark: SparkSession, sf: str) -> learn.GridResult:
+    return learn.learn_tuned(*sides(spark, sf), small_grid(), minibatch=200, max_iterations=5, seed=3, start=start_of(small_grid(), SMALL))
+
+
+def shown_grid(table_: DataFrame) -> DataFrame:
+    return table_.withColumns({c: F.round(c, 6) for c in ("hit_rate", "train_hit_rate")})
+
+
+@query("ml_grid", sql_of("SELECT * FROM grid_table", "grid_table"))
 def ml_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.learn_tuned(*sides(spark, sf), small_grid(), minibatch=200, max_iterations=5, seed=3).table
+    return shown_grid(tuned(spark, sf).table)
 
 
-@query("top1_grid")
+@query("top1_grid", sql_of("SELECT * FROM grid_table ORDER BY hit_rate DESC, model LIMIT 1", "grid_table"))
 def top1_grid(spark: SparkSession, sf: str) -> DataFrame:
-    result = learn.learn_tuned(*sides(spark, sf), small_grid(), minibatch=200, max_iterations=5, seed=3)
-    return learn.top_grid(result.table)
+    return shown_grid(learn.top_grid(tuned(spark, sf).table))
 
 
-@query("smp_bernoulli")
+_REPEATED = "SELECT user_id, item_id, outcome AS label, row_number() OVER (PARTITION BY user_id, item_id, outcome) AS repeat FROM outcomes"
+
+
+@query("smp_bernoulli", sql_of(f"SELECT user_id, item_id, label FROM ({_REPEATED}) WHERE "
+                               f"{draws.pair_sql(5, 'user_id', 'item_id', 'label', 'repeat')[0]} < {draws.limit(0.1)}", "outcomes"))
 def smp_bernoulli(spark: SparkSession, sf: str) -> DataFrame:
     return sample.bernoulli(I.labelled(spark, sf), 0.1, 5)
 
 
-@query("smp_split")
+@query("smp_split", sql_of(f"SELECT CASE WHEN {draws.pair_sql(5, 'user_id', 'item_id')[0]} < {draws.limit(0.7)} THEN 'train' ELSE 'test' END AS part, "
+                           "count(*) AS n, sum(user_id * 31 + item_id)::BIGINT AS keys FROM outcomes GROUP BY 1", "outcomes"))
 def smp_split(spark: SparkSession, sf: str) -> DataFrame:
     train, test = sample.split(I.labelled(spark, sf), ["user_id", "item_id"], 0.7, 5)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("user_id") * 31 + F.col("item_id")).alias("keys"))
 
 
 # -- clusters -----------------------------------------------------------------------------------------------
@@ -162,20 +266,48 @@ def agg_cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.cluster_counts(assigned(spark, sf))
 
 
-@query("ml_kmeans")
+def nearest_flags(predicted: DataFrame, fitted: KMeansModel, sizes: DataFrame) -> DataFrame:
+    """What holds for every clustering: all rows are counted, and every row is in the cluster of its nearest center."""
+    centers = np.array(fitted.clusterCenters())
+
+    @F.arrow_udf("boolean")
+    def near(features: pa.Array, cluster_id: pa.Array) -> pa.Array:
+        x = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), -1)
+        d = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+        return pa.array(d[np.arange(len(x)), cluster_id.to_numpy()] <= d.min(axis=1) + 1e-9)
+
+    checked = predicted.select(project.once(near)(vector_to_array("features"), F.col("prediction")).alias("near"))
+    flags = checked.agg(F.count(F.lit(1)).alias("n"), F.bool_and("near").alias("nearest"))
+    total = sizes.agg(F.sum("size").alias("total"), (F.count(F.lit(1)) <= len(centers)).alias("bounded"))
+    return flags.crossJoin(total)  # two tables of one row
+
+
+def flags_sql(source: str) -> str:
+    return f"SELECT count(*) AS n, true AS nearest, count(*) AS total, true AS bounded FROM {source}"
+
+
+def side_flags(entities: DataFrame, side: str, model_: project.UtilityModel | None, k: int, width: int) -> DataFrame:
+    fitted, sizes = cluster.cluster_side(entities, side, model_, k, 10, 1, width)
+    return nearest_flags(fitted.transform(cluster.features(entities, side, model_, width)), fitted, sizes)
+
+
+@query("ml_kmeans", flags_sql("embeddings"))
 def ml_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     fitted = cluster.kmeans(vectors(spark, sf), k=10, iterations=10, seed=1)
-    return cluster.cluster_counts(fitted.transform(vectors(spark, sf).withColumn("features", array_to_vector("vec"))), "prediction")
+    predicted = fitted.transform(vectors(spark, sf).withColumn("features", array_to_vector("vec")))
+    return nearest_flags(predicted, fitted, cluster.cluster_counts(predicted, "prediction"))
 
 
-@query("ml_cluster_left")
+@query("ml_cluster_left", flags_sql("customer"))
 def ml_cluster_left(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.cluster_side(I.users_vec(spark, sf), "left", model(), 8, 10, 1)[1]
+    """Sparse users, clustered in the learned space."""
+    return side_flags(csr.of_dense(I.users_vec(spark, sf), "user_id"), "left", model(), 8, I.USER_WIDTH)
 
 
-@query("ml_cluster_right")
+@query("ml_cluster_right", flags_sql("part"))
 def ml_cluster_right(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.cluster_side(I.items_vec(spark, sf), "right", None, 8, 10, 1)[1]
+    """Items by their own vectors, which stay sparse."""
+    return side_flags(csr.of_dense(I.items_vec(spark, sf), "item_id"), "right", None, 8, I.ITEM_WIDTH)
 
 
 # Fixed opposite centers: the mean projection per customer segment and per part type.
@@ -249,16 +381,32 @@ def agg_clustering_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 def coded(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Encoded inputs as the jobs make them from files, here from the tables."""
+    work = scratch_path(spark, "codes")
+    rated = tables.save_once(I.outcomes(spark, sf), f"{work}/outcomes")
     items = encode.item_vectors(I.scaled(spark, sf), encode.tag_vectors(I.tags(spark, sf)))
-    return jobs.store_codes(I.outcomes(spark, sf), items, I.id_map(spark, sf))
+    return jobs.store_codes(rated, items, encode.dense_index(encode.item_counts(rated), I.MIN_COUNT), work)
+
+
+view("coded_dyads", "SELECT user_id, item_id, outcome FROM outcomes SEMI JOIN user_pos USING (user_id) SEMI JOIN "
+     "(SELECT item_id FROM scaled SEMI JOIN tags USING (item_id)) s USING (item_id)", "outcomes", "user_pos", "scaled", "tags", kept=True)
+_CELLS = """SELECT side, CAST(pos AS INTEGER) AS pos, sum(n)::BIGINT AS n, round(sum(n * value), 4) + 0.0 AS total FROM (
+  SELECT 'left' AS side, p.pos, p.value, o.n FROM user_pos p JOIN (SELECT user_id, count(*) AS n FROM coded_dyads GROUP BY 1) o USING (user_id)
+  UNION ALL SELECT 'right', l.pos, l.value, o.n FROM item_long l JOIN (SELECT item_id, count(*) AS n FROM coded_dyads GROUP BY 1) o USING (item_id) WHERE l.value <> 0
+  UNION ALL SELECT 'label', 0, CAST(outcome AS INTEGER), 1 FROM coded_dyads) GROUP BY 1, 2"""
 
 
-@query("job_export_dyads", sql_of("""SELECT count(*) AS n, sum(CASE WHEN outcome THEN 1 ELSE 0 END)::BIGINT AS positive FROM outcomes
-  SEMI JOIN user_pos USING (user_id) SEMI JOIN (SELECT item_id FROM scaled SEMI JOIN tags USING (item_id)) s USING (item_id)""", "outcomes", "user_pos", "scaled", "tags"))
+@query("job_export_dyads", sql_of(_CELLS, "coded_dyads", "user_pos", "item_long"))
 def job_export_dyads(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "dyads")
-    jobs.export_dyads(coded(spark, sf), path)
-    return tables.read_dyads(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label"), 1).otherwise(0)).alias("positive"))
+    """What is stored, per position: how many rows have a value there, and their sum."""
+    path, parts = scratch_path(spark, "dyads"), coded(spark, sf)
+    jobs.export_dyads(parts, path)
+    width = tables.read_widths(spark, path)["left_tri"]
+    rows = spark.read.schema(tables.STORED_ROWS).parquet(f"{path}/rows")
+    cells = rows.select(F.explode(F.arrays_zip(F.col("features.indices").alias("pos"), F.col("features.values").alias("value"))).alias("c")).select("c.*")
+    cells = cells.select(F.when(F.col("pos") < width, "left").otherwise("right").alias("side"),
+                         F.when(F.col("pos") < width, F.col("pos")).otherwise(F.col("pos") - width).alias("pos"), "value")
+    labels = rows.select(F.lit("label").alias("side"), F.lit(0).alias("pos"), F.col("label").alias("value"))
+    return cells.unionByName(labels).groupBy("side", "pos").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
 
 
 @query("job_to_object", sql_of(DYAD_SQL, "outcomes"))
@@ -281,32 +429,60 @@ def job_to_parquet(spark: SparkSession, sf: str) -> DataFrame:
 def job_export_codifications(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "codes")
     jobs.export_codes(coded(spark, sf), path)
-    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + F.abs(v))
+    total = F.aggregate("val", F.lit(0.0), lambda a, v: a + F.abs(v))
 
     def side(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}s").select(F.lit(name).alias("side"), "id", F.round(total, 4).alias("weight"))
+        return tables.read_codes(spark, f"{path}/{name}s").select(F.lit(name).alias("side"), "id", F.round(total, 4).alias("weight"))
 
     return side("user").unionByName(side("item"))
 
 
-@query("job_learn_utility")
+view("coded_users", "SELECT user_id, pos AS col, CAST(value AS DOUBLE) AS x FROM user_pos UNION ALL "
+     "SELECT DISTINCT user_id, (SELECT count(*) FROM id_map), 1.0 FROM user_pos", "user_pos", "id_map", kept=True)
+view("coded_items", "SELECT item_id, pos AS col, value AS x FROM item_long WHERE value <> 0 UNION ALL "
+     "SELECT DISTINCT item_id, (SELECT max(pos) + 1 FROM item_long), 1.0 FROM item_long", "item_long", kept=True)
+CODED_SQL = ("(SELECT count(*) + 1 FROM id_map)", "(SELECT max(pos) + 2 FROM item_long)")
+JOB_POINT = [learn.Settings(k=4, reg=0.01, l0=0.5, speed=0.1)]
+_SPLIT_JOB = draws.pair_sql(1, "user_id", "item_id")[0]
+view("job_train", f"SELECT * FROM outcomes WHERE {_SPLIT_JOB} < {draws.limit(0.7)} AND user_id IN (SELECT user_id FROM user_pos) AND "
+     "item_id IN (SELECT item_id FROM item_long)", "outcomes", "user_pos", "item_long", kept=True)
+
+
+@query("job_learn_utility", model_sql(training_views("job", "job_train", "coded_users", "coded_items", JOB_POINT, 5, 50, 1, CODED_SQL)))
 def job_learn_utility(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "utility")
-    jobs.learn_utility(coded(spark, sf), path, [learn.Settings(k=4, reg=1e-13, l0=0.1, speed=0.1)], 50, 6, 1)
-    return tables.read_factors(spark, path)
+    """The training part of the coded tables, five steps on minibatches; the stored factors are read back."""
+    path, parts = scratch_path(spark, "utility"), coded(spark, sf)
+    jobs.learn_utility(parts, path, JOB_POINT, 50, 6, 1, start=start_of(JOB_POINT, jobs.sparse_sides(parts)[2]))
+    return tables.read_factors(spark, path).select("side", "row", "col", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("job_learn_stored", model_sql(training_views("stored", "coded_dyads", "coded_users", "coded_items", JOB_POINT, 2, None, 1, CODED_SQL)))
+def job_learn_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported dyads have no ids: distinct vectors become a dictionary, and two steps over all rows learn from it."""
+    path = scratch_path(spark, "dyads")
+    jobs.export_dyads(coded(spark, sf), path)
+    ids, users, items, widths = tables.read_dyad_sides(spark, path)
+    fitted = learn.learn(ids, users, items, JOB_POINT[0], max_iterations=3, minibatch=1e15, start=start_of(JOB_POINT, widths), widths=widths)
+    return shown_model(fitted, spark)
 
 
-def stand_in(spark: SparkSession, parts: dict[str, DataFrame]) -> project.UtilityModel:
-    users, items = (s.select(F.size("vec")).first()[0] for s in jobs.dense_sides(parts))
+def stand_in(parts: dict[str, DataFrame]) -> project.UtilityModel:
+    users, items = jobs.sparse_sides(parts)[2]
     return project.UtilityModel(I.matrix(I.K, users + 1), I.matrix(I.K, items + 1, 2), 1.0, True, True)
 
 
-@query("job_cluster")
+@query("job_cluster", sql_of("SELECT 'user' AS side, count(DISTINCT user_id) AS total, true AS bounded FROM user_pos UNION ALL "
+                             "SELECT 'item', count(DISTINCT item_id), true FROM item_long", "user_pos", "item_long"))
 def job_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides clustered in the learned space; the written sizes count every entity."""
     path, parts = scratch_path(spark, "clusters"), coded(spark, sf)
-    jobs.cluster_sides(parts, stand_in(spark, parts), path, k=6, iterations=5, seed=1)
-    users = text.read_cluster_sizes(spark, f"{path}/users_sizes").withColumn("side", F.lit("user"))
-    return users.unionByName(text.read_cluster_sizes(spark, f"{path}/items_sizes").withColumn("side", F.lit("item")))
+    jobs.cluster_sides(parts, stand_in(parts), path, k=6, iterations=5, seed=1)
+
+    def sizes(name: str) -> DataFrame:
+        return text.read_cluster_sizes(spark, f"{path}/{name}s_sizes").agg(
+            F.lit(name).alias("side"), F.sum("size").alias("total"), (F.count(F.lit(1)) <= 6).alias("bounded"))
+
+    return sizes("user").unionByName(sizes("item"))
 
 
 def label_file(spark: SparkSession, sf: str) -> str:
@@ -323,44 +499,91 @@ def size_file(spark: SparkSession, sf: str) -> str:
     return path
 
 
-@query("job_kmeans")
+@query("job_kmeans", sql_of("SELECT count(*) AS n, true AS nearest, count(*) AS total, true AS bounded FROM ids", "ids"))
 def job_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "attributes")
-    jobs.cluster_attributes(spark, label_file(spark, sf), 9, 4, path, k=8, iterations=10, seed=1)
+    path, labels = scratch_path(spark, "attributes"), label_file(spark, sf)
+    jobs.cluster_attributes(spark, labels, 9, 4, path, k=8, iterations=10, seed=1)
     x, _ = tables.split_at(F.col("features"), 4)
-    rows = tables.read_libsvm(spark, label_file(spark, sf), 9).select(array_to_vector(x).alias("features"))
-    return cluster.cluster_counts(KMeansModel.load(path).transform(rows), "prediction")
+    fitted = KMeansModel.load(path)
+    predicted = fitted.transform(tables.read_libsvm(spark, labels, 9).select(array_to_vector(x).alias("features")))
+    return nearest_flags(predicted, fitted, cluster.cluster_counts(predicted, "prediction"))
 
 
-@query("job_entropy")
+@query("job_entropy", "SELECT true AS same, true AS inside")
 def job_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """The job's entropy against sums over the long rows of the same clusters."""
     path, labels = scratch_path(spark, "attributes"), label_file(spark, sf)
     jobs.cluster_attributes(spark, labels, 9, 4, path, k=8, iterations=10, seed=1)
-    return jobs.clustering_entropy(spark, labels, 9, 4, path, size_file(spark, sf))
+    found = jobs.clustering_entropy(spark, labels, 9, 4, path, size_file(spark, sf))
+    x, u = tables.split_at(F.col("features"), 4)
+    rows = KMeansModel.load(path).transform(tables.read_libsvm(spark, labels, 9).select(u.alias("u"), array_to_vector(x).alias("features")))
+    votes = rows.select("prediction", F.posexplode("u").alias("cluster_id", "v")).groupBy("prediction", "cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("p"))
+    p = F.col("p")
+    h = F.when((p > 0) & (p < 1), -p * F.log2(p) - (1 - p) * F.log2(1 - p)).otherwise(0.0)
+    weighed = votes.join(I.segment_sizes(spark, sf), "cluster_id").agg((F.sum(h * F.col("n") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("again"))
+    return found.crossJoin(weighed).select((F.abs(F.col("entropy") - F.col("again")) < 1e-9).alias("same"), F.col("entropy").between(0, 1).alias("inside"))
 
 
-def exported_labels(spark: SparkSession, sf: str, side: str) -> DataFrame:
-    """Cluster the opposite side, label this one, write libsvm, read back as sums."""
-    parts = coded(spark, sf)
-    users, items = jobs.dense_sides(parts)
-    m = stand_in(spark, parts)
-    own, other, other_side = (users, items, "right") if side == "left" else (items, users, "left")
-    fitted, _ = cluster.cluster_side(other, other_side, m, 6, 5, 1)
-    path = scratch_path(spark, "labels")
-    at = jobs.export_labels(own, side, m, fitted, path)
-    x, u = tables.split_at(F.col("features"), at)
-    rows = tables.read_libsvm(spark, path, at + 6).select(F.size(x).alias("attributes"), F.posexplode(u).alias("cluster_id", "u"))
-    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("liked"), F.max("attributes").alias("split_at"))
+# Fixed centers of the opposite side, in projected space.
+CENTERS = 6
+_CENTER = f"(SELECT c.i AS cluster_id, r.i AS row, ((c.i * 7 + r.i * 3 + 1) % 11 - 5) / 10.0 AS c FROM (SELECT unnest(range(0, {CENTERS})) AS i) c CROSS JOIN (SELECT unnest(range(0, {I.K})) AS i) r)"
+
 
+def _projection_sql(key: str, source: str, shift: int) -> str:
+    return (f"SELECT {key}, r.i AS row, sum(x * (((r.i * 7 + col * 3 + {shift}) % 11 - 5) / 10.0)) AS p FROM {source} "
+            f"CROSS JOIN (SELECT unnest(range(0, {I.K})) AS i) r GROUP BY 1, 2")
 
-@query("job_export_users")
+
+view("user_cells", "SELECT user_id, pos AS col, CAST(value AS DOUBLE) AS x FROM user_pos", "user_pos")
+view("item_cells", "SELECT item_id, pos AS col, value AS x FROM item_long WHERE value <> 0", "item_long")
+view("coded_pu", _projection_sql("user_id", "coded_users", 0), "coded_users", kept=True)
+view("coded_pi", _projection_sql("item_id", "coded_items", 2), "coded_items", kept=True)
+# users coded by predictions: +1 or -1 for every popular item that has a vector
+view("predicted_coded", """SELECT u.user_id, m.idx AS col, CASE WHEN round(sum(u.p * v.p), 9) > 0 THEN 1.0 ELSE -1.0 END AS x FROM coded_pu u JOIN coded_pi v USING (row)
+  JOIN id_map m ON m.item_id = v.item_id GROUP BY 1, 2""", "coded_pu", "coded_pi", "id_map", kept=True)
+view("predicted_bias", "SELECT * FROM predicted_coded UNION ALL SELECT DISTINCT user_id, (SELECT count(*) FROM id_map), 1.0 FROM predicted_coded", "predicted_coded", "id_map")
+view("predicted_pu", _projection_sql("user_id", "predicted_bias", 0), "predicted_bias")
+
+
+def _labels_sql(mode: str, key: str, projected: str, cells: str) -> str:
+    """Per cluster how many entities like it, and per attribute position its sum, shown as negative cluster ids."""
+    return f"""SELECT '{mode}' AS mode, CAST(cluster_id AS INTEGER) AS place, 'label' AS kind, count(*) AS n, sum(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) AS total FROM
+      (SELECT {key}, cluster_id, round(sum(p * c), 9) AS d FROM {projected} JOIN {_CENTER} USING (row) GROUP BY 1, 2) GROUP BY 2
+      UNION ALL SELECT '{mode}', CAST(col AS INTEGER), 'attribute', count(*), round(sum(x), 4) + 0.0 FROM {cells} GROUP BY 2"""
+
+
+def shown_labels(spark: SparkSession, path: str, split: int, mode: str) -> DataFrame:
+    """Sums per position of the written lines: attributes that are not 0, and all labels."""
+    rows = tables.read_libsvm(spark, path, split + CENTERS).select(F.posexplode("features").alias("pos", "v"))
+    label = F.col("pos") >= split
+    rows = rows.where(label | (F.col("v") != 0)).select(
+        F.when(label, F.col("pos") - split).otherwise(F.col("pos")).alias("place"), F.when(label, "label").otherwise("attribute").alias("kind"), "v")
+    return rows.groupBy("place", "kind").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("v"), 4) + 0.0).alias("total")).select(F.lit(mode).alias("mode"), "*")
+
+
+@query("job_export_users", sql_of(_labels_sql("rated", "user_id", "coded_pu", "user_cells") + " UNION ALL " +
+                                  _labels_sql("predicted", "user_id", "predicted_pu", "predicted_coded"), "coded_pu", "predicted_pu", "user_cells", "predicted_coded"))
 def job_export_users(spark: SparkSession, sf: str) -> DataFrame:
-    return exported_labels(spark, sf, "left")
+    """Users against fixed item centers, coded by their ratings and by predictions."""
+    parts = coded(spark, sf)
+    users, items, widths = jobs.sparse_sides(parts)
+    m, centers = stand_in(parts), I.matrix(CENTERS, I.K, 1)
+    path = scratch_path(spark, "labels")
+    split = jobs.export_labels(users, "left", m, centers, widths[0], f"{path}/rated")
+    popular = parts["id_map"].join(items, "item_id", "left").select("idx", "pos", "val")
+    jobs.export_predicted_users(users, popular, m, centers, f"{path}/predicted")
+    return shown_labels(spark, f"{path}/rated", split, "rated").unionByName(shown_labels(spark, f"{path}/predicted", split, "predicted"))
 
 
-@query("job_export_items")
+@query("job_export_items", sql_of(_labels_sql("items", "item_id", "coded_pi", "item_cells"), "coded_pi", "item_cells"))
 def job_export_items(spark: SparkSession, sf: str) -> DataFrame:
-    return exported_labels(spark, sf, "right")
+    """Items against fixed user centers."""
+    parts = coded(spark, sf)
+    path = scratch_path(spark, "labels")
+    _, items, widths = jobs.sparse_sides(parts)
+    split = jobs.export_labels(items, "right", stand_in(parts), I.matrix(CENTERS, I.K, 1), widths[1], path)
+    return shown_labels(spark, path, split, "items")
 
 
 @query("job_explain", sql_of("SELECT path, CAST(var AS INTEGER) AS var, round(rel_size, 6) AS rel_size, round(data_entropy, 6) AS data_entropy FROM tree2_3", "tree2_3"))

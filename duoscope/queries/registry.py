@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
-VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
+VIEWS: dict[str, tuple[tuple[str, ...], str, str]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -20,9 +20,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def view(name: str, text: str, *needs: str) -> None:
-    """A named subquery of the checking SQL; may be recursive."""
-    VIEWS[name] = (needs, text)
+def view(name: str, text: str, *needs: str, kept: bool = False) -> None:
+    """A named subquery of the checking SQL; may be recursive. ``kept``: computed once however often it is used."""
+    VIEWS[name] = (needs, text, "AS MATERIALIZED" if kept else "AS")
 
 
 def sql_of(final: str, *needs: str) -> str:
@@ -39,5 +39,5 @@ def sql_of(final: str, *needs: str) -> str:
         add(n)
     if not order:
         return final
-    parts = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    parts = ",\n".join(f"{n} {VIEWS[n][2]} ({VIEWS[n][1]})" for n in order)
     return f"WITH RECURSIVE {parts}\n{final}"

@@ -11,7 +11,7 @@ from duoscope.operators import encode, joins, splits, thresholds
 from duoscope.queries import inputs as I
 from duoscope.queries.files import write_lines
 from duoscope.queries.registry import query, sql_of
-from duoscope.session import scratch_path, table
+from duoscope.session import cut_lineage, scratch_path, table
 
 INF = float("inf")
 
@@ -90,7 +90,7 @@ def jn_items_tags(spark: SparkSession, sf: str) -> DataFrame:
   GROUP BY 1, 2, 3, 4""", "outcomes", "scaled", "tags"))
 def jn_ratings_items(spark: SparkSession, sf: str) -> DataFrame:
     coded = I.scaled(spark, sf).join(encode.tag_vectors(I.tags(spark, sf)), "item_id")
-    both = joins.salted_join(I.outcomes(spark, sf), coded.select("item_id", "year"), "item_id", spread_by=["user_id"])
+    both = I.outcomes(spark, sf).join(coded.select("item_id", "year"), "item_id")
     return both.groupBy("user_id", "item_id", "year", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,7 +100,7 @@ def jn_ratings_users(spark: SparkSession, sf: str) -> DataFrame:
     """Users stay sparse across the join; a row costs what the user rated, not the vector's width."""
     rated = I.outcomes(spark, sf)
     users = encode.user_entries(rated, I.id_map(spark, sf))
-    both = joins.salted_join(rated, users, "user_id", spread_by=["item_id"])
+    both = rated.join(users, "user_id")
     return both.groupBy("user_id", "item_id", "outcome").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("entries")).cast("bigint").alias("rated"))
 
@@ -181,7 +181,7 @@ def agg_split_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.explanation(spark, sf)
+    rows = cut_lineage(I.explanation(spark, sf))  # joined once: thresholds and bins read what is stored
     width = len(I.SEGMENTS)
     binned = splits.with_bins(rows, I.thresholds_list(spark, rows))
     return splits.histogram(splits.utility_columns(binned, width).withColumn("n", F.lit(1)), width)

@@ -10,6 +10,7 @@ from duoscope.operators import grow, splits, thresholds, trees
 from duoscope.queries import inputs as I
 from duoscope.queries.registry import query, sql_of, view
 from duoscope.queries.relational import histogram
+from duoscope.session import cut_lineage
 
 WIDTH = len(I.SEGMENTS)
 
@@ -70,7 +71,7 @@ def topk_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query("tree_best_split", sql_of("""SELECT CAST(var AS INTEGER) AS var, round(split_value, 6) AS split_value, round(left_ratio, 6) AS left_ratio,
   round(left_we, 6) AS left_we, round(right_we, 6) AS right_we, round(we, 6) AS we FROM best""", "best"))
 def tree_best_split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.explanation(spark, sf)
+    rows = cut_lineage(I.explanation(spark, sf))
     best = splits.best_splits(rows, I.size_array(spark, sf), WIDTH, I.thresholds_list(spark, rows))
     return rounded(best.select("var", "split_value", "left_ratio", "left_we", "right_we", "we"))
 
