@@ -1,15 +1,22 @@
 """Growing the explanation tree level by level.
 
-Every level is one Spark job for all open regions: rows find their regions through broadcast joins
-with the small split tables of the earlier levels, are binned into one histogram per (region,
-variable) and give the best splits. The driver only holds regions and candidates, never rows.
+Every level is one Spark job for all open regions. A row is kept once, with the list of the open regions it is in; that level
+table goes from level to level, and a plan reads the last one only, so its size does not grow with the depth. Rows are binned
+into one histogram per (region, variable), whose running sums give the best splits. The driver only holds regions and
+candidates, never rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +28,10 @@ from duoscope.session import collect_bounded, cut_lineage
 NODE_SCHEMA = (
     "path string, var int, lo double, hi double, rel_size double, data_entropy double"
 )
+# Bin combinations up to which equal rows are merged first; the tree is the same either way.
 COLLAPSE_LIMIT = 5_000_000
+# Pairs of rows and splits that are followed at once.
+PAIRS = 4_000_000
 INF = float("inf")
 
 
@@ -104,30 +114,34 @@ def grow_tree(
     """
     spark = rows.sparkSession
     size_array = F.lit([float(v) for v in _sizes(sizes, num_clusters)])
-    rows, base = rows.select("x", "u").persist(), None
+    rows = rows.select("x", "u").persist()
     try:
         found = thresholds(rows, max_bins)
         thr = [r["thr"] for r in sorted(collect_bounded(found, MAX_VARIABLES, "variables"))]
         thr += [[] for _ in range(num_vars - len(thr))]
-        base = splits.utility_columns(splits.with_bins(rows, thr), num_clusters)
+        wide = num_vars * num_clusters >= splits.WIDE_FROM
+        binned = splits.with_bins(rows, thr)
+        base = splits.vote_arrays(binned) if wide else splits.utility_columns(binned, num_clusters)
         combos = math.prod(len(t) + 1 for t in thr)
         if not strict_bounds and combos <= COLLAPSE_LIMIT:
             # Bounded by the number of bin combinations, so all levels read a small table.
-            base = cut_lineage(splits.collapse(base, num_clusters))
+            base = splits.collapse(base, num_clusters)
         else:
-            base = base.drop(*([] if strict_bounds else ["x"])).withColumn("n", F.lit(1)).persist()
+            base = base.drop(*([] if strict_bounds else ["x"]))
+            base = base if wide else base.withColumn("n", F.lit(1))
+        level_table = base = cut_lineage(base.withColumn("regions", F.array(F.lit(0))))
         root = Region(0, _root_entropy(base, size_array, num_clusters, root_entropy))
-        rows.unpersist()  # the root's entropy has filled the binned table
-        open_regions, steps = {0: root}, []
+        rows.unpersist()  # the binned table is stored
+        open_regions = {0: root}
         num_bins = max((len(t) for t in thr), default=0) + 1
         for level in range(max_level):
             if not open_regions:
                 break
-            located = _locate(base, steps, strict_bounds)
-            if num_vars * num_clusters < splits.WIDE_FROM:
-                hist = splits.histogram(located, num_clusters, "region")
-            else:
+            located = level_table.withColumn("region", F.explode("regions")).drop("regions")
+            if wide:
                 hist = splits.wide_histogram(located, num_clusters, "region", num_vars, num_bins)
+            else:
+                hist = splits.histogram(located, num_clusters, "region")
             scores = splits.split_scores(
                 splits.prefix_counts(hist, num_clusters, "region"), size_array, "region")
             top = splits.top_candidates(
@@ -138,13 +152,10 @@ def grow_tree(
                 last=level == max_level - 1)
             if len(open_regions) > max_regions:
                 raise ValueError("too many regions: lower num_candidates or raise max_regions")
-            steps.append(spark.createDataFrame(
-                step, "region int, s_var int, s_cut int, s_value double, s_left int, s_right int"
-            ) if step else None)
+            if step and open_regions:
+                level_table = cut_lineage(_followed(level_table, step, strict_bounds))
     finally:
         rows.unpersist()
-        if base is not None:
-            base.unpersist()
     return spark.createDataFrame(flatten(root, root.entropy), NODE_SCHEMA)
 
 
@@ -158,26 +169,62 @@ def _root_entropy(base: DataFrame, sizes: Column, width: int, given: float | Non
         return given
     from duoscope.functions.scalars import weighted_entropy
 
+    if "votes" in base.columns:
+        sums = base.agg(vector_to_array(Summarizer.sum(array_to_vector("votes"))).alias("v"))
+        return sums.select(weighted_entropy(F.get("v", F.lit(0)), F.slice("v", 2, width), sizes)).first()[0]
     sums = base.agg(F.sum("n").alias("n"), *[F.sum(f"u{i}").alias(f"u{i}") for i in range(width)])
     pos = F.array(*[F.col(f"u{i}") for i in range(width)])
     return sums.select(weighted_entropy(F.col("n"), pos, sizes)).first()[0]
 
 
-def _locate(base: DataFrame, steps: list[DataFrame], strict: bool) -> DataFrame:
-    """Rows with the ids of the open regions they are in: narrow, one broadcast join per level."""
-    rows = base.withColumn("region", F.lit(0))
-    for step in steps:
-        joined = rows.join(F.broadcast(step), "region")
+def _followed(level_table: DataFrame, step: list[tuple], strict: bool) -> DataFrame:
+    """The level table of the next level: every row follows the splits of its regions; rows in no open region go.
+
+    ``step`` has ``(region, var, cut, value, left, right)``; it is as small as what the driver holds of a level.
+    """
+    ordered = sorted(step, key=lambda r: r[0])
+    region, var, cut = (np.array([r[i] for r in ordered], np.int64) for i in (0, 1, 2))
+    value = np.array([r[3] for r in ordered], float)
+    left, right = (np.array([-1 if r[i] is None else r[i] for r in ordered], np.int64) for i in (4, 5))
+    first = np.searchsorted(region, np.arange(int(region[-1]) + 2))
+    shared = level_table.sparkSession.sparkContext.broadcast((var, cut, value, left, right, first))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        var, cut, value, left, right, first = shared.value
+        splits_of = np.diff(first)
+        for batch in batches:
+            at = 0
+            lengths = pc.list_value_length(batch.column("regions")).to_numpy()
+            ends = np.cumsum(lengths)
+            most = max(1, PAIRS // max(1, int(splits_of.max())))
+            while at < batch.num_rows:  # few enough regions at once
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+                yield from moved(batch.slice(at, stop - at), splits_of, var, cut, value, left, right, first)
+                at = stop
+
+    def moved(batch, splits_of, var, cut, value, left, right, first) -> Iterator[pa.RecordBatch]:
+        held = batch.column("regions")
+        region = held.flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy())
+        known = region < len(splits_of)
+        region, row = region[known], row[known]
+        count = splits_of[region]
+        row = np.repeat(row, count)
+        split = np.repeat(first[region] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         if strict:
-            value = F.get("x", F.col("s_var"))
-            side = F.when(value < F.col("s_value"), F.col("s_left")).when(
-                value > F.col("s_value"), F.col("s_right"))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[row, var[split]]
+            target = np.where(x < value[split], left[split], np.where(x > value[split], right[split], -1))
         else:
-            goes_left = F.get("bins", F.col("s_var")) <= F.col("s_cut")
-            side = F.when(goes_left, F.col("s_left")).otherwise(F.col("s_right"))
-        rows = joined.withColumn("region", side).where(F.col("region").isNotNull())
-        rows = rows.drop(*[c for c in step.columns if c != "region"])
-    return rows
+            bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[row, var[split]]
+            target = np.where(bins <= cut[split], left[split], right[split])
+        row, target = row[target >= 0], target[target >= 0]
+        count = np.bincount(row, minlength=batch.num_rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(target.astype(np.int32)))
+        out = batch.set_column(batch.schema.get_field_index("regions"), "regions", lists).filter(pa.array(count > 0))
+        if out.num_rows:
+            yield out
+
+    return level_table.mapInArrow(follow, level_table.schema)
 
 
 def _advance(open_regions, picked, thr, min_split_entropy, strict, last):

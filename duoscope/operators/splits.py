@@ -11,13 +11,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.session import collect_bounded
 
 MAX_CLUSTERS = 100_000
-# Variables times clusters from which matrix products beat unpivoted sums (measured).
+# Variables times clusters from which matrix products beat unpivoted sums (measured). Both give the same histogram.
 WIDE_FROM = 2_000
 WIDE_CELLS = 32_000_000
 WIDE_ROWS = 1024
@@ -42,8 +43,15 @@ def utility_columns(rows: DataFrame, width: int) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "u"], *cols)
 
 
+def vote_arrays(rows: DataFrame) -> DataFrame:
+    """Count and utilities of a row in one array ``votes``, for as many clusters as would make too many columns."""
+    return rows.select(*[c for c in rows.columns if c != "u"], F.concat(F.array(F.lit(1.0)), F.col("u").cast("array<double>")).alias("votes"))
+
+
 def collapse(rows: DataFrame, width: int) -> DataFrame:
     """Rows with equal bins become one with summed counts and utilities."""
+    if "votes" in rows.columns:
+        return rows.groupBy("bins").agg(F.array(*[F.sum(F.get("votes", F.lit(i))) for i in range(width + 1)]).alias("votes"))
     return rows.groupBy("bins").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"u{i}").alias(f"u{i}") for i in range(width)]
     )
@@ -102,26 +110,71 @@ def wide_histogram(rows: DataFrame, width: int, key: str, num_vars: int, num_bin
                 [pa.array(np.full(len(j), k, "int32")), pa.array(v.astype("int32")), pa.array(j.astype("int16")),
                  pa.array(cells[:, 0].astype("int64")), pos], [key, "var", "bin", "n", "pos"])
 
-    votes = F.array(F.col("n").cast("double"), *[F.col(f"u{i}").cast("double") for i in range(width)])
-    sent = rows.select(F.col(key).cast("int").alias(key), "bins", votes.alias("votes"))
+    if "votes" not in rows.columns:
+        votes = F.array(F.col("n").cast("double"), *[F.col(f"u{i}").cast("double") for i in range(width)])
+        rows = rows.withColumn("votes", votes)
+    sent = rows.select(F.col(key).cast("int").alias(key), "bins", "votes")
     sums = sent.mapInArrow(partial, schema).groupBy(key, "var", "bin").agg(
         F.sum("n").alias("n"), Summarizer.sum(array_to_vector("pos")).alias("pos"))
     return sums.withColumn("pos", vector_to_array("pos"))
 
 
 def prefix_counts(hist: DataFrame, width: int, *keys: str) -> DataFrame:
-    """Running counts and utility sums in bin order next to the totals of the variable."""
-    per_var = W.partitionBy(*keys, "var")
-    running = per_var.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-
-    def sums(spec) -> Column:
-        return F.array(*[F.sum(F.get("pos", F.lit(i))).over(spec) for i in range(width)])
+    """Running counts and utility sums in bin order next to the totals of the variable.
 
-    return hist.select(
-        *keys, "var", "bin",
-        F.sum("n").over(running).alias("left_n"), sums(running).alias("left_pos"),
-        F.sum("n").over(per_var).alias("n"), sums(per_var).alias("total_pos"),
-    )
+    One scan of whole vectors per (key, variable), however many clusters there are: the sorted rows of a partition pass in Arrow
+    batches, and a variable is given out when its last bin has come. What is held is the bins of one variable and one batch.
+    """
+    vector = hist.schema["pos"].dataType
+    whole = vector.elementType.typeName() in ("long", "integer")
+    names = [*keys, "var", "bin"]
+    fields = [T.StructField(c, hist.schema[c].dataType) for c in names]
+    number, sums = T.LongType(), T.ArrayType(T.LongType() if whole else T.DoubleType())
+    schema = T.StructType([*fields, T.StructField("left_n", number), T.StructField("left_pos", sums), T.StructField("n", number),
+                           T.StructField("total_pos", sums)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            starts = changes(held)
+            if len(starts) > 1:  # the last variable may go on in the next batch
+                yield from summed(held.slice(0, starts[-1]))
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from summed(held)
+
+    def changes(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for c in names[:-1]:
+            values = rows[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    def summed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        starts = changes(rows)
+        lengths = np.diff([*starts, rows.num_rows])
+        pos = rows["pos"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, width)
+        n = rows["n"].to_numpy()
+
+        def running(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            total = np.cumsum(values, axis=0)
+            before = np.concatenate([np.zeros_like(total[:1]), total])[starts]
+            left = total - np.repeat(before, lengths, axis=0)
+            return left, np.repeat(left[starts + lengths - 1], lengths, axis=0)
+
+        def lists(values: np.ndarray) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).ravel()))
+
+        (left_n, total_n), (left, total) = running(n), running(pos)
+        columns = [*[rows[c].combine_chunks() for c in names], pa.array(left_n), lists(left), pa.array(total_n), lists(total)]
+        yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+
+    ordered = hist.select(*names, F.col("n").cast("bigint").alias("n"), F.col("pos").cast(sums).alias("pos"))
+    return ordered.repartition(*keys, "var").sortWithinPartitions(*names).mapInArrow(scan, schema)
 
 
 def split_scores(prefix: DataFrame, sizes: Column, *keys: str) -> DataFrame:

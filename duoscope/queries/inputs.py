@@ -273,3 +273,31 @@ view("ranked", "SELECT *, round(left_we * left_ratio + right_we * right_ratio, 1
      "(PARTITION BY var ORDER BY round(left_we * left_ratio + right_we * right_ratio, 12), bin) AS rn FROM scores", "scores")
 view("best", "SELECT r.*, t AS split_value FROM ranked r JOIN thr ON thr.var = r.var AND thr.pos = r.bin WHERE rn = 1",
      "ranked", "thr")
+
+
+# -- the same with many clusters: 30 arithmetic attributes of a part, and what 400 groups of customers think ------------
+
+WIDE_VARS, WIDE_GROUPS = 30, 400
+
+
+def wide_explanation(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(
+        *[((F.col("p_partkey") * (j + 3) + F.col("p_size")) % (11 + j)).cast("double") for j in range(WIDE_VARS)]).alias("x"))
+    rated = ratings(spark, sf).select(F.col("item_id").alias("id"), (F.col("user_id") % WIDE_GROUPS).alias("pos"), "rating")
+    liked = rated.groupBy("id", "pos").agg(F.when(F.round(F.avg(F.col("rating") * 10), 6) > 25.5, 1).otherwise(0).alias("value"))
+    entries = liked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("entries"))
+    return p.join(entries.select("id", V.fill_positions(F.col("entries"), F.lit(WIDE_GROUPS), "int").alias("u")), "id")
+
+
+def wide_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").groupBy((F.col("c_custkey") % WIDE_GROUPS).cast("int").alias("cluster_id")).agg(F.count(F.lit(1)).alias("size"))
+
+
+view("many_ids", "SELECT DISTINCT l_partkey AS id FROM lineitem", kept=True)
+view("many_sizes", f"SELECT CAST(c_custkey % {WIDE_GROUPS} AS INTEGER) AS cluster_id, count(*) AS size FROM customer GROUP BY 1")
+view("many_mean", f"""SELECT l_partkey AS id, o_custkey % {WIDE_GROUPS} AS seg, CASE WHEN round(avg(l_quantity), 6) > 25.5 THEN 1 ELSE 0 END AS u
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2""")
+view("many_u_long", f"SELECT i.id, s.seg, coalesce(m.u, 0) AS u FROM many_ids i CROSS JOIN (SELECT unnest(range(0, {WIDE_GROUPS})) AS seg) s "
+     "LEFT JOIN many_mean m ON m.id = i.id AND m.seg = s.seg", "many_ids", "many_mean", kept=True)
+view("many_x_long", f"SELECT p_partkey AS id, var, CAST((p_partkey * (var + 3) + p_size) % (11 + var) AS DOUBLE) AS v FROM part SEMI JOIN many_ids ON id = p_partkey "
+     f"CROSS JOIN (SELECT CAST(unnest(range(0, {WIDE_VARS})) AS INTEGER) AS var)", "many_ids", kept=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,30 @@ def sql_of(final: str, *needs: str) -> str:
         return final
     parts = ",\n".join(f"{n} {VIEWS[n][2]} ({VIEWS[n][1]})" for n in order)
     return f"WITH RECURSIVE {parts}\n{final}"
+
+
+def renamed_views(prefix: str, last: str, given: set[str], changed: dict[str, str] | None = None) -> str:
+    """The views that lead to ``last``, again under ``prefix``, but with views of one's own where ``given`` names them.
+
+    ``changed`` replaces the text of some. Returns the new name of ``last``.
+    """
+    chain: list[str] = []
+
+    def add(name: str) -> None:
+        if name not in given and name not in chain:
+            for n in VIEWS[name][0]:
+                add(n)
+            chain.append(name)
+
+    add(last)
+    names = re.compile(r"\b(" + "|".join(sorted([*chain, *given], key=len, reverse=True)) + r")\b(?!\()")
+
+    def own(text: str) -> str:
+        return names.sub(lambda m: prefix + m[1], text)
+
+    for name in chain:
+        needs, text, how = VIEWS[name]
+        text = (changed or {}).get(name, text)
+        recursive = re.search(rf"\b{name}\b", text) is not None
+        VIEWS[prefix + name] = (tuple(prefix + n for n in needs), own(text), "AS" if recursive else "AS MATERIALIZED")
+    return prefix + last

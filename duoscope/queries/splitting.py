@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duoscope.functions import scalars as S
 from duoscope.operators import grow, splits, thresholds, trees
 from duoscope.queries import inputs as I
-from duoscope.queries.registry import query, sql_of, view
+from duoscope.queries.registry import query, renamed_views, sql_of, view
 from duoscope.queries.relational import histogram
 from duoscope.session import cut_lineage
 
@@ -150,9 +150,30 @@ def tree_expand_deep(spark: SparkSession, sf: str) -> DataFrame:
     return shown(grown(spark, sf, 4, 4))
 
 
-@query("tree_expand_strict")
+# rows equal to the threshold are in neither child; the root has entropy 1
+_STRICT = renamed_views("strict_", "tree2_3", {"ids", "x_long", "u_long", "sizes", "total_size", "thr", "binned", "best"}, {
+    "root_we": "SELECT 1.0 AS we",
+    "hist2_3": """SELECT c.rank, CASE WHEN a.v < c.split_value THEN 0 ELSE 1 END AS side, b.var, b.bin, u.seg, count(*) AS n, sum(u.u) AS pos
+      FROM cand3 c JOIN binned a ON a.var = c.cvar AND a.v <> c.split_value JOIN binned b ON b.id = a.id JOIN u_long u ON u.id = a.id GROUP BY 1, 2, 3, 4, 5"""})
+for _n in ("ids", "x_long", "u_long", "sizes", "total_size", "thr", "binned", "best"):
+    view(f"strict_{_n}", f"SELECT * FROM {_n}", _n)
+
+
+@query("tree_expand_strict", sql_of(f"SELECT path, CAST(var AS INTEGER) AS var, round(lo, 6) AS lo, round(hi, 6) AS hi, round(rel_size, 6) AS rel_size, "
+                                    f"round(data_entropy, 6) AS data_entropy FROM {_STRICT}", _STRICT))
 def tree_expand_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(grown(spark, sf, 3, 2, strict_bounds=True, root_entropy=1.0))
+    """Two levels of the three best splits where rows on a threshold drop out of both children."""
+    return shown(grown(spark, sf, 2, 3, strict_bounds=True, root_entropy=1.0))
+
+
+_MANY = renamed_views("many_", "tree2_1", {"ids", "x_long", "u_long", "sizes"})
+
+
+@query("tree_expand_wide", sql_of(f"SELECT path, CAST(var AS INTEGER) AS var, round(lo, 6) AS lo, round(hi, 6) AS hi, round(rel_size, 6) AS rel_size, "
+                                  f"round(data_entropy, 6) AS data_entropy FROM {_MANY}", _MANY))
+def tree_expand_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy growth over two levels with 30 variables and 400 clusters."""
+    return shown(grow.grow_tree(I.wide_explanation(spark, sf), I.wide_sizes(spark, sf), I.WIDE_VARS, I.WIDE_GROUPS, 2, 1))
 
 
 @query("tree_leaf_rows", sql_of("""SELECT CASE WHEN a.bin <= x.cbin THEN 'L' ELSE 'R' END || coalesce(CASE WHEN c.var IS NULL THEN '' WHEN b.bin <= c.bin THEN 'L' ELSE 'R' END, '') AS path,

@@ -230,6 +230,53 @@ def test_uncollapsed_rows_give_the_same_tree(spark, monkeypatch):
     assert grow.grow_tree(df, sizes, 4, 3, 3, 2).collect() == first
 
 
+def test_plans_do_not_grow_with_the_depth(spark, monkeypatch):
+    """Each level reads the stored table of the one before."""
+    plans, cut = [], grow.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(grow, "cut_lineage", seen)
+    df = spark.createDataFrame(fixture(9, 400), "x array<double>, u array<int>")
+    sizes = spark.createDataFrame([(0, 5), (1, 1), (2, 3)], "cluster_id int, size bigint")
+    grow.grow_tree(df, sizes, 4, 3, 5, 2)
+    levels = [p.count("\n") for p in plans[1:]]
+    assert len(levels) >= 3 and len(set(levels)) == 1
+
+
+@pytest.mark.parametrize("pairs", [1, 50])
+def test_rows_follow_in_small_parts(spark, monkeypatch, pairs):
+    df = spark.createDataFrame(fixture(9), "x array<double>, u array<int>")
+    sizes = spark.createDataFrame([(0, 5), (1, 1), (2, 3)], "cluster_id int, size bigint")
+    monkeypatch.setattr(grow, "COLLAPSE_LIMIT", 0)
+    first = grow.grow_tree(df, sizes, 4, 3, 4, 3).collect()
+    monkeypatch.setattr(grow, "PAIRS", pairs)
+    assert grow.grow_tree(df, sizes, 4, 3, 4, 3).collect() == first
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_running_sums_of_vectors(spark, batch):
+    rng = random.Random(batch)
+    rows = [(r, v, b, rng.randint(1, 9), [rng.randint(0, 9) for _ in range(5)]) for r in range(3) for v in range(4)
+            for b in sorted(rng.sample(range(12), rng.randint(1, 8)))]
+    df = spark.createDataFrame(rows, "region int, var int, bin smallint, n bigint, pos array<bigint>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.region, r.var, r.bin): r for r in splits.prefix_counts(df, 5, "region").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    for r, v, b, _, _ in rows:
+        own = [x for x in rows if x[:2] == (r, v)]
+        left = [x for x in own if x[2] <= b]
+        g = got[r, v, b]
+        assert (g.left_n, g.n) == (sum(x[3] for x in left), sum(x[3] for x in own))
+        assert g.left_pos == [sum(x[4][i] for x in left) for i in range(5)] and g.total_pos == [sum(x[4][i] for x in own) for i in range(5)]
+
+
 def test_too_many_regions_is_an_error(spark):
     df = spark.createDataFrame(fixture(9), "x array<double>, u array<int>")
     sizes = spark.createDataFrame([(0, 5), (1, 1), (2, 3)], "cluster_id int, size bigint")
