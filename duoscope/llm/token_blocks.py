@@ -10,12 +10,14 @@ protocol and works on every file system Spark knows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ SHARD_TOKENS = 1 << 18
 CACHE_PIECES = 1_000_000
 MAGIC = 0x50464F52
 MARKS = (",", ".")
-#: Characters of texts encoded at once; a longer text is encoded alone.
-SLICE_CHARS = 1 << 19
+#: Bytes of texts encoded at once; a longer text is encoded alone.
+SLICE_BYTES = 1 << 22
 SHARD_SCHEMA = "part int, seq int, start_in_part long, n_tokens long, doc_ids array<bigint>, payload binary"
 DOC_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long"
 
@@ -120,11 +122,17 @@ def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ------------------------------------------------------------------------------------------------ tokenizing
+#: Texts that are not cut at blanks: empty ones, runs of white space, other white space, and NUL, which marks the cuts.
+WHOLE = ("^$|^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+         "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
+
+
 class PieceEncoder:
     """Token ids of texts as little-endian bytes, each distinct piece encoded once.
 
     The tokenizer's pattern always starts a new token at a single space or newline between other characters, so a text may
-    be cut there and its pieces encoded alone. Texts with runs of white space or other white space are encoded whole.
+    be cut there and its pieces encoded alone. Texts with runs of white space, other white space or the name of a special
+    token are encoded whole. Cutting, numbering the distinct pieces of a slice and putting ids together go by whole columns.
     """
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
@@ -132,10 +140,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.half, self.known, self.older = Tokenizer.from_file(path), limit // 2, {}, {}
-        self.tokenizer.encode_special_tokens = True
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([WHOLE, *names])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -143,51 +152,75 @@ class PieceEncoder:
         flat = np.fromiter(chain.from_iterable(found), np.uint32, ends[-1] // 4).astype("<u4", copy=False).tobytes()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
+        """Ids of distinct pieces that are not known."""
         if len(self.known) > self.half:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        missing = pieces.difference(known)
-        again = missing.intersection(older)
-        known.update((p, older[p]) for p in again)
-        missing -= again
-        # a comma or full stop after a letter is a token of its own
-        ends = {p: p[:-1] for p in missing if p[-1:] in MARKS and p[-2:-1].isalpha()}
-        new = missing.difference(ends)
-        new.update(stem for stem in ends.values() if stem not in known)
+        new, ends = {}, {}
+        for p in missing:
+            if p in older:
+                known[p] = older[p]
+            elif p[-1:] in MARKS and p[-2:-1].isalpha():  # a comma or full stop after a letter is a token of its own
+                ends[p] = p[:-1]
+            else:
+                new[p] = None
+        for stem in ends.values():
+            if stem not in known and stem in older:
+                known[stem] = older[stem]
+            if stem not in known:
+                new[stem] = None
         plain = [p for p in new if p[:1] != " " or len(p) == 1]
         if plain:
             known.update(zip(plain, self._ids(plain), strict=True))
         # all others in one text: a token that starts with a blank is where the next piece starts
-        order = list(new.difference(plain))
+        order = [p for p in new if p[:1] == " " and len(p) > 1]
         if order:
             raw = self._ids(["".join(order)])[0]
             starts = (4 * np.flatnonzero(self.blank[np.frombuffer(raw, "<u4")])).tolist()
             known.update(zip(order, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])], strict=True))
         known.update((p, known[stem] + self.marks[p[-1]]) for p, stem in ends.items())
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        found = [p and list(map(self.known.get, p)) for p in cut]
-        unknown = {x for p, ids in zip(cut, found) if p and None in ids for x, i in zip(p, ids) if i is None}
-        if unknown:
-            self._learn(unknown)
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            self._learn([pieces[i] for i in missing])
             get = self.known.get  # a piece forgotten meanwhile keeps what was found before
-            found = [p and (list(map(get, p, ids)) if None in ids else ids) for p, ids in zip(cut, found)]
-        return [self._ids([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, found)]
-
-
-def odd(text: str) -> bool:
-    """Whether there is other white space than single blanks and line breaks between other characters."""
-    return "\0" in text or text.split() != text.replace("\n", " ").split(" ")
+            for i in missing:
+                found[i] = get(pieces[i])
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        whole = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(column)
+        for i in np.flatnonzero(whole):
+            out[i] = self._ids([column[int(i)].as_py()])[0]
+        at = np.flatnonzero(~whole)
+        if len(at):
+            cut = pc.replace_substring(pc.replace_substring(column.take(pa.array(at)), " ", "\0 "), "\n", "\0\n\0")
+            cut = pc.split_pattern(cut, "\0")
+            tokens = cut.flatten().dictionary_encode()
+            ids = self._pieces(tokens.dictionary.to_pylist())
+            size = np.array([len(b) // 4 for b in ids])
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            piece = tokens.indices.to_numpy()
+            count = size[piece]
+            ends = np.cumsum(count)
+            joined = flat[np.repeat((np.cumsum(size) - size)[piece] - (ends - count), count) + np.arange(int(ends[-1]))].tobytes()
+            stops = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(cut).to_numpy())] * 4
+            for i, a, b in zip(at.tolist(), [0, *stops.tolist()], stops.tolist()):
+                out[i] = joined[a:b]
+        return out
 
 
-def slices(texts: list[str], size: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``size`` characters."""
+def slices(lengths: list[int], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes."""
     first = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= size or i == len(texts) - 1:
+    for i, length in enumerate(lengths):
+        held += length
+        if held >= size or i == len(lengths) - 1:
             yield first, i + 1
             first, held = i + 1, 0
 
@@ -217,9 +250,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 ["part", "seq", "start_in_part", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches:
-            texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for a, b in slices(texts):
-                for name, got in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
+            texts, doc_ids = batch["text"], batch["doc_id"].to_pylist()
+            for a, b in slices(pc.binary_length(texts).to_pylist()):
+                for name, got in zip(doc_ids[a:b], encoder.encode(texts.slice(a, b - a)), strict=True):
                     ids += (got, end)
                     lengths.append(len(got) // 4 + 1)
                     names.append(name)

@@ -39,13 +39,17 @@ def test_exceptions_make_blocks_small():
 @given(st.text(alphabet=st.sampled_from("ab Z9.,!'\n\t\r  é漢😀\0<|endoftext|>"), max_size=60) | st.text(max_size=60))
 def test_pieces_equal_whole_texts(encoder, text):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_are_those_of_the_plain_call(encoder):
+    text = "one <|endoftext|> two"
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == [505, 220, 50256, 734]
+    assert np.frombuffer(encoder.encode(["a", text, "b c"])[1], "<u4").tolist() == [505, 220, 50256, 734]
+
+
 def expected(rows):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in rows:
         ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
