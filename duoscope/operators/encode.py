@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from duoscope import fixed
 from duoscope.functions import scalars as S
 from duoscope.functions import vectors as V
 from duoscope.operators import joins
-from duoscope.session import cut_lineage
+from duoscope.session import collect_bounded, cut_lineage
+
+MAX_PARTS = 1_000_000
 
 
 def with_outcome(ratings: DataFrame, bound: float = fixed.POSITIVE_RATING) -> DataFrame:
@@ -60,39 +64,23 @@ def item_counts(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_index(counts: DataFrame, min_ratings: int = fixed.MIN_RATINGS, blocks: int = 256) -> DataFrame:
+def dense_index(counts: DataFrame, min_ratings: int = fixed.MIN_RATINGS, parts: int | None = None) -> DataFrame:
     """0-based index of the items with enough ratings, by falling count, then by id.
 
-    A global ``row_number`` would sort every item in one task. Here the index is the number of
-    items with a larger count, plus the items of earlier id blocks with the same count, plus the
-    rank inside the block. Block cuts are id quantiles, so equal counts cannot pile up in one task.
+    A global ``row_number`` would sort every item in one task. Here the items are dealt to ranges of (count, id), which sampling
+    makes about equally large and which are stored, so that a task that is run again sees the same ranges. The index is the
+    number of items in the ranges before, a running sum over one number per range, plus the rank inside the range.
     """
-    # Read four times below: the ratings are counted once.
-    kept = cut_lineage(counts.where(F.col("n") >= min_ratings).select(F.col("item_id").cast("bigint").alias("item_id"), "n"))
-    shares = [i / blocks for i in range(1, blocks)] or [0.5]
-    # Collected once, so that block borders are literals and every scan agrees on them.
-    cuts = kept.agg(F.percentile_approx("item_id", F.lit(shares), 10 * blocks)).first()[0]
-    borders = F.lit(sorted(set(cuts or [0]))).cast("array<bigint>")
-    placed = kept.withColumn("block", S.block_of(F.col("item_id"), borders))
-    per_block = placed.groupBy("n", "block").agg(F.count(F.lit(1)).alias("m"))
-    # One row per distinct count: a small table even for very many ratings.
-    above = (
-        per_block.groupBy("n").agg(F.sum("m").alias("m"))
-        .select("n", F.coalesce(F.sum("m").over(
-            W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    )
-    before = per_block.select(
-        "n", "block",
-        F.coalesce(F.sum("m").over(
-            W.partitionBy("n").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("before"),
-    )
-    inside = W.partitionBy("n", "block").orderBy("item_id")
-    ranked = placed.withColumn("rn", F.row_number().over(inside) - 1)
-    return (
-        ranked.join(before, ["n", "block"]).join(above, "n")
-        .select("item_id", "n", (F.col("above") + F.col("before") + F.col("rn")).cast("int").alias("idx"))
-    )
+    kept = counts.where(F.col("n") >= min_ratings).select(F.col("item_id").cast("bigint").alias("item_id"), "n")
+    order = (F.desc("n"), F.asc("item_id"))
+    ranges = kept.repartitionByRange(parts, *order) if parts else kept.repartitionByRange(*order)
+    placed = cut_lineage(ranges.withColumn("part", F.spark_partition_id()))
+    sizes = sorted(collect_bounded(placed.groupBy("part").agg(F.count(F.lit(1)).alias("m")), MAX_PARTS, "ranges"))
+    before = dict(zip([r["part"] for r in sizes], accumulate((r["m"] for r in sizes), initial=0)))
+    offsets = placed.sparkSession.createDataFrame(list(before.items()), "part int, before bigint")
+    ranked = placed.withColumn("rn", F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1)
+    # one row per range
+    return ranked.join(F.broadcast(offsets), "part").select("item_id", "n", (F.col("before") + F.col("rn")).cast("int").alias("idx"))
 
 
 def user_entries(outcomes: DataFrame, id_map: DataFrame) -> DataFrame:

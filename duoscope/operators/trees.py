@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duoscope.functions import scalars as S
+from duoscope.session import collect_bounded
 
 MAX_NODES = 10_000
 SWEEP_POINTS = 100
@@ -138,9 +139,7 @@ def prune(nodes: DataFrame, lambdas: Sequence[float], max_depth: int | None = No
 
 def sweep(nodes: DataFrame, lambdas: Sequence[float] | None = None, max_depth: int | None = None) -> DataFrame:
     """Per tree and λ: quality of the full and of the pruned tree, and the pruned leaves."""
-    if lambdas is None:
-        lambdas = [SWEEP_MAX * i / SWEEP_POINTS for i in range(SWEEP_POINTS)]
-    state, _ = _decide(nodes, lambdas, max_depth)
+    state, _ = _decide(nodes, sweep_grid(lambdas), max_depth)
 
     def root(name: str) -> Column:
         return F.max(F.when(depth() == 0, F.col(name)))
@@ -178,10 +177,24 @@ def best_lambda(sweep_rows: DataFrame, measure: str = "pruned_quality") -> DataF
 def pick(nodes: DataFrame, lambdas: Sequence[float] | None = None, fixed_lambda: float = 0.001,
          max_depth: int | None = None) -> DataFrame:
     """The best λ of the sweep next to the tree pruned at a fixed λ."""
-    chosen = best_lambda(sweep(nodes, lambdas, max_depth))
-    at_fixed = sweep(nodes, [fixed_lambda], max_depth).select(
-        "tree_id", F.col("pruned_quality").alias("fixed_quality"), F.col("leaves").alias("fixed_leaves"))
-    return chosen.join(at_fixed, "tree_id")
+    return pick_from(sweep(nodes, sweep_grid(lambdas, fixed_lambda), max_depth), sweep_grid(lambdas), fixed_lambda)
+
+
+def sweep_grid(lambdas: Sequence[float] | None = None, *more: float) -> list[float]:
+    """The λ values of a sweep, by default those of the report, and further ones."""
+    grid = [SWEEP_MAX * i / SWEEP_POINTS for i in range(SWEEP_POINTS)] if lambdas is None else list(lambdas)
+    return grid + [x for x in more if x not in grid]
+
+
+def pick_from(sweep_rows: DataFrame, grid: Sequence[float], fixed_lambda: float) -> DataFrame:
+    """The same from one sweep that has the grid and the fixed λ."""
+    inside, here = F.col("lam").isin(list(grid)), F.col("lam") == fixed_lambda
+    picked = sweep_rows.groupBy("tree_id").agg(
+        F.max(F.when(inside, F.struct("pruned_quality", "lam"))).alias("b"),
+        F.max(F.when(here, F.struct("pruned_quality", "leaves"))).alias("f"))
+    return picked.select(
+        "tree_id", F.col("b.lam").alias("lam"), F.col("b.pruned_quality").alias("best_quality"),
+        F.col("f.pruned_quality").alias("fixed_quality"), F.col("f.leaves").alias("fixed_leaves"))
 
 
 def with_ids(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -241,11 +254,17 @@ def reports(lines: DataFrame) -> DataFrame:
     return texts.select("tree_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("value"))
 
 
-def parse_reports(texts: DataFrame) -> DataFrame:
+#: A line of a report: size, entropy, resulting entropy and, but for the root, the split that led here. Names may hold anything
+#: but line ends; the interval is the last one in parentheses.
+REPORT_LINE = r"^\t*([0-9.]+)% - ([-0-9.eE]+) - ([-0-9.eE]+)(?: - Split at (.*) \((\S+) - (\S+)\))?\s*$"
+
+
+def parse_reports(texts: DataFrame, variables: DataFrame | None = None) -> DataFrame:
     """Reports ``(tree_id, value)`` back to node rows, one fold per report and no shuffle.
 
     The fold keeps the last path seen at each depth. A line at a depth that is still on the stack is
-    a right child, otherwise a left one.
+    a right child, otherwise a left one. Variables are read as numbers or, with a ``variable(var, name)`` table of distinct
+    names, by that dictionary. A line that is none, an unknown name and a name without dictionary end the job.
     """
     lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     empty = F.struct(
@@ -260,22 +279,38 @@ def parse_reports(texts: DataFrame) -> DataFrame:
 
     paths = F.aggregate(lines, empty, step, lambda s: s["paths"])
     rows = texts.select("tree_id", F.explode(F.arrays_zip(paths.alias("path"), lines.alias("line"))).alias("r"))
-    line = F.col("r.line")
-    span = r"Split at (-?[0-9]+) \((\S+) - (\S+)\)"
+    rows = rows.select("tree_id", "r.path", "r.line")
+    line = F.col("line")
+
+    def failing(ok: Column, what: str) -> Column:
+        return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(what), line)).cast("boolean"))
 
     def number(text: Column) -> Column:
         return F.when(text == "Infinity", F.lit(float("inf"))).when(
             text == "-Infinity", F.lit(float("-inf"))).otherwise(text.try_cast("double"))
 
-    has_split = line.contains("Split at")
-    lo = F.when(has_split, number(F.regexp_extract(line, span, 2))).otherwise(F.lit(float("-inf")))
-    hi = F.when(has_split, number(F.regexp_extract(line, span, 3))).otherwise(F.lit(float("inf")))
-    return rows.select(
-        "tree_id", F.col("r.path").alias("path"),
-        F.regexp_extract(line, span, 1).try_cast("int").alias("var"), lo.alias("lo"), hi.alias("hi"),
-        (F.regexp_extract(line, r"^\s*([0-9.]+)%", 1).cast("double") / 100).alias("rel_size"),
-        F.regexp_extract(line, r"% - ([-0-9.eE]+)", 1).cast("double").alias("data_entropy"),
-        F.regexp_extract(line, r"% - [-0-9.eE]+ - ([-0-9.eE]+)", 1).cast("double").alias("reported_entropy"),
+    rows = rows.where(failing(line.rlike(REPORT_LINE), "not a line of a report: "))
+    named = rows.withColumn("name", F.when(line.contains(" - Split at "), F.regexp_extract(line, REPORT_LINE, 4)))
+    if variables is None:
+        var = F.col("name").try_cast("int")
+    else:
+        known = collect_bounded(variables.select("var", "name"), MAX_NODES, "variables")
+        names = {r["name"]: r["var"] for r in known}
+        if len(names) < len(known):
+            raise ValueError("variables with the same name cannot be told apart in a report")
+        entries = F.array(*[F.struct(F.lit(n).alias("k"), F.lit(v).cast("int").alias("v")) for n, v in names.items()])
+        var = F.try_element_at(F.map_from_entries(entries), F.col("name")) if names else F.lit(None).cast("int")
+    found = named.withColumn("var", var).where(failing(F.col("name").isNull() | F.col("var").isNotNull(), "unknown variable: "))
+    split = F.col("name").isNotNull()
+
+    def bound(group: int, default: float) -> Column:
+        return F.when(split, number(F.regexp_extract(line, REPORT_LINE, group))).otherwise(F.lit(default))
+
+    return found.select(
+        "tree_id", "path", "var", bound(5, float("-inf")).alias("lo"), bound(6, float("inf")).alias("hi"),
+        (F.regexp_extract(line, REPORT_LINE, 1).cast("double") / 100).alias("rel_size"),
+        F.regexp_extract(line, REPORT_LINE, 2).cast("double").alias("data_entropy"),
+        F.regexp_extract(line, REPORT_LINE, 3).cast("double").alias("reported_entropy"),
     )
 
 
@@ -299,19 +334,12 @@ def read_reports(spark, path: str) -> DataFrame:
         F.regexp_replace("value", head, "").alias("value"))
 
 
-def read_report(spark, path: str, tree_id: int = 0) -> DataFrame:
-    """Files that hold one plain report each, with the given id for all of them."""
-    return spark.read.text(path, wholetext=True).select(F.lit(tree_id).alias("tree_id"), "value")
-
-
 def member_rows(rows: DataFrame, nodes: DataFrame, strict: bool = False) -> DataFrame:
     """``(id, path)`` of the leaf each row falls into, for one tree.
 
     The tree is model-sized and becomes one nested CASE expression: a row is compared once per
     level. With ``strict`` bounds rows equal to a threshold belong to no leaf.
     """
-    from duoscope.session import collect_bounded
-
     by_path = {r["path"]: r for r in collect_bounded(nodes.select("path", "var", "hi"), MAX_NODES, "nodes")}
 
     def leaf_of(path: str) -> Column:

@@ -112,6 +112,21 @@ def enc_item(spark: SparkSession, sf: str) -> DataFrame:
     return long(I.dense(coded.withColumn("tri", F.lit(None).cast("array<tinyint>")), "item_id"), "item_id")
 
 
+@query("enc_item_names", sql_of(f"""SELECT CAST(pos AS INTEGER) AS var, name, 'genre' AS kind FROM (SELECT unnest({I.sql_list(fixed.GENRES)}) AS name, unnest(range(0, 20)) AS pos)
+  UNION ALL SELECT CAST(19 + tag_id AS INTEGER), 'tag ' || tag_id, 'tag' FROM (SELECT DISTINCT tag_id FROM tags) UNION ALL SELECT CAST(20 + w AS INTEGER), 'Year', 'year' FROM tag_width""", "tags", "tag_width"))
+def enc_item_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the positions of item vectors."""
+    tags = I.tags(spark, sf)
+    names = tags.select("tag_id").distinct().select((F.col("tag_id") - 1).cast("int").alias("pos"), F.concat(F.lit("tag "), F.col("tag_id").cast("string")).alias("name"))
+    return encode.item_variables(names, tags.agg(F.max("tag_id")).first()[0])
+
+
+@query("enc_user_names", sql_of("SELECT idx AS var, title AS name, 'item' AS kind FROM items JOIN id_map USING (item_id)", "items", "id_map"))
+def enc_user_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the positions of user vectors: the titles of the popular items."""
+    return encode.user_variables(I.items(spark, sf), I.id_map(spark, sf))
+
+
 view("popular_proj", "SELECT idx, row, p FROM id_map JOIN pi USING (item_id)", "id_map", "pi")
 view("pair_scores", "SELECT pu.user_id, q.idx, sum(pu.p * q.p) AS d FROM pu JOIN popular_proj q USING (row) GROUP BY 1, 2",
      "pu", "popular_proj")

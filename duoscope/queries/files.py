@@ -186,6 +186,14 @@ def io_factors(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_factors(spark, path).select("side", "row", "col", "value", "biased")
 
 
+@query("io_factors_csv", sql_of("""SELECT side, CAST(row AS INTEGER) AS row, CAST(idx AS INTEGER) AS col, round(((row * 7 + idx * 3) % 11 - 5) / 10.0, 6) AS value, side = 'V' AS biased
+  FROM id_map CROSS JOIN (SELECT unnest(['W', 'V']) AS side) CROSS JOIN (SELECT unnest(range(0, 3)) AS row)""", "id_map"))
+def io_factors_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The same matrices as a CSV pair of several files each."""
+    full = tables.write_factor_csv(factor_cells(spark, sf), scratch_path(spark, "factors"), False, True, parts=3)
+    return tables.read_factor_csv(spark, full)
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscope.functions import draws
-from duoscope.operators import cluster, csr, encode, learn, project, sample
+from duoscope.operators import cluster, csr, encode, learn, project, sample, trees
 from duoscope.plans import jobs
 from duoscope.queries import inputs as I
 from duoscope.queries.encoding import long, model
@@ -586,11 +586,24 @@ def job_export_items(spark: SparkSession, sf: str) -> DataFrame:
     return shown_labels(spark, path, split, "items")
 
 
-@query("job_explain", sql_of("SELECT path, CAST(var AS INTEGER) AS var, round(rel_size, 6) AS rel_size, round(data_entropy, 6) AS data_entropy FROM tree2_3", "tree2_3"))
+@query("job_explain", sql_of("""SELECT path, CAST(var AS INTEGER) AS var, round(lo, 6) AS lo, round(hi, 6) AS hi, round(rel_size, 6) AS rel_size, round(data_entropy, 6) AS data_entropy,
+  true AS reported FROM tree2_3""", "tree2_3"))
 def job_explain(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = jobs.explain(spark, label_file(spark, sf), 9, 4, size_file(spark, sf), scratch_path(spark, "tree"),
-                         max_level=2, num_candidates=3)
-    return nodes.select("path", "var", F.round("rel_size", 6).alias("rel_size"), F.round("data_entropy", 6).alias("data_entropy"))
+    """The written nodes, and whether the written report says the same of each to its digits."""
+    out = scratch_path(spark, "tree")
+    jobs.explain(spark, label_file(spark, sf), 9, 4, size_file(spark, sf), out, max_level=2, num_candidates=3)
+    nodes = spark.read.parquet(f"{out}/nodes")
+    report = spark.read.text(f"{out}/report", wholetext=True).where(F.trim("value") != "").select(F.lit(0).alias("tree_id"), "value")
+    said = trees.parse_reports(report).select("path", *[F.col(c).alias(f"r_{c}") for c in ("var", "lo", "hi", "rel_size", "data_entropy")])
+
+    def near(c: str, tolerance: float) -> F.Column:
+        return (F.col(c) == F.col(f"r_{c}")) | (F.abs(F.col(c) - F.col(f"r_{c}")) < tolerance)
+
+    same = F.col("var").eqNullSafe(F.col("r_var")) & near("lo", 6e-5) & near("hi", 6e-5) & near("rel_size", 6e-5) & near("data_entropy", 6e-3)
+    both = nodes.join(said, "path", "left")
+    return both.select("path", F.col("var").cast("int").alias("var"), *[
+        F.when(F.abs(F.col(c)) < float("inf"), F.round(c, 6)).alias(c) for c in ("lo", "hi")],
+        F.round("rel_size", 6).alias("rel_size"), F.round("data_entropy", 6).alias("data_entropy"), F.coalesce(same, F.lit(False)).alias("reported"))
 
 
 @query("job_prune_sweep", sql_of("""SELECT b.tree_id, round(b.lam, 9) AS lam, f.leaves AS fixed_leaves

@@ -192,6 +192,18 @@ def snk_tree_text(spark: SparkSession, sf: str) -> DataFrame:
     return trees.read_reports(spark, path)
 
 
+@query("src_tree_named", sql_of("""SELECT tree_id, path, var, CASE WHEN abs(lo) < CAST('inf' AS DOUBLE) THEN round(lo, 4) END AS lo, CASE WHEN abs(hi) < CAST('inf' AS DOUBLE) THEN round(hi, 4) END AS hi,
+  round(round(rel_size * 100, 2) / 100, 6) AS rel_size, round(data_entropy, 2) AS data_entropy, round(re, 2) AS reported_entropy FROM re""", "re"))
+def src_tree_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports with names, written, and read back through the dictionary of the names."""
+    path = scratch_path(spark, "reports")
+    names = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(QUESTIONS)], "var int, name string")
+    trees.write_reports(trees.reports(trees.report_lines(supplier_trees(spark, sf), names)), path)
+    back = trees.parse_reports(trees.read_reports(spark, path), names)
+    return back.select("tree_id", "path", "var", finite("lo"), finite("hi"), F.round("rel_size", 6).alias("rel_size"),
+                       "data_entropy", "reported_entropy")
+
+
 @query("src_tree_text", sql_of("""SELECT tree_id, path, var, CASE WHEN abs(lo) < CAST('inf' AS DOUBLE) THEN round(lo, 4) END AS lo, CASE WHEN abs(hi) < CAST('inf' AS DOUBLE) THEN round(hi, 4) END AS hi,
   round(round(rel_size * 100, 2) / 100, 6) AS rel_size, round(data_entropy, 2) AS data_entropy FROM nodes""", "nodes"))
 def src_tree_text(spark: SparkSession, sf: str) -> DataFrame:

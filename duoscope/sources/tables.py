@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
 from py4j.protocol import Py4JJavaError
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoscope.functions import vectors as V
-from duoscope.session import cut_lineage, scratch_path
+from duoscope.session import collect_bounded, cut_lineage, scratch_path
 
 SIDES = ("left", "right")
 BLOCKS = ("bin", "tri", "num")
-CSV_CELLS = 20_000_000
+MAX_SPLITS = 1_000_000
 WIDTHS = [f"{side}_{block}" for side in SIDES for block in BLOCKS]
 #: What vectors are in storage: type 0 has indices and values, type 1 values only.
 STORED_ROWS = "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
@@ -214,31 +215,49 @@ def read_factors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_factor_csv(factors: DataFrame, prefix: str, biased_left: bool, biased_right: bool) -> str:
+def write_factor_csv(factors: DataFrame, prefix: str, biased_left: bool, biased_right: bool, parts: int | None = None) -> str:
     """The pair ``<prefix>_<left>_<right>_W.csv`` and ``…_V.csv``, one line per matrix row.
 
-    A matrix is model-sized (checked); its lines form one text value to keep their order.
+    Lines are dealt to files by ranges of rows, so the files in the order of their names hold the matrix from top to bottom.
     """
-    if factors.count() > CSV_CELLS:
-        raise ValueError("too many values for one CSV pair; use write_factors")
     full = f"{prefix}_{str(biased_left).lower()}_{str(biased_right).lower()}"
     for name in ("W", "V"):
         cells = factors.where(F.col("side") == name)
         lines = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("cells")).select(
-            "row", F.array_join(F.col("cells.value").cast("array<string>"), ",").alias("line"))
-        whole = lines.agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("lines"))
-        whole.select(F.array_join("lines.line", "\n").alias("value")).write.text(f"{full}_{name}.csv")
+            "row", F.array_join(F.col("cells.value").cast("array<string>"), ",").alias("value"))
+        ranges = lines.repartitionByRange(parts, "row") if parts else lines.repartitionByRange("row")
+        ranges.sortWithinPartitions("row").select("value").write.text(f"{full}_{name}.csv")
     return full
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-empty lines of all files below ``path`` with their number from 0: files by name, then the order inside a file.
+
+    Splits of files are read in parallel; a line's number is its place in the split plus the lines of the splits before it.
+    """
+    split = ("_metadata.file_path", "_metadata.file_block_start")
+    lines = spark.read.text(path).select(F.col(split[0]).alias("file"), F.col(split[1]).alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = cut_lineage(lines.where(F.trim("value") != ""))
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted((r["file"], r["block"], r["n"]) for r in collect_bounded(counts, MAX_SPLITS, "splits of text files"))
+    starts = accumulate((n for *_, n in found), initial=0)
+    before = spark.createDataFrame([(f, b, s) for (f, b, _), s in zip(found, starts)], "file string, block bigint, before bigint")
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    # one row per split
+    numbered = lines.withColumn("inside", inside).join(F.broadcast(before), ["file", "block"])
+    return numbered.select((F.col("before") + F.col("inside")).alias("line_no"), "value")
+
+
 def read_factor_csv(spark: SparkSession, prefix: str) -> DataFrame:
-    """Long ``(side, row, col, value, biased)`` table from a CSV pair; bias flags come from the name."""
+    """Long ``(side, row, col, value, biased)`` table from a CSV pair; bias flags come from the name.
+
+    Empty lines count for nothing; a value that is no number ends the job.
+    """
     flags = dict(zip("WV", (part == "true" for part in prefix.split("_")[-2:])))
     sides = []
     for name in ("W", "V"):
-        text = spark.read.text(f"{prefix}_{name}.csv", wholetext=True).where(F.trim("value") != "")
-        rows = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "line"))
-        cells = rows.select("row", F.posexplode(F.split("line", ",")).alias("col", "v"))
+        lines = numbered_lines(spark, f"{prefix}_{name}.csv")
+        cells = lines.select(F.col("line_no").cast("int").alias("row"), F.posexplode(F.split(F.rtrim("value"), ",")).alias("col", "v"))
         sides.append(cells.select(F.lit(name).alias("side"), "row", "col", F.col("v").cast("double").alias("value"),
                                   F.lit(flags[name]).alias("biased")))
     return sides[0].unionByName(sides[1])

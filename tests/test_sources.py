@@ -86,14 +86,46 @@ def test_sides_of_a_hot_user(spark):
     assert both.count() == dyads.where("user_id < 400 and item_id < 40").count()
 
 
-@pytest.mark.parametrize("blocks", [1, 8, 256])
-def test_dense_index_is_the_global_rank(spark, blocks):
+@pytest.mark.parametrize("parts", [1, 8, 256, None])
+def test_dense_index_is_the_global_rank(spark, parts):
     counts = spark.range(3000).select(F.col("id").alias("item_id"), F.pmod(F.hash("id"), F.lit(5)).cast("long").alias("n"))
-    got = {r.item_id: r.idx for r in encode.dense_index(counts, 2, blocks).collect()}
+    got = {r.item_id: r.idx for r in encode.dense_index(counts, 2, parts).collect()}
     rows = [(r.n, r.item_id) for r in counts.where("n >= 2").collect()]
     assert got == {i: k for k, (_, i) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
 
 
+def test_dense_index_of_nothing_and_its_plan(spark):
+    counts = spark.range(300).select(F.col("id").alias("item_id"), (F.col("id") % 7).alias("n"))
+    assert encode.dense_index(counts, 100).count() == 0
+    plan = encode.dense_index(counts, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" in plan
+
+
+def test_bad_lines_end_a_count_too(spark, tmp_path):
+    (tmp_path / "r").write_text("userId,movieId,rating,timestamp\n1,2,3.5,0\n1,2\n4,5,4.0,0\n")
+    with pytest.raises(Exception, match="not a line of ratings"):
+        text.read_ratings(spark, str(tmp_path / "r")).count()
+    with pytest.raises(Exception, match="not a line of ratings"):
+        text.read_ratings(spark, str(tmp_path / "r")).select("user_id").collect()
+
+
+@pytest.mark.parametrize("parts", [1, 4, None])
+def test_factor_csv_of_several_files(spark, tmp_path, parts):
+    cells = spark.range(11 * 7).select(F.explode(F.array(F.lit("W"), F.lit("V"))).alias("side"), (F.col("id") / 7).cast("int").alias("row"),
+                                       (F.col("id") % 7).cast("int").alias("col"), F.round(F.rand(3), 9).alias("value"))
+    cells = spark.createDataFrame(cells.collect(), cells.schema)
+    full = tables.write_factor_csv(cells, str(tmp_path / "u"), False, True, parts)
+    if parts:
+        assert len([f for f in os.listdir(f"{full}_W.csv") if f.startswith("part-")]) == parts
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")  # files are split, too
+    try:
+        back = {(r.side, r.row, r.col): (r.value, r.biased) for r in tables.read_factor_csv(spark, full).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert back == {(r.side, r.row, r.col): (r.value, r.side == "V") for r in cells.collect()}
+
+
 def test_user_vectors_and_leak_option(spark):
     rated = spark.createDataFrame([(1, 10, True), (1, 11, False), (2, 99, True), (3, 11, True), (3, 11, False)],
                                   "user_id long, item_id long, outcome boolean")

@@ -109,6 +109,32 @@ def test_report_names_reach_children(spark, forest):
     assert lines.where(~F.col("line").contains("Split at colour (")).count() == 0
 
 
+def test_named_reports_come_back(spark, forest):
+    """Write, read, write: the same lines; names may hold parentheses, dashes and the words of the grammar."""
+    odd = "Split at (noon - dusk) (1995) - part 2"
+    names = spark.createDataFrame([(3, odd), (4, "other"), (5, "12")], "var int, name string")
+    lines = trees.report_lines(table(spark, forest), names)
+    back = trees.parse_reports(trees.reports(lines), names)
+    assert {r.var for r in back.where("path <> ''").collect()} == {3} and back.where("path = '' and var is not null").isEmpty()
+    again = trees.report_lines(back.drop("reported_entropy"), names)
+    told = {(r.tree_id, r.line_no): r.line for r in lines.collect()}
+    for r in again.collect():
+        assert r.line.split(" - Split at ", 1)[1:] == told[r.tree_id, r.line_no].split(" - Split at ", 1)[1:]
+        assert r.line.split(" - ")[:2] == told[r.tree_id, r.line_no].split(" - ")[:2]
+
+
+@pytest.mark.parametrize("line,names,message", [
+    ("\t50.00% - 0.10 - 0.10 - Split at colour (-Infinity - 0.5000)", None, "unknown variable"),
+    ("\t50.00% - 0.10 - 0.10 - Split at colour (-Infinity - 0.5000)", ["size"], "unknown variable"),
+    ("\t50.00% - 0.10 - 0.10 - Split at WRONG VARIABLE (-Infinity - 0.5000)", ["size"], "unknown variable"),
+    ("\tfifty - 0.10 - 0.10", None, "not a line of a report"), ("x", ["size", "size"], "same name")])
+def test_reports_that_cannot_be_read_fail(spark, line, names, message):
+    texts = spark.createDataFrame([(1, "100.00% - 0.50 - 0.26\n" + line)], "tree_id int, value string")
+    known = names and spark.createDataFrame(list(enumerate(names)), "var int, name string")
+    with pytest.raises(Exception, match=message):
+        trees.parse_reports(texts, known).count()
+
+
 def test_reads_text_with_float_words(spark):
     text = "100.00% - 0.8577234951448383 - 0.26\n\t59.93% - 0.33 - 0.17 - Split at 694 (-Infinity - -0.5000)\n\t40.07% - 0.75 - 0.40 - Split at 694 (-0.5000 - Infinity)"
     rows = trees.parse_reports(spark.createDataFrame([(1, text)], "tree_id int, value string")).orderBy("path").collect()
