@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterator
@@ -63,14 +64,23 @@ def per_process(owner: str, key: object, make: Callable[[], Any]) -> Any:
     kept = sys.modules.setdefault("_duoscope_process", ModuleType("_duoscope_process")).__dict__
     if kept.get("owner") != owner:
         kept.update(owner=owner, values={})
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
     values = kept["values"]
     if key not in values:
         values[key] = make()
     return values[key]
 
 
+def give_back() -> None:
+    """Returns to the system what a worker no longer uses: freed memory stays with Arrow's pool and the C library otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that what is computed for one of them stays small."""
     for batch in batches:
