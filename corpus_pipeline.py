@@ -1,6 +1,10 @@
 """From documents to token shards: language ID, near-dedup, decontamination, mixing, token output.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's documents.
+
+Defined cases: texts that are null or have no letter are rejected as no language; empty and repeated rows are therefore gone or
+merged before decontamination; very long texts are worked on whole; null ids, sources and languages and extra columns are carried;
+an empty table passes through all stages and gives no rows. Which of several equal rows stays makes no difference.
 """
 
 from __future__ import annotations
@@ -20,10 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies; documents without id stay."""
-    marks = near_dup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    # merged, not broadcast: the ids that go grow with the data
-    return docs.join(marks.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """One row of every group of near copies: that with the smallest id. Rows go by id and text, so other texts of an id stay."""
+    return near_dup.one_of_each(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
