@@ -30,11 +30,11 @@ LANES = BLOCK // 32
 PERCENTILE = 0.9
 SHARD_TOKENS = 1 << 18
 #: Distinct pieces a worker process remembers; the older half is forgotten when the newer half is full.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 MAGIC = 0x50464F52
 MARKS = (",", ".")
-#: Bytes of texts encoded at once; a longer text is encoded alone.
-SLICE_BYTES = 1 << 22
+#: Bytes of texts encoded at once; a longer text is encoded alone. The larger, the fewer distinct pieces are looked up.
+SLICE_BYTES = 10 << 20
 SHARD_SCHEMA = "part int, seq int, start_in_part long, n_tokens long, doc_ids array<bigint>, payload binary"
 DOC_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long"
 
@@ -203,26 +203,46 @@ class PieceEncoder:
             cut = pc.split_pattern(cut, "\0")
             tokens = cut.flatten().dictionary_encode()
             ids = self._pieces(tokens.dictionary.to_pylist())
-            size = np.array([len(b) // 4 for b in ids])
+            kind = np.int32 if int(pc.sum(pc.binary_length(column)).as_py()) < 1 << 28 else np.int64
+            size = np.array([len(b) // 4 for b in ids], kind)
             flat = np.frombuffer(b"".join(ids), "<u4")
             piece = tokens.indices.to_numpy()
+            lengths = pc.list_value_length(cut).to_numpy()
+            del cut, tokens
             count = size[piece]
-            ends = np.cumsum(count)
-            joined = flat[np.repeat((np.cumsum(size) - size)[piece] - (ends - count), count) + np.arange(int(ends[-1]))].tobytes()
-            stops = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(cut).to_numpy())] * 4
+            ends = np.cumsum(count, dtype=kind)
+            place = np.repeat((np.cumsum(size, dtype=kind) - size)[piece] - (ends - count), count)
+            place += np.arange(len(place), dtype=kind)
+            joined = flat[place].tobytes()
+            stops = np.concatenate([[0], ends])[np.cumsum(lengths)] * 4
             for i, a, b in zip(at.tolist(), [0, *stops.tolist()], stops.tolist()):
                 out[i] = joined[a:b]
         return out
 
 
-def slices(lengths: list[int], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``size`` bytes."""
-    first = held = 0
-    for i, length in enumerate(lengths):
-        held += length
-        if held >= size or i == len(lengths) - 1:
-            yield first, i + 1
-            first, held = i + 1, 0
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of about ``size`` bytes, across Arrow batches."""
+    held: list[pa.RecordBatch] = []
+    length = 0
+    for batch in batches:
+        lengths = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(lengths[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(lengths, before + size - length, side="right")))
+            held.append(batch.slice(at, stop - at))
+            length += int(lengths[stop - 1]) - before
+            at = stop
+            if length >= size or at < batch.num_rows:
+                yield _together(held)
+                held, length = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(batches: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    return rows["doc_id"].to_pylist(), pa.concat_arrays(rows["text"].chunks)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -249,18 +269,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
                 ["part", "seq", "start_in_part", "n_tokens", "doc_ids", "payload"])
 
-        for batch in batches:
-            texts, doc_ids = batch["text"], batch["doc_id"].to_pylist()
-            for a, b in slices(pc.binary_length(texts).to_pylist()):
-                for name, got in zip(doc_ids[a:b], encoder.encode(texts.slice(a, b - a)), strict=True):
-                    ids += (got, end)
-                    lengths.append(len(got) // 4 + 1)
-                    names.append(name)
-                    held += lengths[-1]
-                    if held >= shard_tokens:
-                        yield shard()
-                        seq, start, held = seq + 1, start + held, 0
-                        ids, lengths, names = [], [], []
+        for doc_ids, texts in slices(batches):
+            for name, got in zip(doc_ids, encoder.encode(texts), strict=True):
+                ids += (got, end)
+                lengths.append(len(got) // 4 + 1)
+                names.append(name)
+                held += lengths[-1]
+                if held >= shard_tokens:
+                    yield shard()
+                    seq, start, held = seq + 1, start + held, 0
+                    ids, lengths, names = [], [], []
         if names:
             yield shard()
 

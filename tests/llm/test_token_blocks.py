@@ -48,6 +48,17 @@ def test_special_tokens_are_those_of_the_plain_call(encoder):
     assert np.frombuffer(encoder.encode(["a", text, "b c"])[1], "<u4").tolist() == [505, 220, 50256, 734]
 
 
+@pytest.mark.parametrize("size", [1, 7, 30, 1000])
+def test_slices_hold_every_text_once(size):
+    import pyarrow as pa
+
+    texts = ["", "a" * 50, "bc", "d", "", "efg " * 5, "h"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(a, b)), "text": texts[a:b]}, pa.schema({"doc_id": pa.int64(), "text": pa.string()})) for a, b in ((0, 3), (3, 3), (3, 6), (6, 7))]
+    parts = list(tb.slices(iter(batches), size))
+    assert [i for ids, _ in parts for i in ids] == list(range(7)) and [t for _, x in parts for t in x.to_pylist()] == texts
+    assert all(len("".join(x.to_pylist())) <= size or len([t for t in x.to_pylist() if t]) == 1 for _, x in parts)
+
+
 def expected(rows):
     whole = Tokenizer.from_file(PATH)
     out, start = [], 0
