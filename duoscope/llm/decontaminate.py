@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm.registry import packed, query, unpacked, whole_text
+from duoscope.llm.registry import packed, per_process, query, unpacked, whole_text
 from duoscope.session import scratch_path, table
 
 WINDOW = 10
@@ -179,7 +180,7 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
 
 def find_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """row (all columns of ``docs`` but text), text and: n_words, spans (hit words as [start, end) in words), items (names as
-    strings).
+    strings, one per row of ``items`` that has a window here: two rows of one name are two items, a null name stays null).
 
     One pass over the documents per block of items; the automaton of a block is broadcast, its size bound by ``block_bytes``
     (a longer item is a block of its own size). Null texts have no words; no items, or items without words, hit nothing.
@@ -195,10 +196,11 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
             out.write.parquet(path)
             out = docs.sparkSession.read.schema(schema).parquet(path)
         shipped = sc.broadcast(cloudpickle.dumps(SuffixAutomaton(block, window)))
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            automaton = pickle.loads(shipped.value)
-            names = [str(x) for x in automaton.names]
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, name=name) -> Iterator[pa.RecordBatch]:
+            automaton = per_process(f"decontaminate-{name}", name, lambda: pickle.loads(shipped.value))  # one a process, not one a task
+            names = [None if x is None else str(x) for x in automaton.names]
             for batch in batches:
                 at = {c: batch.schema.get_field_index(c) for c in ("text", "n_words", "spans", "items")}
                 n_words, all_spans, all_items = [], [], []
@@ -209,7 +211,7 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
                     n_words.append(len(words))
                     old = [(s["a"], s["b"]) for s in before.as_py()]
                     all_spans.append([{"a": a, "b": b} for a, b in (_merge([*old, *spans]) if old else spans)])
-                    all_items.append(sorted({*named.as_py(), *(names[i] for i in found)}))
+                    all_items.append(sorted([*named.as_py(), *(names[i] for i in found)], key=lambda x: (x is None, x or "")))
                 for c, values in (("n_words", n_words), ("spans", all_spans), ("items", all_items)):
                     batch = batch.set_column(at[c], batch.schema.field(at[c]), pa.array(values, batch.schema.field(at[c]).type))
                 yield batch
@@ -223,7 +225,10 @@ def hit_words(spans) -> F.col:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+
+    Items without item_id count and hit like others, but have no name to be joined.
+    """
     found = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, window)
     return found.select(
         "row.doc_id", "n_words", hit_words(F.col("spans")).alias("n_hit"),

@@ -73,3 +73,15 @@ def test_edges_and_cutting(spark, edge):
     assert dc.contamination(edge.limit(0), items).count() == 0
     assert dc.contamination(edge, items.limit(0)).where(F.col("contaminated")).count() == 0
     assert dc.cut_words("Say: one, two three. End", [(1, 3)]) == "Say:  three. End"
+
+
+def test_items_without_names_and_with_the_same(spark):
+    words = [f"word{i}" for i in range(60)]
+    items = [("a", " ".join(words[:12])), ("a", " ".join(words[20:32])), (None, " ".join(words[40:52])), ("None", "other words altogether")]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[40:52])), (3, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: r for r in dc.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    import hashlib
+
+    assert (got[1].n_items, got[1].items_sha256) == (3, hashlib.sha256(b"a,a").hexdigest())
+    assert (got[2].n_items, got[2].items_sha256, got[2].contaminated) == (1, hashlib.sha256(b"").hexdigest(), True)
+    assert got[3].n_items == 0
