@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duoscope.functions import scalars as S
 from duoscope.operators import grow, splits, thresholds, trees
 from duoscope.queries import inputs as I
-from duoscope.queries.registry import query, renamed_views, sql_of, view
+from duoscope.queries.registry import VIEWS, query, renamed_views, sql_of, view
 from duoscope.queries.relational import histogram
 from duoscope.session import cut_lineage
 
@@ -166,7 +166,12 @@ def tree_expand_strict(spark: SparkSession, sf: str) -> DataFrame:
     return shown(grown(spark, sf, 2, 3, strict_bounds=True, root_entropy=1.0))
 
 
-_MANY = renamed_views("many_", "tree2_1", {"ids", "x_long", "u_long", "sizes"})
+view("many_side", "SELECT c.rank, a.id, CASE WHEN a.bin <= c.cbin THEN 0 ELSE 1 END AS side FROM many_cand1 c JOIN many_binned a ON a.var = c.cvar",
+     "many_cand1", "many_binned", kept=True)
+_MANY = renamed_views("many_", "tree2_1", {"ids", "x_long", "u_long", "sizes"}, {
+    "hist2_1": """SELECT rank, side, var, bin, seg, count(*) AS n, sum(u) AS pos FROM
+      (SELECT s.rank, s.side, b.id, b.var, b.bin FROM many_side s JOIN binned b ON b.id = s.id) JOIN u_long USING (id) GROUP BY 1, 2, 3, 4, 5"""})
+VIEWS["many_hist2_1"] = (("many_side", "many_binned", "many_u_long"), *VIEWS["many_hist2_1"][1:])
 
 
 @query("tree_expand_wide", sql_of(f"SELECT path, CAST(var AS INTEGER) AS var, round(lo, 6) AS lo, round(hi, 6) AS hi, round(rel_size, 6) AS rel_size, "
