@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +37,10 @@ def project(dense: Column, matrix: np.ndarray, bias: bool = False) -> Column:
 
     @F.arrow_udf("array<double>")
     def times(x: pa.Array) -> pa.Array:
-        flat = x.flatten().to_numpy(zero_copy_only=False)
-        if len(flat) != len(x) * width:
-            raise ValueError(f"vectors of {len(flat) / max(len(x), 1):g} values on average, matrix for {width}")
-        rows = flat.astype(float).reshape(-1, width)
+        for length in pc.unique(pc.list_value_length(x)).to_pylist():
+            if length != width:
+                raise ValueError(f"vector has {length} values, matrix {matrix.shape[1]} columns")
+        rows = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
         return csr.lists(rows @ matrix[:, :width].T + (matrix[:, -1] if bias else 0.0))
 
     return once(times)(dense)
