@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duoscope.functions import scalars as S
-from duoscope.session import collect_bounded
+from duoscope.session import collect_bounded, cut_lineage, spread
 
 MAX_NODES = 10_000
 SWEEP_POINTS = 100
@@ -93,9 +93,11 @@ def _decide(nodes: DataFrame, lambdas: Sequence[float], max_depth: int | None) -
     double is planned by its normalised value and would be shuffled anew. λ values are a literal array: no cross join.
     """
     if max_depth is None:
+        nodes = cut_lineage(nodes)  # read twice, for the depth and for the state
         max_depth = nodes.agg(F.max(depth())).first()[0] or 0
     rows = nodes.select("*", F.posexplode(F.lit([float(v) for v in lambdas])).alias("lam_id", "lam"))
-    rows = rows.repartition("tree_id", "lam_id").select(
+    # all partitions stay: what a window sorts is far more than the packed bytes by which they would be merged
+    rows = spread(rows, "tree_id", "lam_id").select(
         "*", F.col("data_entropy").alias("re"), depth().cast("bigint").alias("paths"),
         F.lit(1).cast("bigint").alias("leaves"), F.lit(False).alias("inner"), F.lit(False).alias("collapsed"))
     for d in range(max_depth - 1, -1, -1):

@@ -1,7 +1,5 @@
 """Plans and partitions that must not change as the tables grow."""
 
-import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +7,7 @@ from pyspark.sql import functions as F
 from duoscope.operators import cluster, encode, joins, learn, trees
 from duoscope.queries import inputs as I
 from duoscope.queries.files import write_lines
-from duoscope.session import scratch_path
+
 
 
 @pytest.fixture
@@ -45,3 +43,41 @@ def test_growing_sides_are_not_broadcast(spark, tables_of):
         assert "SortMergeJoin" in planned(df), name
         assert "BroadcastHashJoin" not in planned(df), name
     assert plans["sides"].count() == 200 and plans["wide explanation"].count() == 30
+
+
+def part_sizes(df) -> list[int]:
+    return [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+def test_lines_go_to_more_than_three_files(spark, tmp_path):
+    write_lines(spark.range(8000, numPartitions=1).select(F.col("id").cast("string").alias("value")), "id", f"{tmp_path}/lines")
+    lines = spark.read.text(f"{tmp_path}/lines")
+    assert lines.count() == 8001 and lines.where("value = 'id'").count() == 1
+    files = lines.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 2000
+
+
+def test_sweep_keeps_its_partitions(spark):
+    """What the windows sort is not dealt to fewer tasks because it packs well."""
+    nodes = spark.range(64).selectExpr("id AS tree_id", "'' AS path", "1.0D AS rel_size", "0.5D AS data_entropy")
+    state, _ = trees._decide(nodes, [0.0, 0.1], None)
+    assert len(part_sizes(state)) == int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # as many as there are cores
+
+
+def test_cluster_input_is_dealt_out(spark, monkeypatch):
+    """One large row group does not become one cached partition."""
+    seen = []
+    monkeypatch.setattr(cluster.KMeans, "fit", lambda self, df: seen.append(part_sizes(df)))
+    rows = spark.range(800, numPartitions=1).select(F.array(F.col("id").cast("double")).alias("vec"))
+    cluster.kmeans(rows, k=2, iterations=1)
+    assert len(seen[0]) >= 4 and max(seen[0]) <= 400
+
+
+def test_spelt_vectors(spark):
+    rows = spark.createDataFrame([(1, []), (2, [0, 4]), (3, [2]), (4, [0, 2, 4])], "id int, liked array<int>")
+    known = [0, 2, 4]  # 1 and 3 have no vector
+    marks = ([f"{p + 1}:1.0" for p in known], [f"{p + 1}:-1.0" for p in known])
+    got = {r["id"]: r["t"] for r in rows.select("id", cluster.spelt(F.col("liked"), known, 5, marks, " ").alias("t")).collect()}
+    assert got == {1: "1:-1.0 3:-1.0 5:-1.0", 2: "1:1.0 3:-1.0 5:1.0", 3: "1:-1.0 3:1.0 5:-1.0", 4: "1:1.0 3:1.0 5:1.0"}
+    none = rows.where("id = 1").select(cluster.spelt(F.col("liked"), [], 5, ([], []), ",").alias("t")).first().t
+    assert none == ""
