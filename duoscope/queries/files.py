@@ -11,14 +11,14 @@ from duoscope.functions import vectors as V
 from duoscope.operators import cluster, csr, encode, joins, learn, project
 from duoscope.queries import inputs as I
 from duoscope.queries.registry import query, sql_of
-from duoscope.session import scratch_path, table
+from duoscope.session import scratch_path, spread, table
 from duoscope.sources import tables, text
 
 
 def write_lines(lines: DataFrame, header: str, path: str) -> None:
     """Text lines in several parts; the header is one line of its own, the other parts have none."""
     head = lines.sparkSession.createDataFrame([(header,)], "value string")
-    head.unionByName(lines.repartition(3)).write.text(path)
+    head.unionByName(spread(lines)).write.text(path)
 
 
 @query("src_items_csv", sql_of("SELECT item_id, title, genres FROM items", "items"))
