@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duoscope.operators import cluster, encode, joins, learn, trees
 from duoscope.queries import inputs as I
 from duoscope.queries.files import write_lines
+from duoscope.sources import tables
 
 
 
@@ -81,3 +82,15 @@ def test_spelt_vectors(spark):
     assert got == {1: "1:-1.0 3:-1.0 5:-1.0", 2: "1:1.0 3:-1.0 5:1.0", 3: "1:-1.0 3:1.0 5:-1.0", 4: "1:1.0 3:1.0 5:1.0"}
     none = rows.where("id = 1").select(cluster.spelt(F.col("liked"), [], 5, ([], []), ",").alias("t")).first().t
     assert none == ""
+
+
+def test_ids_of_stored_vectors(spark, tmp_path, monkeypatch):
+    """One 64-bit number per id; where two vectors share one, the next seed is taken."""
+    rows = spark.createDataFrame([(True, [0, 3], [1.0, 0.5]), (False, [0, 3], [1.0, 0.25]), (True, [1, 3], [-1.0, 0.5])], "label boolean, indices array<int>, values array<double>")
+    tables.write_sparse_dyads(rows, {"left_tri": 3, "right_num": 1}, f"{tmp_path}/dyads")
+    plain = tables.vector_id
+    monkeypatch.setattr(tables, "vector_id", lambda seed, c: plain(seed, c) if seed > 1 else F.lit(7).cast("bigint"))
+    ids, users, items, widths = tables.read_dyad_sides(spark, f"{tmp_path}/dyads")
+    assert widths == (3, 1) and {t for _, t in ids.dtypes} == {"bigint", "boolean"}
+    assert users.count() == 2 and items.count() == 2
+    assert ids.join(users, "user_id").join(items.toDF("item_id", "ypos", "yval"), "item_id").count() == 3
