@@ -11,7 +11,7 @@ from duoscope.operators import encode, joins, splits, thresholds
 from duoscope.queries import inputs as I
 from duoscope.queries.files import write_lines
 from duoscope.queries.registry import query, sql_of
-from duoscope.session import cut_lineage, scratch_path, table
+from duoscope.session import cut_lineage, scratch_path, spread, table
 
 INF = float("inf")
 
@@ -100,7 +100,7 @@ def jn_ratings_users(spark: SparkSession, sf: str) -> DataFrame:
     """Users stay sparse across the join; a row costs what the user rated, not the vector's width."""
     rated = I.outcomes(spark, sf)
     users = encode.user_entries(rated, I.id_map(spark, sf))
-    both = rated.join(joins.grown(users), "user_id")
+    both = spread(rated, "user_id").join(joins.grown(users), "user_id")
     return both.groupBy("user_id", "item_id", "outcome").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("entries")).cast("bigint").alias("rated"))
 
