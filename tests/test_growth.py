@@ -1,6 +1,6 @@
 """Plans and partitions that must not change as the tables grow."""
 
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +10,6 @@ from duoscope.queries.files import write_lines
 from duoscope.sources import tables
 
 
-
 @pytest.fixture
 def tables_of(spark, tmp_path):
     """The tables the dyads come from, small, with rows of their own."""
@@ -94,3 +93,28 @@ def test_ids_of_stored_vectors(spark, tmp_path, monkeypatch):
     assert widths == (3, 1) and {t for _, t in ids.dtypes} == {"bigint", "boolean"}
     assert users.count() == 2 and items.count() == 2
     assert ids.join(users, "user_id").join(items.toDF("item_id", "ypos", "yval"), "item_id").count() == 3
+
+
+def test_dyads_are_made_once(spark, tmp_path):
+    """Widths come with the rows that are written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    one = ("array(true) AS {}_bin", "CAST(array(1) AS ARRAY<TINYINT>) AS {}_tri", "array(0.5D) AS {}_num")
+    rows = spark.range(10).selectExpr("id", *[c.format(side) for side in ("left", "right") for c in one], "id > 3 AS label")
+    tables.write_dyads(rows.mapInArrow(count, rows.schema).drop("id"), f"{tmp_path}/dyads")
+    assert made.value == 10
+    assert tables.read_widths(spark, f"{tmp_path}/dyads") == dict.fromkeys(tables.WIDTHS, 1)
+    assert tables.read_dyads(spark, f"{tmp_path}/dyads").where("label").count() == 6
+
+
+def test_half_by_sign(spark):
+    m = learn.UtilityModel(I.matrix(2, 3), I.matrix(2, 3), 0.5)
+    d = np.array([0.0, 1e-17, -1e-17, 1e-12, -1e-12, 1e-5, -1e-5, 800.0, -800.0, 1e-6, -1e-6])
+    with np.errstate(over="ignore"):
+        want = 1.0 / (1.0 + np.exp(-d / 0.5)) > 0.5
+    assert m.over_half(np.stack([d, 0 * d], axis=1), np.array([[1.0, 0.0]]))[:, 0].tolist() == want.tolist()
