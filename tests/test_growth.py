@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duoscope.operators import cluster, encode, joins, learn, trees
+from duoscope.functions import vectors as V
+from duoscope.operators import cluster, encode, joins, learn, sample, trees
 from duoscope.queries import inputs as I
 from duoscope.queries.files import write_lines
 from duoscope.sources import tables
@@ -118,3 +119,49 @@ def test_half_by_sign(spark):
     with np.errstate(over="ignore"):
         want = 1.0 / (1.0 + np.exp(-d / 0.5)) > 0.5
     assert m.over_half(np.stack([d, 0 * d], axis=1), np.array([[1.0, 0.0]]))[:, 0].tolist() == want.tolist()
+
+
+def test_few_drawn_rows_meet_their_entities_only(spark, monkeypatch):
+    """The vectors of all others are not shuffled for them; how many count as few changes no model."""
+    dyads = spark.range(400).selectExpr("id % 200 AS user_id", "id % 90 AS item_id", "id % 3 = 0 AS label")
+    users = spark.range(200).selectExpr("id AS user_id", "array(1.0D, id * 0.01D) AS vec")
+    items = spark.range(90).selectExpr("id AS item_id", "array(id * 0.02D, -1.0D) AS vec")
+    met, models, plain = [], [], learn.with_vectors
+
+    def seen(drawn, left, right):
+        met.append((drawn.count(), left.count(), right.count()))
+        return plain(drawn, left, right)
+
+    monkeypatch.setattr(learn, "with_vectors", seen)
+    for few in (learn.FEW_DRAWN, 0):
+        monkeypatch.setattr(learn, "FEW_DRAWN", few)
+        models.append(learn.learn(dyads, users, items, learn.Settings(k=2), max_iterations=3, minibatch=5, seed=1))
+    drawn, left, right = met[0]
+    assert 0 < left <= drawn < 40 and 0 < right <= drawn and met[1] == (drawn, 200, 90)
+    assert np.allclose(models[0].w, models[1].w) and np.allclose(models[0].v, models[1].v)
+
+
+def test_both_hit_rates_in_one_pass(spark, monkeypatch):
+    dyads = spark.range(300).selectExpr("id % 40 AS user_id", "id % 30 AS item_id", "id % 40 > id % 30 AS label")
+    users = spark.range(40).selectExpr("id AS user_id", "array(1.0D, id * 0.01D) AS vec")
+    items = spark.range(30).selectExpr("id AS item_id", "array(id * 0.02D, -1.0D) AS vec")
+    passes, plain, points = [], learn.hit_rates, learn.grid((2, 3), (0.1,), (0.5,), (0.01,))
+    monkeypatch.setattr(learn, "hit_rates", lambda *a: passes.append(a[3]) or plain(*a))
+    for share in (1.0, 0.5):
+        got = learn.learn_tuned(dyads, users, items, points, 1e9, 3, 2, train_share=share).table.orderBy("model").collect()
+        train, test = sample.split(dyads, ["user_id", "item_id"], 0.7, 2)
+        train = sample.split(train, ["user_id", "item_id"], share, 3)[0]
+        for name, part in (("hit_rate", test), ("train_hit_rate", train)):
+            want = plain(part, users, items, passes[-1]).orderBy("model").collect()
+            assert [(r["model"], r[name]) for r in got] == [(r["model"], r["hit_rate"]) for r in want] and want[0]["n"] == part.count()
+    assert len(passes) == 2
+
+
+def test_short_products_are_spelt_out(spark):
+    """Spark interprets functions over arrays; what is compiled has the same result to the last bit."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(rng.normal(size=40).tolist(), rng.normal(size=40).tolist()) for _ in range(20)], "a array<double>, b array<double>")
+    for start, n in ((0, 0), (0, 3), (5, 16), (2, 17), (0, 40)):
+        got = rows.select(V.dot_part("a", "b", start, n).alias("got"), V.dot(F.slice("a", start + 1, n), F.slice("b", start + 1, n)).alias("want"))
+        assert got.where("got <> want").count() == 0
+        assert ("zip_with" in planned(got.select("got"))) == (n > V.SPELT_PLACES)
