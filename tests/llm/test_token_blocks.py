@@ -1,5 +1,8 @@
 """Token shards: round trips, the piece cut, whole queries against the tokenizer."""
 
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -12,6 +15,7 @@ from tokenizers import Tokenizer
 from duoscope.llm import token_blocks as tb
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +91,22 @@ def test_edges(spark):
     assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted(
         (n, c) for _, _, n, c in expected([(a, b) for a, b, _ in rows]))
     assert tb.token_table(docs.limit(0)).count() == 0
+
+
+def test_memory_of_a_worker():
+    """MB that encoding takes at most, beyond the tokenizer: bounded by a slice, however large the batches are."""
+    code = f"""
+import resource
+import pyarrow as pa
+from duoscope.llm import token_blocks as tb
+texts = [" ".join(f"w{{(i * 31 + j * 7) % 5000}}" for j in range(1000)) for i in range(6000)]
+batch = pa.RecordBatch.from_pydict({{"doc_id": list(range(6000)), "text": texts}})
+del texts
+encoder = tb.PieceEncoder({PATH!r})
+encoder.encode(["a few words"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(len(ids) for _, some in tb.slices(iter([batch])) for ids in encoder.encode(some))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split())
+    assert n > 40_000_000 and mb < 80
