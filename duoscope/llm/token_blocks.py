@@ -29,10 +29,12 @@ BLOCK = 256
 LANES = BLOCK // 32
 PERCENTILE = 0.9
 SHARD_TOKENS = 1 << 18
-#: Distinct pieces a worker process remembers; the older half is forgotten when the newer half is full.
-CACHE_PIECES = 300_000
+#: Distinct pieces a worker process remembers besides those of one slice; above it, the half last used stays.
+CACHE_PIECES = 600_000
+#: Pieces learned in one call, which bounds what the tokenizer holds at once.
+LEARN_PIECES = 20_000
 MAGIC = 0x50464F52
-MARKS = (",", ".")
+MARKS = np.frombuffer(b",.", np.uint8)
 #: Bytes of texts encoded at once; a longer text is encoded alone. The larger, the fewer distinct pieces are looked up, and the more
 #: memory a worker takes: 10 MB at once took 1.8 times the memory of 2 MB, and let the piece cache grow by all pieces of a slice.
 SLICE_BYTES = 2 << 20
@@ -123,104 +125,126 @@ def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ------------------------------------------------------------------------------------------------ tokenizing
-#: Texts that are not cut at blanks: empty ones, runs of white space, other white space, and NUL, which marks the cuts.
-WHOLE = ("^$|^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+#: Texts that are not cut at blanks: empty ones, runs of white space, other white space.
+WHOLE = ("^$|^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
          "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
 
 
 class PieceEncoder:
     """Token ids of texts as little-endian bytes, each distinct piece encoded once.
 
-    The tokenizer's pattern always starts a new token at a single space or newline between other characters, so a text may
-    be cut there and its pieces encoded alone. Texts with runs of white space, other white space or the name of a special
-    token are encoded whole. Cutting, numbering the distinct pieces of a slice and putting ids together go by whole columns.
+    The tokenizer's pattern always starts a new token at a single space or newline between other characters, and at a comma
+    or full stop after a letter, so a text may be cut there and its pieces encoded alone. Texts with runs of white space,
+    other white space or the name of a special token are encoded whole. Cutting, looking pieces up and putting ids together
+    go by whole columns; the pieces known are one column too, as a dictionary of strings takes several times the memory.
     """
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.half, self.known, self.older = Tokenizer.from_file(path), limit // 2, {}, {}
+        self.tokenizer, self.limit, self.turn = Tokenizer.from_file(path), limit, 0
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
         names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join([WHOLE, *names])
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = (4 * np.cumsum([len(x) for x in found])).tolist()
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, ends[-1] // 4).astype("<u4", copy=False).tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Ids of distinct pieces that are not known."""
-        if len(self.known) > self.half:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new, ends = {}, {}
-        for p in missing:
-            if p in older:
-                known[p] = older[p]
-            elif p[-1:] in MARKS and p[-2:-1].isalpha():  # a comma or full stop after a letter is a token of its own
-                ends[p] = p[:-1]
-            else:
-                new[p] = None
-        for stem in ends.values():
-            if stem not in known and stem in older:
-                known[stem] = older[stem]
-            if stem not in known:
-                new[stem] = None
-        plain = [p for p in new if p[:1] != " " or len(p) == 1]
-        if plain:
-            known.update(zip(plain, self._ids(plain), strict=True))
-        # all others in one text: a token that starts with a blank is where the next piece starts
-        order = [p for p in new if p[:1] == " " and len(p) > 1]
-        if order:
-            raw = self._ids(["".join(order)])[0]
-            starts = (4 * np.flatnonzero(self.blank[np.frombuffer(raw, "<u4")])).tolist()
-            known.update(zip(order, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])], strict=True))
-        known.update((p, known[stem] + self.marks[p[-1]]) for p, stem in ends.items())
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, pieces))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if missing:
-            self._learn([pieces[i] for i in missing])
-            get = self.known.get  # a piece forgotten meanwhile keeps what was found before
-            for i in missing:
-                found[i] = get(pieces[i])
-        return found
+        # the pieces known, the first of which stays; their ids, where those start, and the turn of their last use
+        self.known, self.ids = pa.array(["\n"], pa.large_string()), self._ids("\n")
+        self.starts, self.used = np.array([0, len(self.ids)]), np.array([np.iinfo(np.int64).max])
+
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.fromiter(found, "<u4", len(found))
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Adds distinct pieces that are not known. Returns their places."""
+        blank = pc.starts_with(new, " ").to_numpy(zero_copy_only=False)
+        order = np.argsort(~blank, kind="stable")
+        ids, sizes, n = [self.ids], [np.diff(self.starts)], len(self.known)
+        first, others = (new.take(pa.array(x)) for x in np.split(order, [blank.sum()]))
+        # many in one text: a token that starts with a blank is where the next piece starts, else line breaks are between pieces
+        for at in range(0, len(first), LEARN_PIECES):
+            offsets, data = characters(first.slice(at, LEARN_PIECES))
+            ids.append(self._ids(str(data[offsets[0]:offsets[-1]], "utf-8")))
+            sizes.append(np.diff(np.flatnonzero(self.blank[ids[-1]]), append=len(ids[-1])))
+        for at in range(0, len(others), LEARN_PIECES):
+            some = self._ids("\n".join(others.slice(at, LEARN_PIECES).to_pylist()))
+            cuts = some == self.ids[0]
+            ids.append(some[~cuts])
+            sizes.append(np.diff(np.flatnonzero(cuts), prepend=-1, append=len(some)) - 1)
+        self.known = pa.concat_arrays([self.known, first, others])
+        self.ids, self.starts = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        if len(self.known) != len(self.starts) - 1 or self.starts[-1] != len(self.ids):
+            raise ValueError("the tokenizer does not start tokens where pieces are cut")
+        places = np.empty(len(new), np.int64)
+        places[order] = np.arange(n, n + len(new))
+        return places
+
+    def _forget(self) -> None:
+        """Keeps the half last used once there are more than the limit."""
+        if len(self.known) > self.limit:
+            stay = np.sort(np.argpartition(-self.used, self.limit // 2)[:max(1, self.limit // 2)])
+            sizes = np.diff(self.starts)
+            kept = np.zeros(len(sizes), bool)
+            kept[stay] = True
+            self.ids = self.ids[np.repeat(kept, sizes)]
+            self.starts = np.concatenate([[0], np.cumsum(sizes[stay])])
+            self.known, self.used = self.known.take(pa.array(stay)), self.used[stay]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the pieces are among those known; new ones are learned."""
+        self._forget()
+        places = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy()
+        lost = np.flatnonzero(places < 0)
+        if len(lost):
+            new = pieces.take(pa.array(lost)).dictionary_encode()
+            places = places.copy()
+            places[lost] = self._learn(new.dictionary)[new.indices.to_numpy()]
+        self.turn += 1
+        self.used[places] = np.maximum(self.used[places], self.turn)
+        return places
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         whole = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(column)
         for i in np.flatnonzero(whole):
-            out[i] = self._ids([column[int(i)].as_py()])[0]
+            out[i] = self._ids(column[int(i)].as_py()).tobytes()
         at = np.flatnonzero(~whole)
         if len(at):
-            cut = pc.replace_substring(pc.replace_substring(column.take(pa.array(at)), " ", "\0 "), "\n", "\0\n\0")
-            cut = pc.split_pattern(cut, "\0")
-            tokens = cut.flatten().dictionary_encode()
-            ids = self._pieces(tokens.dictionary.to_pylist())
-            kind = np.int32 if int(pc.sum(pc.binary_length(column)).as_py()) < 1 << 28 else np.int64
-            size = np.array([len(b) // 4 for b in ids], kind)
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            piece = tokens.indices.to_numpy()
-            lengths = pc.list_value_length(cut).to_numpy()
-            del cut, tokens
-            count = size[piece]
-            ends = np.cumsum(count, dtype=kind)
-            place = np.repeat((np.cumsum(size, dtype=kind) - size)[piece] - (ends - count), count)
-            place += np.arange(len(place), dtype=kind)
-            joined = flat[place].tobytes()
-            stops = np.concatenate([[0], ends])[np.cumsum(lengths)] * 4
-            for i, a, b in zip(at.tolist(), [0, *stops.tolist()], stops.tolist()):
+            texts, data = characters(column.take(pa.array(at)))
+            cuts = cut(texts, data)
+            places = self._places(pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)))
+            kind = np.int32 if len(data) < 1 << 30 else np.int64  # no text has more ids than bytes
+            count = np.diff(self.starts).astype(kind)[places]
+            ends = np.zeros(len(cuts), kind)
+            np.cumsum(count, out=ends[1:])
+            from_place = np.repeat(self.starts.astype(kind)[places] - ends[:-1], count)
+            from_place += np.arange(ends[-1], dtype=kind)
+            joined = self.ids[from_place].tobytes()
+            stops = 4 * ends[np.searchsorted(cuts, texts)].astype(np.int64)
+            for i, a, b in zip(at.tolist(), stops[:-1].tolist(), stops[1:].tolist()):
                 out[i] = joined[a:b]
         return out
 
 
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The borders of the texts of a column without nulls, and its bytes."""
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1], np.frombuffer(data, np.uint8)
+
+
+def cut(texts: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Borders of the pieces: those of the texts, before blanks, around line breaks, and before marks after ASCII letters."""
+    starts = (data == 32) | (data == 10)
+    starts[1:] |= data[:-1] == 10
+    lower = data[:-1] | 32
+    starts[1:] |= np.isin(data[1:], MARKS) & (lower >= 97) & (lower <= 122)
+    starts[texts[:-1]] = True
+    return np.append(np.flatnonzero(starts[:texts[-1]]), texts[-1])
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[list, pa.Array]]:
     """Ids and texts of about ``size`` bytes, across Arrow batches."""
     held: list[pa.RecordBatch] = []

@@ -1,5 +1,6 @@
 """Token shards: round trips, the piece cut, whole queries against the tokenizer."""
 
+import cProfile
 import os
 import subprocess
 import sys
@@ -23,6 +24,11 @@ def encoder():
     return tb.PieceEncoder(PATH, limit=50)
 
 
+@pytest.fixture(scope="module")
+def whole():
+    return Tokenizer.from_file(PATH)
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 def test_shard_round_trip(n):
     rng = np.random.default_rng(n)
@@ -52,6 +58,45 @@ def test_special_tokens_are_those_of_the_plain_call(encoder):
     assert np.frombuffer(encoder.encode(["a", text, "b c"])[1], "<u4").tolist() == [505, 220, 50256, 734]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab Z9.,;!'\n\té漢.,  \0"), max_size=30), max_size=30), st.integers(1, 30))
+def test_columns_equal_whole_texts(encoder, whole, texts, limit):
+    """Texts of several turns, also when nearly all pieces are forgotten between them."""
+    encoder.limit = limit
+    for some in (texts, texts[::-1], ["", *texts, ""]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.n += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_pieces_are_encoded_once():
+    """Of many distinct pieces in many slices, each goes to the tokenizer once, with a mark or without."""
+    texts = [" ".join(f"{w}x, {w}x {w}x." for w in range(a, a + 10_000)) for a in range(100_000, 500_000, 10_000)]
+    encoder = tb.PieceEncoder(PATH)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    first = [encoder.encode([t]) for t in texts]
+    assert encoder.tokenizer.n < 400_000 * len(" 100000x") + 1_000
+    encoder.tokenizer.n = 0
+    assert [encoder.encode([t]) for t in texts] == first and encoder.tokenizer.n == 0
+
+
+def test_no_python_call_per_piece(encoder):
+    """Python's work does not grow with the pieces of a slice."""
+    texts = [" ".join(f"v{i * 500 + j}q" for j in range(500)) for i in range(40)]
+    profile = cProfile.Profile()
+    profile.runcall(encoder.encode, texts)
+    assert sum(x.callcount for x in profile.getstats()) < 2_000
+
+
 @pytest.mark.parametrize("size", [1, 7, 30, 1000])
 def test_slices_hold_every_text_once(size):
     import pyarrow as pa
