@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from duoscope import fixed
 from duoscope.functions import scalars as S
-from duoscope.operators import encode, learn, trees
+from duoscope.operators import encode, learn, sample, trees
 from duoscope.operators.project import UtilityModel, factors_of
 from duoscope.plans import jobs
+from duoscope.queries import learning as queries
+from duoscope.queries.registry import VIEWS
 from duoscope.sources import tables
 
 
@@ -129,6 +131,23 @@ def test_from_learning_to_pruned_report(spark, coded, tmp_path):
     assert spark.read.parquet(parquet).count() == 38
 
 
+def test_every_step_of_learn_utility_takes_all_training_dyads(coded, tmp_path, monkeypatch):
+    """Nothing is drawn, and the model is that of full steps; the query and its SQL draw nothing either."""
+    keys, s = ["user_id", "item_id"], learn.Settings(k=2, reg=1e-4, l0=0.5)
+    users, items, widths = jobs.sparse_sides(coded)
+    train, _ = sample.split(coded["outcomes"].withColumnRenamed("outcome", "label"), keys, 0.7, 1)
+    whole = learn.learn(train, users, items, s, max_iterations=4, minibatch=1e15, seed=1, widths=widths)
+    monkeypatch.setattr(sample, "minibatches", lambda *_: pytest.fail("a part of the dyads was drawn"))
+    result = jobs.learn_utility(coded, str(tmp_path / "f"), [s], max_iterations=4, seed=1)
+    assert np.allclose(result.model.w, whole.w) and np.allclose(result.model.v, whole.v)
+    assert all("WHERE" not in VIEWS[f"job_b{t}"][1] for t in range(1, 6))
+    asked = []
+    monkeypatch.setattr(queries, "coded", lambda *_: coded)
+    monkeypatch.setattr(jobs.learn, "learn_tuned", lambda *given, **_: asked.append(given) or result)
+    queries.job_learn_utility(coded["users"].sparkSession, "")
+    assert asked[0][4] is None
+
+
 def test_factor_csv_pair(spark, tmp_path):
     w = np.array([[0, 50, 50, 0, 5, 10], [0, 100, 100, 0, 10, 20]], dtype=float)
     full = tables.write_factor_csv(factors_of(spark, w, -w), str(tmp_path / "u"), True, False)
