@@ -3,7 +3,7 @@ import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from duoscope.operators import cluster, csr, learn, sample
+from duoscope.operators import cluster, csr, halfspace, learn, sample
 from duoscope.operators.project import UtilityModel
 from duoscope.session import collect_bounded
 
@@ -235,6 +235,74 @@ def test_labels_of_predicted_users_are_those_of_their_vectors(spark, bias):
         assert u == [int(c @ proj > 0) for c in centers]
 
 
+def some_predictions(spark, n_users=40, n_items=300, k=3):
+    rng = np.random.default_rng(6)
+    m = UtilityModel(rng.normal(size=(k, n_items + 1)), np.eye(k), 1.0, True, False)
+    users = spark.createDataFrame([(i, rng.normal(size=n_items).tolist()) for i in range(n_users)], "user_id long, vec array<double>")
+    popular = spark.createDataFrame([(i, None if i % 7 == 4 else rng.normal(size=k).tolist()) for i in range(n_items)], "idx int, vec array<double>")
+    return cluster.Predictions(users, popular, m), m, rng.normal(size=(5, k))
+
+
+def test_texts_and_labels_are_made_where_the_products_are(spark):
+    """They equal those made of the lists of positions, but these, as large as both sides' product, go to no other function."""
+    predicted, m, centers = some_predictions(spark)
+    known = predicted.known
+    marks = tuple([f"{p}:{v}" for p in known] for v in ("1", "-1"))
+    rows = predicted.spelt(marks, " ", centers)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan.split("MapInArrow")[0] and plan.count("ArrowEvalPython") == 1
+    again = cluster.label_predicted(predicted.liked(), known, m, centers).withColumn("text", cluster.spelt(F.col("liked"), known, predicted.width, marks, " "))
+    want = {r.user_id: (r.text, r.u) for r in again.collect()}
+    assert {r.user_id: (r.text, r.u) for r in rows.collect()} == want and len(want) == 40
+
+
+def test_blocks_of_texts_stay_small(spark, monkeypatch):
+    """What a task sends at once is bounded by cells, not by users."""
+    monkeypatch.setattr(cluster, "BLOCK_CELLS", 1000)
+    predicted, *_ = some_predictions(spark)
+    sizes = []
+    monkeypatch.setattr(cluster, "_joined", lambda batches: batches)
+    monkeypatch.setattr(type(predicted.mapped), "mapInArrow", lambda self, code, schema: sizes.append(code))
+    predicted.spelt((["1"] * len(predicted.known), ["-1"] * len(predicted.known)), ",")
+    batch = pa.RecordBatch.from_pydict({"user_id": list(range(50)), "proj": [[1.0, -1.0, 0.5]] * 50})
+    assert {b.num_rows for b in sizes[0](iter([batch]))} <= {1, 2, 3}
+
+
+@pytest.mark.parametrize("lam", [1.0, -0.5, 1e-9])
+@pytest.mark.parametrize("k", [1, 2, 3, 6])
+def test_counts_by_boxes_are_those_of_all_products(k, lam):
+    rng = np.random.default_rng(k)
+    q, p = rng.normal(size=(2000, k)), rng.normal(size=(200, k))
+    whole = rng.integers(-2, 3, (2000, k)).astype(float), rng.integers(-2, 3, (200, k)).astype(float)  # many products are 0
+    odd = q.copy(), p.copy()
+    odd[0][::7], odd[0][3::50], odd[0][5::11], odd[1][::9], odd[1][4] = np.nan, np.inf, 0.0, np.nan, 0.0
+    far = q * 10.0 ** rng.integers(-200, 200, (2000, 1)), p
+    m = UtilityModel(np.zeros((0, 0)), np.zeros((0, 0)), lam)
+    with np.errstate(all="ignore"):
+        for fixed, rows in ((q, p), whole, odd, far, (q[:0], p), (q[:1], p)):
+            assert halfspace.counts(halfspace.boxes(fixed, 16), rows, m).tolist() == m.over_half(rows, fixed).sum(axis=1).tolist()
+
+
+def test_counts_leave_most_products_out(monkeypatch):
+    rng = np.random.default_rng(1)
+    q, p = rng.normal(size=(50_000, 3)), rng.normal(size=(100, 3))
+    m, cells, plain = UtilityModel(np.zeros((0, 0)), np.zeros((0, 0)), 1.0), [], UtilityModel.over_half
+    monkeypatch.setattr(UtilityModel, "over_half", lambda self, a, b: cells.append(len(a) * len(b)) or plain(self, a, b))
+    assert halfspace.counts(halfspace.boxes(q), p, m).tolist() == (p @ q.T > 0).sum(axis=1).tolist()
+    assert sum(cells) < 50_000 * 100 / 5
+
+
+def test_more_than_a_million_popular_items(spark):
+    """No fixed number of items ends the job."""
+    n = 1_000_001
+    popular = spark.range(n).select(F.col("id").cast("int").alias("idx"), F.array(F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0)).alias("vec"))
+    users = spark.createDataFrame([(1, [1.0]), (2, [-1.0]), (3, [0.0])], "user_id long, vec array<double>")
+    predicted = cluster.Predictions(users, popular, UtilityModel(np.eye(1), np.eye(1), 1.0))
+    third = (n + 2) // 3
+    assert predicted.width == len(predicted.at) == n
+    assert {r.user_id: r.n for r in predicted.counts().collect()} == {1: third, 2: n - third, 3: 0}
+
+
 def test_collecting_too_much_is_refused(spark):
     with pytest.raises(ValueError, match="more than 5"):
         collect_bounded(spark.range(6), 5, "rows")
